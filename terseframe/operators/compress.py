@@ -3,10 +3,12 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
-from . import merge, selection
+from ..functions import prompts, text as tx
+from ..functions.bind import let
+from . import dedup, merge, selection
 from .scores import Vocabulary, counted_words
-from .segment import by_key
+from .segment import by_key, sentence_windows
+from .windows import running_sum
 
 CHUNK, TOP_K = 300, 12
 
@@ -25,37 +27,40 @@ def keep_words(scored: DataFrame, keep: list[str], rate: Column, target: Column
     with a digit and the forced marks always stay; a forced mark that repeats the kept
     word before it is dropped.
     """
-    arr = F.array_sort(F.collect_list(F.struct("pos", "word", "count")))
-    held = scored.groupBy(*keep).agg(arr.alias("_w"))
-    cut = cut_rank(F.size("_w"), rate, target)
-    order = F.array_sort(F.transform("_w", lambda x: F.struct(x["count"].alias("c"), x["pos"].alias("p"))))
-    held = held.withColumn("_cut", F.get(order, F.least(cut.cast("int"), F.size("_w")) - 1))
     forced = lambda w: w.isin(tx.FORCED_TOKENS)
-    first = F.filter(
-        "_w",
-        lambda x: F.coalesce(F.struct(x["count"].alias("c"), x["pos"].alias("p")) <= F.col("_cut"), F.lit(False))
-        | x["word"].rlike("[0-9]") | forced(x["word"]),
-    )
-    held = held.withColumn("_k", first)
-    kept = F.filter(
-        "_k",
-        lambda x, i: ~(forced(x["word"]) & (i > 0) & F.coalesce(F.get("_k", i - 1)["word"] == x["word"], F.lit(False))),
-    )
-    carried = [c for c in held.columns if c in keep]
-    return held.select(
-        *carried,
-        F.transform("_w", lambda x: x["word"]).alias("words"),
-        F.transform(kept, lambda x: x["pos"]).alias("kept"),
-    )
+    place = lambda x: F.struct(x["count"].alias("c"), x["pos"].alias("p"))
+
+    def prune(words: Column, rate: Column, budget: Column | None) -> Column:
+        cut = F.least(cut_rank(F.size(words), rate, budget).cast("int"), F.size(words))
+        last = F.get(F.array_sort(F.transform(words, place)), cut - 1)
+        some = lambda end: F.filter(
+            words,
+            lambda x: F.coalesce(place(x) <= end, F.lit(False)) | x["word"].rlike("[0-9]") | forced(x["word"]),
+        )
+        single = lambda k: F.filter(
+            k,
+            lambda x, i: ~(forced(x["word"]) & (i > 0) & F.coalesce(F.get(k, i - 1)["word"] == x["word"], F.lit(False))),
+        )
+        kept = let(last, lambda end: let(some(end), single))
+        return F.struct(
+            F.transform(words, lambda x: x["word"]).alias("words"), F.transform(kept, lambda x: x["pos"]).alias("kept")
+        )
+
+    aggs = [F.array_sort(F.collect_list(F.struct("pos", "word", "count"))).alias("_w"), F.first(rate).alias("_rate")]
+    if target is not None:
+        aggs.append(F.first(target).alias("_target"))
+    held = scored.groupBy(*keep).agg(*aggs)
+    budget = None if target is None else F.col("_target")
+    return held.select(*keep, let(F.col("_w"), lambda w: prune(w, F.col("_rate"), budget)).alias("r")).select(*keep, "r.*")
 
 
 def compress(
     df: DataFrame, vocab: Vocabulary, rate: float | Column, keep: list[str] = ["doc_id"], text: str = "text",
-    target: Column | None = None,
+    target: Column | None = None, placed: bool = False,
 ) -> DataFrame:
     """Keep-rate compression of texts: keep.., compressed, origin_words, kept_words, words, kept."""
     rate = F.lit(float(rate)) if isinstance(rate, (int, float)) else rate
-    rows = keep_words(counted_words(df, vocab, text, keep), keep, rate, target)
+    rows = keep_words(counted_words(df, vocab, text, keep, placed), keep, rate, target)
     return rows.select(
         *keep, "words", "kept",
         merge.words_at(F.col("words"), F.col("kept")).alias("compressed"),
@@ -74,8 +79,8 @@ def two_decisions(
     """
     held = by_key(docs.select(*keep, F.struct("text", "terms").alias("body")), keep, "body")
     held = held.select(*keep, "body.text", "body.terms")
-    left = compress(held, vocab, rate, keep)
-    right = selection.guided_spans(held, size, top_k, keep)
+    left = compress(held, vocab, rate, keep, placed=True)
+    right = selection.guided_spans(held, size, top_k, keep, placed=True)
     none = F.array().cast("array<int>")
     return left.join(right, keep, "left").withColumns(
         {
@@ -140,3 +145,83 @@ def validation_error(
         .when(~bits.between(2, 8), "bits")
         .when(~max_tokens.between(1, 2048), "max_tokens")
     )
+
+
+# --- whole jobs ----------------------------------------------------------------------------------
+def two_stage(
+    units: DataFrame, questions: DataFrame, vocab: Vocabulary, instruction: str, rate: float, top_k: int,
+    floor: float | None = None,
+) -> DataFrame:
+    """Rerank, keep the best `top_k` documents, compress those, assemble the prompt.
+
+    units: req_id, unit_idx, doc_id, text, qid, score. Only survivors reach the word stage,
+    and a request collects at most `top_k` of them. A request without survivors gets ' '.
+    """
+    chosen = selection.select_and_reorder(units, top_k, floor)
+    fine = compress(chosen, vocab, rate, ["req_id", "rank"])
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "compressed")))
+    kept = fine.groupBy("req_id").agg(
+        F.count("*").alias("kept_documents"), F.sum("kept_words").alias("context_kept"),
+        F.array_join(F.transform(ordered, lambda x: x["compressed"]), "\n\n").alias("context"),
+    )
+    whole = units.groupBy("req_id").agg(
+        F.first("qid").alias("qid"), F.count("*").alias("total_documents"),
+        F.sum(tx.word_count(F.col("text")).cast("bigint")).alias("context_origin"),
+    )
+    rows = whole.join(kept, "req_id", "left").join(questions, "qid", "left")
+    context = F.coalesce("context", F.lit(" "))
+    return rows.select(
+        "req_id", "kept_documents", "total_documents", "context_origin",
+        F.coalesce("context_kept", F.lit(0)).alias("context_kept"),
+        prompts.assemble(F.lit(instruction), context, F.coalesce("question", F.lit(""))).alias("prompt"),
+    )
+
+
+def question_conditioned(units: DataFrame, vocab: Vocabulary, rate: float, extra: int = 100) -> DataFrame:
+    """Long-context form: documents by relevance until the word budget is used up, each
+    with a keep-rate that falls with its rank. The formulas follow the published method.
+
+    The budget is `rate` of the request's words plus `extra`; the document that crosses it
+    is still taken.
+    """
+    ranked = selection.rank_units(units, bounded=True).withColumn("n_words", tx.word_count(F.col("text")))
+    upto = running_sum(ranked, ["req_id"], "rank", F.col("n_words"), "upto")
+    size = ranked.groupBy("req_id").agg(F.count("*").alias("n"), F.sum("n_words").alias("total"))
+    inside = upto.join(size, "req_id").filter(F.col("upto") - F.col("n_words") <= rate * F.col("total") + extra)
+    doc_rate = F.round(selection.dynamic_rate(F.col("rank") - 1, F.col("n"), rate), 9)
+    rows = inside.select("doc_id", "req_id", "rank", "text", doc_rate.alias("doc_rate"))
+    return compress(rows, vocab, F.col("doc_rate"), ["doc_id", "req_id", "rank", "doc_rate"])
+
+
+def eval_compress(
+    docs: DataFrame, vocab: Vocabulary, rates: list[float], threshold: float, window: int, top_k: int
+) -> DataFrame:
+    """Evaluation compress of single texts under a rate x dedup grid, all cells in one plan.
+
+    docs: doc_id, text, terms. Text or deduplicated text, cut to runs of sentences, the
+    `top_k` most relevant runs in relevance order, then keep-rate compression. Retention
+    is against the full text.
+    """
+    held = dedup.dedupe(docs, threshold).select("doc_id", "text", "terms", "deduped")
+    texts = F.array(
+        F.struct(F.lit(False).alias("use_dedup"), F.col("text").alias("text")),
+        F.struct(F.lit(True).alias("use_dedup"), F.col("deduped").alias("text")),
+    )
+    arms = held.select("doc_id", "terms", tx.word_count(F.col("text")).alias("origin_words"), F.explode(texts).alias("a"))
+    arms = arms.select("doc_id", "terms", "origin_words", "a.*")
+    units = sentence_windows(arms, window, keep=["doc_id", "use_dedup", "terms", "origin_words"])
+    scored = units.withColumn("score", F.get(dedup.term_relevance(F.array("body"), "terms"), F.lit(0)))
+    # a text's runs are bounded by the text; the first top_k are cut before the shuffle
+    best = selection.top_rows(scored, ["doc_id", "use_dedup"], [F.col("score").desc(), F.col("unit").asc()], top_k)
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "body")))
+    chosen = best.groupBy("doc_id", "use_dedup", "origin_words").agg(
+        F.array_join(F.transform(ordered, lambda x: x["body"]), " ").alias("text")
+    )
+    cells = chosen.withColumn("rate", F.explode(F.array(*[F.lit(r) for r in rates])))
+    keep = ["doc_id", "use_dedup", "rate", "origin_words"]
+    fine = keep_words(counted_words(cells, vocab, keep=keep), keep, F.col("rate"))
+    return fine.select(
+        *keep, F.size("kept").alias("kept_words"),
+        merge.words_at(F.col("words"), F.col("kept")).alias("compressed"),
+        F.bround(F.size("kept") / F.greatest("origin_words", F.lit(1)), 3).alias("retention"),
+    )

@@ -12,10 +12,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.bind import let
 
 KEPT_TYPE = "array<int>"
 PAIR_TYPE = "array<struct<i:int,j:int,sim:double>>"
@@ -85,15 +86,15 @@ def with_top_pairs(df: DataFrame, k: int, sentences: str = "sents") -> DataFrame
     return df.withColumn("pairs", pairs(F.col(sentences)))
 
 
-def term_relevance(sentences: str, terms: str):
+def term_relevance(sentences: str | Column, terms: str) -> Column:
     """Cosine of each sentence's word counts to the set of intent terms."""
 
-    def one(s):
-        words = tx.split_words(F.lower(s))
+    def one(words):
         hits = F.size(F.filter(words, lambda w: F.array_contains(F.col(terms), w)))
         return F.round(hits / F.sqrt(F.size(words) * F.greatest(F.size(F.col(terms)), F.lit(1))), 9)
 
-    return F.transform(F.col(sentences), one)
+    columns = F.col(sentences) if isinstance(sentences, str) else sentences
+    return F.transform(columns, lambda s: let(tx.split_words(F.lower(s)), one))
 
 
 def dedupe(df: DataFrame, threshold: float, text: str = "text", terms: str = "terms") -> DataFrame:
@@ -101,10 +102,9 @@ def dedupe(df: DataFrame, threshold: float, text: str = "text", terms: str = "te
     held = df.withColumn("sents", tx.split_sentences(F.col(text)))
     held = held.withColumn("relevance", term_relevance("sents", terms))
     held = with_kept(held, threshold)
-    dropped = F.filter(
-        F.transform("sents", lambda s, i: F.struct(i.alias("idx"), s.alias("sentence"))),
-        lambda x: ~F.array_contains("kept", x["idx"]),
-    )
+    gone = F.array_except(F.sequence(F.lit(0), F.size("sents") - 1), "kept")
+    gone = F.when(F.size("sents") > 0, gone).otherwise(F.array().cast("array<int>"))
+    dropped = F.transform(gone, lambda i: F.struct(i.alias("idx"), F.get("sents", i).alias("sentence")))
     rebuilt = F.array_join(F.transform("kept", lambda i: F.get("sents", i)), " ")
     return held.withColumn("dropped", dropped).withColumn(
         "deduped", F.when(F.size("sents") <= 1, F.col(text)).otherwise(rebuilt)

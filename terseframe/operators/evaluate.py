@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.bind import let
 
 # fixed values
 F1_CORRECT = 0.5
@@ -22,49 +23,48 @@ def answer_tokens(c: Column) -> Column:
 def bag_overlap(p: Column, g: Column) -> Column:
     """Sum over distinct tokens of the smaller count. Answers are short, so it stays in the row."""
     times = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    shared = F.transform(F.array_distinct(p), lambda t: F.least(times(p, t), times(g, t)))
+    shared = F.transform(F.array_intersect(p, g), lambda t: F.least(times(p, t), times(g, t)))
     return F.aggregate(shared, F.lit(0), lambda a, x: a + x)
 
 
 def token_f1(p: Column, g: Column) -> Column:
-    same = bag_overlap(p, g)
-    precision, recall = same / F.size(p), same / F.size(g)
-    return (
-        F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double"))
-        .when(same == 0, 0.0)
-        .otherwise(2 * precision * recall / (precision + recall))
-    )
+    def ratio(same: Column) -> Column:
+        precision, recall = same / F.size(p), same / F.size(g)
+        return F.when(same == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+
+    one_empty = (F.size(p) == 0) | (F.size(g) == 0)
+    return F.when(one_empty, (F.size(p) == F.size(g)).cast("double")).otherwise(let(bag_overlap(p, g), ratio))
 
 
 def best_f1(answer: Column, golds: Column) -> Column:
-    return F.array_max(F.transform(golds, lambda g: token_f1(answer_tokens(answer), answer_tokens(g))))
+    return let(
+        answer_tokens(answer),
+        lambda p: F.array_max(F.transform(golds, lambda g: let(answer_tokens(g), lambda t: token_f1(p, t)))),
+    )
 
 
 def exact_match(answer: Column, golds: Column) -> Column:
-    return F.exists(golds, lambda g: tx.normalize_answer(answer) == tx.normalize_answer(g))
+    return let(tx.normalize_answer(answer), lambda a: F.exists(golds, lambda g: a == tx.normalize_answer(g)))
 
 
 def gold_recall(golds: Column, text: Column) -> Column:
     """Best share of an alias' tokens found in the text; 0 without a usable alias."""
-    held = answer_tokens(text)
-
-    def share(g: Column) -> Column:
-        toks = answer_tokens(g)
-        return F.when(F.size(toks) > 0, F.size(F.filter(toks, lambda t: F.array_contains(held, t))) / F.size(toks))
+    def share(g: Column, held: Column) -> Column:
+        found = lambda toks: F.size(F.filter(toks, lambda t: F.array_contains(held, t))) / F.size(toks)
+        return let(answer_tokens(g), lambda toks: F.when(F.size(toks) > 0, found(toks)))
 
-    return F.coalesce(F.array_max(F.transform(golds, share)), F.lit(0.0))
+    best = let(answer_tokens(text), lambda held: F.array_max(F.transform(golds, lambda g: share(g, held))))
+    return F.coalesce(best, F.lit(0.0))
 
 
 def score_answers(answers: DataFrame, golds: DataFrame, on: str = "id") -> DataFrame:
     """Answers with known golds: adds f1, em, correct. Unknown ids are left out."""
-    held = answers.join(golds, on).withColumn("_p", answer_tokens(F.col("answer")))
-    held = held.withColumn("_g", F.transform("golds", answer_tokens))
-    norm = F.array_join("_p", " ")
+    held = answers.join(golds, on)
+    answer, known = F.col("answer"), F.col("golds")
     return (
-        held.withColumn("f1", F.array_max(F.transform("_g", lambda g: token_f1(F.col("_p"), g))))
-        .withColumn("em", F.exists("_g", lambda g: F.array_join(g, " ") == norm))
+        held.withColumn("f1", best_f1(answer, known))
+        .withColumn("em", exact_match(answer, known))
         .withColumn("correct", F.col("f1") >= F1_CORRECT)
-        .drop("_p", "_g")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..functions.bind import let
 
 SPAN_BUCKET = 512
 MODES = ("intersection", "union")
@@ -147,5 +148,6 @@ def clean_spans(spans: Column) -> Column:
 
 def splice_spans(text: Column, spans: Column) -> Column:
     """Spans in order, stripped, joined by a space; without spans the text itself."""
-    parts = F.transform(clean_spans(spans), lambda s: tx.strip(F.substr(text, s["start"] + 1, s["end"] - s["start"])))
-    return F.when(F.size(clean_spans(spans)) == 0, text).otherwise(tx.strip(F.array_join(parts, " ")))
+    cut = lambda s: tx.strip(F.substr(text, s["start"] + 1, s["end"] - s["start"]))
+    joined = lambda c: tx.strip(F.array_join(F.transform(c, cut), " "))
+    return let(clean_spans(spans), lambda c: F.when(F.size(c) == 0, text).otherwise(joined(c)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..functions.bind import let
 from ..session import materialize
 from .lookup import SMALL_CHARS, lookup
 from .segment import by_key, plain_words
@@ -50,9 +51,11 @@ def vocabulary(df: DataFrame, text: str = "text") -> Vocabulary:
     return Vocabulary(counts, size[0], size[1] or 0)
 
 
-def counted_words(df: DataFrame, vocab: Vocabulary, text: str = "text", keep: list[str] = ["doc_id"]) -> DataFrame:
-    """Words with their corpus count: keep.., pos, word, count."""
-    rows = plain_words(by_key(df, keep, text), text, keep).withColumn("term", F.lower("word"))
+def counted_words(
+    df: DataFrame, vocab: Vocabulary, text: str = "text", keep: list[str] = ["doc_id"], placed: bool = False
+) -> DataFrame:
+    """Words with their corpus count: keep.., pos, word, count. `placed`: df is partitioned by keep."""
+    rows = plain_words(df if placed else by_key(df, keep, text), text, keep).withColumn("term", F.lower("word"))
     return lookup(rows, vocab.table, "term", vocab.rows, vocab.hot).select(*keep, "pos", "word", "count")
 
 
@@ -102,17 +105,28 @@ def bm25(
         .groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("query"))
     )
     held = docs.join(weighted, "qid", "left").withColumn(
-        "forms", F.transform(tx.split_words(F.col(text)), tx.term_form)
+        "query", F.coalesce("query", F.array().cast("array<struct<term:string,idf:double>>"))
     )
-    size = F.size("forms")
-    held = held.withColumn("_norm", BM25_K1 * (1 - BM25_B + BM25_B * size / avg_len))
-    raw = F.aggregate(
-        F.coalesce("query", F.array().cast("array<struct<term:string,idf:double>>")),
-        F.lit(0.0),
-        lambda acc, q: acc + q["idf"] * F.size(F.filter("forms", lambda w: w == q["term"])) * (BM25_K1 + 1)
-        / (F.size(F.filter("forms", lambda w: w == q["term"])) + F.col("_norm")),
+    held = held.withColumn("_avg", avg_len)
+
+    def total(forms: Column, query: Column, hits: Column) -> Column:
+        # term frequencies only for the question's terms, over the few matching words
+        norm = BM25_K1 * (1 - BM25_B + BM25_B * F.size(forms) / F.col("_avg"))
+        tf = lambda x: F.size(F.filter(hits, lambda w: w == x["term"]))
+        part = lambda x: let(tf(x), lambda t: x["idf"] * t * (BM25_K1 + 1) / (t + norm))
+        return F.aggregate(F.transform(query, part), F.lit(0.0), lambda acc, v: acc + v)
+
+    raw = let(
+        F.transform(tx.split_words(F.col(text)), tx.term_form),
+        lambda forms: let(
+            F.transform("query", lambda x: x["term"]),
+            lambda names: let(
+                F.filter(forms, lambda w: F.array_contains(names, w)),
+                lambda hits: total(forms, F.col("query"), hits),
+            ),
+        ),
     )
-    return held.withColumn("score", F.round(1 / (1 + F.exp(-raw)), 6)).drop("forms", "query", "_norm")
+    return held.withColumn("score", F.round(1 / (1 + F.exp(-raw)), 6)).drop("query", "_avg")
 
 
 # --- vectors -------------------------------------------------------------------

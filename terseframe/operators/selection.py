@@ -1,9 +1,10 @@
 """Question-guided selection: chunk, gate, top-k tokens, sentences; and document rerank."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans, text as tx
+from ..functions.bind import let
 from . import scores
 from .segment import word_chunks
 from .windows import rank_rows, top_rows
@@ -19,49 +20,75 @@ def sentence_at(sents: Column, pos: Column) -> Column:
     return F.greatest(F.size(F.filter(sents, lambda s: s["start"] <= pos)) - 1, F.lit(0))
 
 
+def sentences_of_words(words: DataFrame, sents: DataFrame, keys: list[str]) -> DataFrame:
+    """As-of form on rows: the sentence of every word (keys.., pos, idx).
+
+    words: keys.., pos, start   sents: keys.., idx, start. Both sides meet in one sorted
+    pass per key instead of a comparison of every word with every sentence.
+    """
+    none = F.lit(None).cast("int")
+    both = words.select(*keys, "start", F.col("pos"), none.alias("idx")).unionByName(
+        sents.select(*keys, "start", none.alias("pos"), F.col("idx"))
+    )
+    upto = Window.partitionBy(*keys).orderBy("start", F.col("pos").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("idx", F.coalesce(F.max("idx").over(upto), F.lit(0))).filter("pos is not null").drop("start")
+
+
 def top_positions(weights: Column, k: int) -> Column:
     """Indices of the `k` largest weights, ties by position."""
     ordered = F.array_sort(F.transform(weights, lambda a, i: F.struct((-a).alias("w"), i.alias("i"))))
     return F.transform(F.slice(ordered, 1, k), lambda x: x["i"])
 
 
-def select_sentences(chunks: DataFrame, top_k: int, attention: str = "attention", body: str = "body") -> DataFrame:
-    """Add kept_idx and kept_text: the sentences holding the top-k tokens of each chunk.
+def select_sentences(
+    chunks: DataFrame, top_k: int, attention: str = "attention", body: str = "body", active: Column | None = None
+) -> DataFrame:
+    """Add kept_idx, kept and kept_text: the sentences holding the top-k tokens of each chunk.
 
-    Chunks are short, so everything happens inside the row.
+    Chunks are short, so everything happens inside the row. Rows that are not `active` get NULL.
     """
-    held = chunks.withColumn("_ps", spans.match_all(F.col(body), spans.WORD)).withColumn(
-        "_sents", spans.fold_spans(spans.match_all(F.col(body), spans.SENTENCE))
-    )
-    held = held.withColumn("_top", top_positions(F.col(attention), top_k))
-    starts = F.transform(
-        "_top",
-        lambda i: F.length(F.array_join(F.slice("_ps", F.lit(1), i + 1), ""))
-        - F.length(tx.lstrip(F.get("_ps", i))),
-    )
-    held = held.withColumn("_at", starts)
-    idx = F.array_sort(F.array_distinct(F.transform("_at", lambda p: sentence_at(F.col("_sents"), p))))
-    none = F.array().cast("array<int>")
-    held = held.withColumn("kept_idx", F.when(F.size("_sents") > 0, idx).otherwise(none))
-    kept = F.transform("kept_idx", lambda j: F.get("_sents", j))
-    return (
-        held.withColumn("kept", kept)
-        .withColumn("kept_text", F.array_join(F.transform("kept", lambda s: s["text"]), " "))
-        .drop("_ps", "_top", "_at")
+    def starts(pieces: Column, top: Column) -> Column:
+        upto = lambda i: F.length(F.array_join(F.slice(pieces, F.lit(1), i + 1), ""))
+        return F.transform(top, lambda i: upto(i) - F.length(tx.lstrip(F.get(pieces, i))))
+
+    def choose(sents: Column, at: Column) -> Column:
+        idx = F.array_sort(F.array_distinct(F.transform(at, lambda p: sentence_at(sents, p))))
+        idx = F.when(F.size(sents) > 0, idx).otherwise(F.array().cast("array<int>"))
+        return let(
+            idx,
+            lambda k: F.struct(
+                k.alias("kept_idx"), F.transform(k, lambda j: F.get(sents, j)).alias("kept")
+            ),
+        )
+
+    text = F.col(body)
+    chosen = let(
+        spans.match_all(text, spans.WORD),
+        lambda ps: let(
+            top_positions(F.col(attention), top_k),
+            lambda top: let(
+                starts(ps, top),
+                lambda at: let(spans.fold_spans(spans.match_all(text, spans.SENTENCE)), lambda s: choose(s, at)),
+            ),
+        ),
     )
+    held = chunks.withColumn("_c", chosen if active is None else F.when(active, chosen)).select("*", "_c.*").drop("_c")
+    return held.withColumn("kept_text", F.array_join(F.transform("kept", lambda s: s["text"]), " "))
 
 
 # --- chunk gate ---------------------------------------------------------------------
 def focus(chunks: DataFrame, terms: str = "terms", body: str = "body") -> DataFrame:
     """Default attention provider: add hit, anchor, attention and n_tokens to chunk rows."""
-    held = chunks.withColumn("_hits", scores.term_hits(spans.match_all(F.col(body), spans.WORD), F.col(terms)))
-    return (
-        held.withColumn("hit", F.exists("_hits", lambda h: h))
-        .withColumn("anchor", F.when(F.col("hit"), "hit").otherwise("none"))
-        .withColumn("n_tokens", F.size("_hits"))
-        .withColumn("attention", scores.hit_attention(F.col("_hits")))
-        .drop("_hits")
+    hits = scores.term_hits(spans.match_all(F.col(body), spans.WORD), F.col(terms))
+    found = let(
+        hits,
+        lambda hs: F.struct(
+            F.exists(hs, lambda h: h).alias("hit"), F.size(hs).alias("n_tokens"),
+            scores.hit_attention(hs).alias("attention"),
+        ),
     )
+    held = chunks.withColumn("_f", found).select("*", "_f.*").drop("_f")
+    return held.withColumn("anchor", F.when(F.col("hit"), "hit").otherwise("none"))
 
 
 def gated(chunks: DataFrame, anchor: str = "anchor") -> DataFrame:
@@ -89,12 +116,17 @@ def guided_chunks(docs: DataFrame, size: int, top_k: int, keep: list[str] = ["do
     docs: keep.., text, terms. Chunks the gate drops keep nothing.
     """
     chunks = gated(focus(word_chunks(docs, size, keep=[*keep, "terms"])))
-    return select_sentences(chunks, top_k)
+    return select_sentences(chunks, top_k, active=~F.col("skipped"))
+
+
+def by_text(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Place texts by key before they fan out; the later group-by finds its rows in place."""
+    return docs.select(*keep, "text", "terms").repartition(*keep)
 
 
 def guided_text(docs: DataFrame, size: int, top_k: int, keep: list[str] = ["doc_id"]) -> DataFrame:
     """Kept sentences by chunk, chunks joined by newline; gated chunks give nothing."""
-    rows = guided_chunks(docs, size, top_k, keep)
+    rows = guided_chunks(by_text(docs, keep), size, top_k, keep)
     block = F.when(~F.col("skipped") & (F.col("kept_text") != ""), F.struct("chunk", "kept_text"))
     return rows.groupBy(*keep).agg(
         F.array_join(
@@ -105,7 +137,9 @@ def guided_text(docs: DataFrame, size: int, top_k: int, keep: list[str] = ["doc_
     )
 
 
-def guided_spans(docs: DataFrame, size: int, top_k: int, keep: list[str] = ["doc_id"]) -> DataFrame:
+def guided_spans(
+    docs: DataFrame, size: int, top_k: int, keep: list[str] = ["doc_id"], placed: bool = False
+) -> DataFrame:
     """Kept sentences as spans of the original text, one row per text.
 
     Adds spans (start, end), the word ranges they cover, n_chunks and n_kept_chunks.
@@ -123,8 +157,8 @@ def guided_spans(docs: DataFrame, size: int, top_k: int, keep: list[str] = ["doc
 
     rows = rows.withColumn(
         "_chosen",
-        F.when(~F.col("skipped"), F.transform("kept", placed))
-        .when(F.col("chunk") == 0, F.transform("_sents", placed)),
+        F.when(~F.col("skipped"), F.transform("kept", original))
+        .when(F.col("chunk") == 0, F.transform(every, original)),
     )
     grouped = rows.groupBy(*keep).agg(
         F.count("*").alias("n_chunks"),

@@ -1,4 +1,4 @@
-from . import text_queries  # noqa: F401
+from . import compress_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
