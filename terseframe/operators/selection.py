@@ -145,8 +145,9 @@ def guided_spans(
     Adds spans (start, end), the word ranges they cover, n_chunks and n_kept_chunks.
     The only chunk of a text is kept whole although the gate rejects it.
     """
-    rows = guided_chunks(docs, size, top_k, keep)
-    def placed(s: Column) -> Column:
+    rows = guided_chunks(docs if placed else by_text(docs, keep), size, top_k, keep)
+    every = spans.fold_spans(spans.match_all(F.col("body"), spans.SENTENCE))
+    def original(s: Column) -> Column:
         first = tx.word_count(F.substr("body", F.lit(1), s["start"] + 1)) - 1
         last = tx.word_count(F.substr("body", F.lit(1), s["end"])) - 1
         at = F.col("chunk") * size

@@ -594,7 +594,7 @@ CELL_CTES = dict(
                WHERE rk <= ceil(rate * n) OR regexp_matches(word, '[0-9]') OR word IN ('.', '!', '?', ','))
              WHERE NOT (word IN ('.', '!', '?', ',') AND prev IS NOT DISTINCT FROM word)""",
     cell="""SELECT a.doc_id, a.use_dedup, rate, l.len AS origin_words, count(*) AS kept_words, string_agg(word, ' ' ORDER BY pos) AS compressed,
-              round_even(count(*) / greatest(l.len, 1), 3) AS retention FROM akept a JOIN dlen l USING (doc_id) GROUP BY ALL""",
+              round_even(count(*) / greatest(any_value(l.len), 1), 3) AS retention FROM akept a JOIN dlen l USING (doc_id) GROUP BY ALL""",
 )
 
 
