@@ -45,7 +45,12 @@ def split_words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.coalesce(F.size(split_words(F.coalesce(c, F.lit("")))), F.lit(0))
+    return count_words(F.coalesce(c, F.lit("")))
+
+
+def count_words(c: Column) -> Column:
+    """Words of a non-null text, counted without building the array."""
+    return F.regexp_count(c, F.lit(f"{U}{NOT_WS}+"))
 
 
 def truncate_words(c: Column, n: int) -> Column:

@@ -1,10 +1,9 @@
 """Keep-rate compression and the composite compression jobs."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts, text as tx
-from ..functions.bind import let
 from . import dedup, merge, selection
 from .scores import Vocabulary, counted_words
 from .segment import by_key, sentence_windows
@@ -20,51 +19,50 @@ def cut_rank(n: Column, rate: Column, target: Column | None = None) -> Column:
     return by_rate if target is None else F.when(target > 0, target).otherwise(by_rate)
 
 
-def keep_words(scored: DataFrame, keep: list[str], rate: Column, target: Column | None = None) -> DataFrame:
-    """Prune scored words: keep.., words (array), kept (ascending positions).
+def mark_words(scored: DataFrame, keep: list[str], rate: Column, target: Column | None = None) -> DataFrame:
+    """Add `stays` to scored words: keep.., pos, word, count, stays.
 
-    scored: keep.., pos, word, count. Rare words go first, ties in reading order. Words
-    with a digit and the forced marks always stay; a forced mark that repeats the kept
-    word before it is dropped.
+    Rare words stay first, ties in reading order, up to the budget. Words with a digit and
+    the forced marks always stay; a forced mark that repeats the staying word before it goes.
+    The windows run over one text's words, and the rows are already placed by text.
     """
-    forced = lambda w: w.isin(tx.FORCED_TOKENS)
-    place = lambda x: F.struct(x["count"].alias("c"), x["pos"].alias("p"))
-
-    def prune(words: Column, rate: Column, budget: Column | None) -> Column:
-        cut = F.least(cut_rank(F.size(words), rate, budget).cast("int"), F.size(words))
-        last = F.get(F.array_sort(F.transform(words, place)), cut - 1)
-        some = lambda end: F.filter(
-            words,
-            lambda x: F.coalesce(place(x) <= end, F.lit(False)) | x["word"].rlike("[0-9]") | forced(x["word"]),
-        )
-        single = lambda k: F.filter(
-            k,
-            lambda x, i: ~(forced(x["word"]) & (i > 0) & F.coalesce(F.get(k, i - 1)["word"] == x["word"], F.lit(False))),
-        )
-        kept = let(last, lambda end: let(some(end), single))
-        return F.struct(
-            F.transform(words, lambda x: x["word"]).alias("words"), F.transform(kept, lambda x: x["pos"]).alias("kept")
-        )
-
-    aggs = [F.array_sort(F.collect_list(F.struct("pos", "word", "count"))).alias("_w"), F.first(rate).alias("_rate")]
-    if target is not None:
-        aggs.append(F.first(target).alias("_target"))
-    held = scored.groupBy(*keep).agg(*aggs)
-    budget = None if target is None else F.col("_target")
-    return held.select(*keep, let(F.col("_w"), lambda w: prune(w, F.col("_rate"), budget)).alias("r")).select(*keep, "r.*")
+    text = Window.partitionBy(*keep)
+    rank = F.row_number().over(text.orderBy("count", "pos"))
+    held = scored.withColumn("_rank", rank).withColumn("_n", F.count("*").over(text))
+    forced = F.col("word").isin(tx.FORCED_TOKENS)
+    within = F.col("_rank") <= cut_rank(F.col("_n"), rate, target)
+    held = held.withColumn("_in", within | F.col("word").rlike("[0-9]") | forced)
+    before = text.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    previous = F.last(F.when(F.col("_in"), F.col("word")), ignorenulls=True).over(before)
+    repeated = forced & F.coalesce(previous == F.col("word"), F.lit(False))
+    return held.withColumn("stays", F.col("_in") & ~repeated).drop("_rank", "_n", "_in")
+
+
+def keep_words(scored: DataFrame, keep: list[str], rate: Column, target: Column | None = None) -> DataFrame:
+    """Pruned words as arrays: keep.., words (all), kept (ascending positions)."""
+    marked = mark_words(scored, keep, rate, target)
+    item = F.struct("pos", "word", "stays")
+    held = marked.groupBy(*keep).agg(F.array_sort(F.collect_list(item)).alias("_w"))
+    return held.select(
+        *keep, F.transform("_w", lambda x: x["word"]).alias("words"),
+        F.transform(F.filter("_w", lambda x: x["stays"]), lambda x: x["pos"]).alias("kept"),
+    )
 
 
 def compress(
     df: DataFrame, vocab: Vocabulary, rate: float | Column, keep: list[str] = ["doc_id"], text: str = "text",
-    target: Column | None = None, placed: bool = False,
+    target: Column | None = None,
 ) -> DataFrame:
-    """Keep-rate compression of texts: keep.., compressed, origin_words, kept_words, words, kept."""
+    """Keep-rate compression of texts: keep.., compressed, origin_words, kept_words."""
     rate = F.lit(float(rate)) if isinstance(rate, (int, float)) else rate
-    rows = keep_words(counted_words(df, vocab, text, keep, placed), keep, rate, target)
-    return rows.select(
-        *keep, "words", "kept",
-        merge.words_at(F.col("words"), F.col("kept")).alias("compressed"),
-        F.size("words").alias("origin_words"), F.size("kept").alias("kept_words"),
+    marked = mark_words(counted_words(df, vocab, text, keep), keep, rate, target)
+    held = marked.groupBy(*keep).agg(
+        F.array_sort(F.collect_list(F.when(F.col("stays"), F.struct("pos", "word")))).alias("_k"),
+        F.count("*").cast("int").alias("origin_words"),
+    )
+    return held.select(
+        *keep, F.array_join(F.transform("_k", lambda x: x["word"]), " ").alias("compressed"),
+        "origin_words", F.size("_k").alias("kept_words"),
     )
 
 
@@ -79,7 +77,7 @@ def two_decisions(
     """
     held = by_key(docs.select(*keep, F.struct("text", "terms").alias("body")), keep, "body")
     held = held.select(*keep, "body.text", "body.terms")
-    left = compress(held, vocab, rate, keep, placed=True)
+    left = keep_words(counted_words(held, vocab, keep=keep, placed=True), keep, F.lit(float(rate)))
     right = selection.guided_spans(held, size, top_k, keep, placed=True)
     none = F.array().cast("array<int>")
     return left.join(right, keep, "left").withColumns(
@@ -207,21 +205,21 @@ def eval_compress(
         F.struct(F.lit(False).alias("use_dedup"), F.col("text").alias("text")),
         F.struct(F.lit(True).alias("use_dedup"), F.col("deduped").alias("text")),
     )
-    arms = held.select("doc_id", "terms", tx.word_count(F.col("text")).alias("origin_words"), F.explode(texts).alias("a"))
-    arms = arms.select("doc_id", "terms", "origin_words", "a.*")
-    units = sentence_windows(arms, window, keep=["doc_id", "use_dedup", "terms", "origin_words"])
+    arms = held.select("doc_id", "terms", tx.word_count(F.col("text")).alias("origin"), F.explode(texts).alias("a"))
+    arms = arms.select("doc_id", "terms", "origin", "a.*")
+    units = sentence_windows(arms, window, keep=["doc_id", "use_dedup", "terms", "origin"])
     scored = units.withColumn("score", F.get(dedup.term_relevance(F.array("body"), "terms"), F.lit(0)))
     # a text's runs are bounded by the text; the first top_k are cut before the shuffle
     best = selection.top_rows(scored, ["doc_id", "use_dedup"], [F.col("score").desc(), F.col("unit").asc()], top_k)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "body")))
-    chosen = best.groupBy("doc_id", "use_dedup", "origin_words").agg(
+    chosen = best.groupBy("doc_id", "use_dedup", "origin").agg(
         F.array_join(F.transform(ordered, lambda x: x["body"]), " ").alias("text")
     )
     cells = chosen.withColumn("rate", F.explode(F.array(*[F.lit(r) for r in rates])))
-    keep = ["doc_id", "use_dedup", "rate", "origin_words"]
-    fine = keep_words(counted_words(cells, vocab, keep=keep), keep, F.col("rate"))
+    keep = ["doc_id", "use_dedup", "rate", "origin"]
+    fine = compress(cells, vocab, F.col("rate"), keep)
+    retention = F.bround(F.col("kept_words") / F.greatest("origin", F.lit(1)), 3)
     return fine.select(
-        *keep, F.size("kept").alias("kept_words"),
-        merge.words_at(F.col("words"), F.col("kept")).alias("compressed"),
-        F.bround(F.size("kept") / F.greatest("origin_words", F.lit(1)), 3).alias("retention"),
+        "doc_id", "use_dedup", "rate", F.col("origin").alias("origin_words"), "kept_words", "compressed",
+        retention.alias("retention"),
     )

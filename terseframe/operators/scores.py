@@ -70,8 +70,10 @@ def join_scores(units: DataFrame, scores: DataFrame, on: list[str]) -> DataFrame
 
 
 # --- question hits -----------------------------------------------------------
-def term_hits(pieces: Column, terms: Column) -> Column:
-    return F.transform(pieces, lambda p: F.array_contains(terms, tx.term_form(tx.strip(p))))
+def term_hits(body: Column, terms: Column) -> Column:
+    """For each word of a stripped text: is it a question term?"""
+    forms = F.split(F.lower(body), f"{tx.U}{tx.WS}+")
+    return F.transform(forms, lambda w: F.array_contains(terms, F.btrim(w, F.lit(tx.TERM_EDGE))))
 
 
 def hit_attention(hits: Column) -> Column:

@@ -35,9 +35,11 @@ def sentences_of_words(words: DataFrame, sents: DataFrame, keys: list[str]) -> D
 
 
 def top_positions(weights: Column, k: int) -> Column:
-    """Indices of the `k` largest weights, ties by position."""
-    ordered = F.array_sort(F.transform(weights, lambda a, i: F.struct((-a).alias("w"), i.alias("i"))))
-    return F.transform(F.slice(ordered, 1, k), lambda x: x["i"])
+    """Indices of the `k` largest weights, best first, ties by position."""
+    floor = F.get(F.sort_array(weights, asc=False), F.least(F.size(weights), F.lit(k)) - 1)
+    pairs = F.transform(weights, lambda a, i: F.struct((-a).alias("w"), i.alias("i")))
+    best = let(floor, lambda v: F.filter(pairs, lambda x: -x["w"] >= v))
+    return F.transform(F.slice(F.array_sort(best), 1, k), lambda x: x["i"])
 
 
 def select_sentences(
@@ -79,7 +81,7 @@ def select_sentences(
 # --- chunk gate ---------------------------------------------------------------------
 def focus(chunks: DataFrame, terms: str = "terms", body: str = "body") -> DataFrame:
     """Default attention provider: add hit, anchor, attention and n_tokens to chunk rows."""
-    hits = scores.term_hits(spans.match_all(F.col(body), spans.WORD), F.col(terms))
+    hits = scores.term_hits(F.col(body), F.col(terms))
     found = let(
         hits,
         lambda hs: F.struct(
@@ -147,9 +149,10 @@ def guided_spans(
     """
     rows = guided_chunks(docs if placed else by_text(docs, keep), size, top_k, keep)
     every = spans.fold_spans(spans.match_all(F.col("body"), spans.SENTENCE))
+
     def original(s: Column) -> Column:
-        first = tx.word_count(F.substr("body", F.lit(1), s["start"] + 1)) - 1
-        last = tx.word_count(F.substr("body", F.lit(1), s["end"])) - 1
+        first = tx.count_words(F.substr("body", F.lit(1), s["start"] + 1)) - 1
+        last = first + tx.count_words(F.substr("body", s["start"] + 1, s["end"] - s["start"])) - 1
         at = F.col("chunk") * size
         return F.struct(
             (F.col("start") + s["start"]).alias("start"), (F.col("start") + s["end"]).alias("end"),

@@ -1,4 +1,4 @@
-from . import account_queries, compress_queries, eval_queries, text_queries  # noqa: F401
+from . import account_queries, compress_queries, eval_queries, stream_queries, text_queries, vector_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

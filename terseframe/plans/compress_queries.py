@@ -229,8 +229,9 @@ def a18(spark, sf):
 
 @query("l3_reading_order", q.sql("SELECT doc_id, string_agg(pos, ',' ORDER BY pos) AS kept FROM rate_kept GROUP BY 1", "rate_kept"))
 def l3(spark, sf):
-    rows = cp.compress(fx.docs(spark, sf), sc.vocabulary(fx.docs(spark, sf)), 0.5)
-    return rows.filter("kept_words > 0").select("doc_id", join_ints(F.col("kept")).alias("kept"))
+    rows = sc.counted_words(fx.docs(spark, sf), sc.vocabulary(fx.docs(spark, sf)))
+    out = cp.keep_words(rows, ["doc_id"], F.lit(0.5))
+    return out.filter(F.size("kept") > 0).select("doc_id", join_ints(F.col("kept")).alias("kept"))
 
 
 # --- merge ---------------------------------------------------------------------------------------

@@ -36,7 +36,7 @@ def compress_on_arrival(stream: DataFrame, vocab: Vocabulary, rate: float, keep:
     """
 
     def each(batch: DataFrame, n: int) -> None:
-        out = cp.compress(batch, vocab, rate, keep).drop("words", "kept")
+        out = cp.compress(batch, vocab, rate, keep)
         out.write.mode("overwrite").parquet(f"{sink}/batch={n}")
 
     return run_batches(stream, sink, each)
