@@ -82,10 +82,15 @@ def hit_attention(hits: Column) -> Column:
 
 
 # --- documents against a question ---------------------------------------------
-def document_frequency(df: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """Number of texts holding each wanted term (term, df)."""
-    seen = df.select(F.explode(F.array_distinct(F.transform(tx.split_words(F.col(text)), tx.term_form))).alias("term"))
-    return seen.groupBy("term").agg(F.count("*").alias("df")).join(wanted.select("term").distinct(), "term")
+def document_frequency(df: DataFrame, wanted: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Number of texts holding each wanted term (term, df).
+
+    Words that no question asks for drop out before anything is shuffled.
+    """
+    seen = df.select(key, F.explode(F.split(F.lower(text), f"{tx.U}{tx.WS}+")).alias("w"))
+    seen = seen.select(key, F.btrim("w", F.lit(tx.TERM_EDGE)).alias("term"))
+    asked = seen.join(wanted.select("term").distinct(), "term", "left_semi").dropDuplicates([key, "term"])
+    return asked.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25(
@@ -111,20 +116,21 @@ def bm25(
     )
     held = held.withColumn("_avg", avg_len)
 
-    def total(forms: Column, query: Column, hits: Column) -> Column:
+    def total(size: Column, query: Column, hits: Column) -> Column:
         # term frequencies only for the question's terms, over the few matching words
-        norm = BM25_K1 * (1 - BM25_B + BM25_B * F.size(forms) / F.col("_avg"))
+        norm = BM25_K1 * (1 - BM25_B + BM25_B * size / F.col("_avg"))
         tf = lambda x: F.size(F.filter(hits, lambda w: w == x["term"]))
         part = lambda x: let(tf(x), lambda t: x["idf"] * t * (BM25_K1 + 1) / (t + norm))
         return F.aggregate(F.transform(query, part), F.lit(0.0), lambda acc, v: acc + v)
 
+    form = lambda w: F.btrim(w, F.lit(tx.TERM_EDGE))
     raw = let(
-        F.transform(tx.split_words(F.col(text)), tx.term_form),
-        lambda forms: let(
+        F.split(tx.strip(F.lower(text)), f"{tx.U}{tx.WS}+"),
+        lambda ws: let(
             F.transform("query", lambda x: x["term"]),
             lambda names: let(
-                F.filter(forms, lambda w: F.array_contains(names, w)),
-                lambda hits: total(forms, F.col("query"), hits),
+                F.transform(F.filter(ws, lambda w: F.array_contains(names, form(w))), form),
+                lambda hits: total(F.size(ws), F.col("query"), hits),
             ),
         ),
     )

@@ -234,7 +234,7 @@ def model_answers(spark, sf):
     )
 
 
-MODEL_SQL = """SELECT id, arm, f1, em, f1 >= 0.5 AS correct, CASE WHEN arm = 'llm_tq' AND id % 5 > 0 THEN 3.5 + origin % 10 / 20.0 END AS kvx, CASE WHEN arm = 'llm_tq' THEN 4.0 END AS bits,
+MODEL_SQL = """SELECT id, arm, f1, em, f1 >= 0.5 AS correct, CASE WHEN arm = 'llm_tq' AND id % 5 > 0 THEN (3.5 + origin % 10 / 20.0)::DOUBLE END AS kvx, CASE WHEN arm = 'llm_tq' THEN 4.0::DOUBLE END AS bits,
     CASE WHEN arm = 'vanilla_lclm' AND origin // 16 > 0 THEN origin / (origin // 16) END AS seqx FROM (
       SELECT id, CASE arm WHEN 'full' THEN 'vanilla_llm' ELSE arm END AS arm, f1, em, origin FROM scored_ans
       UNION ALL SELECT id, unnest(['llm_tq', 'vanilla_lclm']), f1, em, origin FROM scored_ans WHERE arm = 'full')"""

@@ -7,6 +7,7 @@ from ..functions import text as tx
 from ..operators import compress as cp
 from ..operators import scores
 from ..operators.windows import running_sum
+from ..sources.files import spread
 
 MIN_TERM = 4
 REQUEST_SPAN = 256  # a request holds the documents of one source inside a run of doc ids
@@ -16,8 +17,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return texts(spark, sf).select("doc_id", "text")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +44,7 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """Retrieval requests: req_id, unit_idx, doc_id, text, qid; at most REQUEST_SPAN units each."""
-    rows = table(spark, sf, "documents")
+    rows = texts(spark, sf)
     n = table(spark, sf, "benchmark").agg(F.count("*").alias("n")).scalar()
     block = F.floor(F.col("doc_id") / REQUEST_SPAN)
     return rows.select(

@@ -17,3 +17,9 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return add
+
+
+def as_bigint(columns: dict[str, list[str]]) -> None:
+    for key, names in columns.items():
+        cast = ", ".join(f'"{n}"::BIGINT AS "{n}"' for n in names)
+        ORACLES[key] = f"SELECT * REPLACE ({cast}) FROM ({ORACLES[key]})"

@@ -35,7 +35,7 @@ def vecs(spark, sf):
 
 @query(
     "q1_codebook_levels",
-    f"SELECT level, round(c, 9) AS centroid, n FROM (SELECT unnest(range({2**BITS})) AS level, unnest({numbers(CENTROIDS)}) AS c) JOIN (SELECT level, count(*) AS n FROM (SELECT unnest(code) AS level FROM ({CODED_SQL})) GROUP BY 1) USING (level)",
+    f"SELECT level, round(c::DOUBLE, 9) AS centroid, n FROM (SELECT unnest(range({2**BITS})) AS level, unnest({numbers(CENTROIDS)}) AS c) JOIN (SELECT level, count(*) AS n FROM (SELECT unnest(code) AS level FROM ({CODED_SQL})) GROUP BY 1) USING (level)",
 )
 def q1(spark, sf):
     """Levels of the codebook with how often the table uses them."""

@@ -17,6 +17,13 @@ from . import schemas
 MAX_CONTEXT_WORDS = 2500
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a scan out when its files give fewer splits than there are cores (one small or
+    unsplittable file). A scan of many splits passes through without a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_examples(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Files holding {config, examples: [..]} -> one row per example with its config."""
     doc = spark.read.schema(schemas.EXAMPLES).json(path, multiLine=multi_line)
