@@ -139,6 +139,38 @@ def guided_text(docs: DataFrame, size: int, top_k: int, keep: list[str] = ["doc_
     )
 
 
+def in_original(sents: Column, size: int) -> Column:
+    """Sentences of a chunk as spans of the whole text with the word positions they cover.
+
+    The chunk is walked once: a word index grows by the blank-to-word steps passed.
+    """
+    body = F.col("body")
+    steps = lambda a, b: F.regexp_count(F.substr(body, a + 1, b - a + 1), F.lit(f"{tx.U}{tx.WS}{tx.NOT_WS}"))
+    zero = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("idx"),
+        F.array().cast("array<struct<start:int,end:int,w0:int,w1:int>>").alias("out"),
+    )
+
+    def place(acc: Column, s: Column, first: Column, last: Column) -> Column:
+        span = F.struct(
+            (F.col("start") + s["start"]).cast("int").alias("start"), (F.col("start") + s["end"]).cast("int").alias("end"),
+            (F.col("chunk") * size + first).cast("int").alias("w0"), (F.col("chunk") * size + last).cast("int").alias("w1"),
+        )
+        return F.struct(
+            (s["end"] - 1).cast("int").alias("at"), last.cast("int").alias("idx"),
+            F.concat(acc["out"], F.array(span)).alias("out"),
+        )
+
+    def step(acc: Column, s: Column) -> Column:
+        first = acc["idx"] + steps(acc["at"], s["start"])
+        return let(
+            first,
+            lambda i: let(i + steps(s["start"], s["end"] - 1), lambda j: place(acc, s, i, j)),
+        )
+
+    return F.aggregate(sents, zero, step, lambda acc: acc["out"])
+
+
 def guided_spans(
     docs: DataFrame, size: int, top_k: int, keep: list[str] = ["doc_id"], placed: bool = False
 ) -> DataFrame:
@@ -150,19 +182,10 @@ def guided_spans(
     rows = guided_chunks(docs if placed else by_text(docs, keep), size, top_k, keep)
     every = spans.fold_spans(spans.match_all(F.col("body"), spans.SENTENCE))
 
-    def original(s: Column) -> Column:
-        first = tx.count_words(F.substr("body", F.lit(1), s["start"] + 1)) - 1
-        last = first + tx.count_words(F.substr("body", s["start"] + 1, s["end"] - s["start"])) - 1
-        at = F.col("chunk") * size
-        return F.struct(
-            (F.col("start") + s["start"]).alias("start"), (F.col("start") + s["end"]).alias("end"),
-            (at + first).alias("w0"), (at + last).alias("w1"),
-        )
-
     rows = rows.withColumn(
         "_chosen",
-        F.when(~F.col("skipped"), F.transform("kept", original))
-        .when(F.col("chunk") == 0, F.transform(every, original)),
+        F.when(~F.col("skipped"), in_original(F.col("kept"), size))
+        .when(F.col("chunk") == 0, in_original(every, size)),
     )
     grouped = rows.groupBy(*keep).agg(
         F.count("*").alias("n_chunks"),

@@ -129,10 +129,14 @@ def p4(spark, sf):
 
 
 # --- the two panels ----------------------------------------------------------------------------
-def panel(rows, methods, mode):
-    """Layer-one text of one panel over the same decisions: none, rate, guided or both."""
-    routed = cp.route(rows.withColumn("methods", F.array(*[F.lit(m) for m in methods])).withColumn("attn_query", F.lit(None).cast("string")))
-    both = cp.merged_text(routed, F.lit(mode), F.size(F.coalesce("spans", F.array())) == 0)
+def panels(rows, choices):
+    """Layer-one text per panel over the same decisions; panels are rows of one plan."""
+    cell = lambda name, methods, mode: F.struct(
+        F.lit(name).alias("panel"), F.array(*[F.lit(m) for m in methods]).cast("array<string>").alias("methods"), F.lit(mode).alias("mode")
+    )
+    each = rows.withColumn("_p", F.explode(F.array(*[cell(*c) for c in choices]))).select("*", "_p.*").drop("_p")
+    routed = cp.route(each.withColumn("attn_query", F.lit(None).cast("string")))
+    both = cp.merged_text(routed, F.col("mode"), F.size(F.coalesce("spans", F.array())) == 0)
     return both.withColumn(
         "shown",
         F.when(F.col("route") == "both", F.col("merged_text"))
@@ -157,11 +161,7 @@ PANELS = [("none", [], "intersection"), ("rate", ["llmlingua"], "intersection"),
     ),
 )
 def c16(spark, sf):
-    rows = fx.decisions(spark, sf)
-    out = None
-    for name, methods, mode in PANELS:
-        one = panel(rows, methods, mode).select("doc_id", F.lit(name).alias("panel"), "text", "shown")
-        out = one if out is None else out.unionByName(one)
+    out = panels(fx.decisions(spark, sf), PANELS)
     kept = tx.word_count(F.col("shown"))
     return out.select("doc_id", "panel", "shown", kept.alias("kept_words"), ac.hard_ratio(tx.word_count(F.col("text")), kept).alias("hard_ratio"))
 
@@ -174,10 +174,10 @@ def c16(spark, sf):
     ),
 )
 def j10(spark, sf):
-    rows = fx.decisions(spark, sf)
-    a = panel(rows, ["llmlingua"], "intersection").select("doc_id", tx.word_count(F.col("shown")).alias("kept_a"))
-    b = panel(rows, ["llmlingua", "attentionrag"], "union").select("doc_id", tx.word_count(F.col("shown")).alias("kept_b"))
-    return a.join(b, "doc_id").withColumn("delta", F.col("kept_b") - F.col("kept_a"))
+    out = panels(fx.decisions(spark, sf), [PANELS[1], PANELS[3]])
+    of = lambda name: F.max(F.when(F.col("panel") == name, tx.word_count(F.col("shown"))))
+    both = out.groupBy("doc_id").agg(of("rate").alias("kept_a"), of("both").alias("kept_b"))
+    return both.withColumn("delta", F.col("kept_b") - F.col("kept_a"))
 
 
 # --- sessions -------------------------------------------------------------------------------------
