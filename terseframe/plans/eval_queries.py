@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..operators import dedup, evaluate as ev, merge as mg
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import files
 from . import fixtures as fx, sqltext as q
 from .compress_queries import DEDUP_CTES, DEDUP_T, recursive
@@ -64,7 +64,7 @@ def answers(spark, sf):
     """Answer of a reader that repeats the fact words still in its context, or UNKNOWN."""
     held = contexts(spark, sf).join(golds(spark, sf), "id")
     fact = F.slice(tx.split_words(F.get("golds", F.lit(0))), 1, 8)
-    left = F.filter(fact, lambda w: F.array_contains(F.split("context", " "), w))
+    left = ev.let(F.split("context", " "), lambda held: F.filter(fact, lambda w: F.array_contains(held, w)))
     answer = F.when(F.size(left) > 0, F.array_join(left, " ")).otherwise("UNKNOWN")
     return held.select("id", "arm", "context", "origin", "kept_words", answer.alias("answer"))
 
@@ -226,7 +226,7 @@ def model_answers(spark, sf):
     coded = F.col("arm") == "llm_tq"
     latent = F.col("arm") == "vanilla_lclm"
     return every.select(
-        "id", "arm", "f1", "em", "correct",
+        "id", "arm", "f1", "em", "correct", "origin", "kept_words",
         F.when(coded & (F.col("id") % 5 > 0), 3.5 + F.col("origin") % 10 / 20.0).alias("kv_compression_x"),
         F.when(coded, 4.0).alias("eff_bits"),
         F.when(latent, F.col("origin")).alias("input_tokens"),
@@ -248,7 +248,7 @@ REPORT = dict(ALL, ret=RET_SQL, mods=MODEL_SQL, cells=CELL_SQL)
 
 @query("a9_compression_cell", q.sql("SELECT * FROM cells", *CTX_DEPS, **REPORT))
 def a9(spark, sf):
-    return ev.compression_cells(model_answers(spark, sf), retentions(spark, sf))
+    return ev.compression_cells(*report_rows(spark, sf))
 
 
 @query("q9_sequence_factor", q.sql("SELECT arm, round(avg(seqx), 6) AS seqx, count(seqx) AS n FROM mods WHERE arm = 'vanilla_lclm' GROUP BY 1", *CTX_DEPS, **REPORT))
@@ -258,6 +258,13 @@ def q9(spark, sf):
     return rows.groupBy("arm").agg(F.round(F.avg(ratio), 6).alias("seqx"), F.count("*").alias("n"))
 
 
+def report_rows(spark, sf):
+    """Scored answers, written once, and the retention of the token arms taken from them."""
+    rows = materialize(model_answers(spark, sf))
+    share = rows.filter("origin > 0").select("arm", (F.col("kept_words") / F.col("origin")).alias("retention"))
+    return rows, ev.mean_retention(share)
+
+
 ARM_ORDER = "(VALUES (0, 'lingua'), (1, 'union'), (2, 'intersection'), (3, 'vanilla_llm'), (4, 'llm_tq'), (5, 'vanilla_lclm'), (6, 'lclm_tq')) o(ord, arm)"
 
 
@@ -270,14 +277,14 @@ ARM_ORDER = "(VALUES (0, 'lingua'), (1, 'union'), (2, 'intersection'), (3, 'vani
     ),
 )
 def s14(spark, sf):
-    rows = model_answers(spark, sf)
-    return ev.report(ev.summarize(rows), ev.compression_cells(rows, retentions(spark, sf)))
+    rows, kept = report_rows(spark, sf)
+    return ev.report(ev.summarize(rows), ev.compression_cells(rows, kept))
 
 
 @query("c19_scored_evaluation", q.sql(f"SELECT arm, {SUM_COLS.replace('f1 >= 0.5', 'correct')}, c.compression, c.notes FROM mods JOIN cells c USING (arm) GROUP BY arm, c.compression, c.notes", *CTX_DEPS, **REPORT))
 def c19(spark, sf):
-    rows = model_answers(spark, sf)
-    return ev.summarize(rows).join(ev.compression_cells(rows, retentions(spark, sf)), "arm")
+    rows, kept = report_rows(spark, sf)
+    return ev.summarize(rows).join(ev.compression_cells(rows, kept), "arm")
 
 
 @query("u4_missing_arms", q.sql(f"SELECT ord, arm FROM {ARM_ORDER} WHERE arm NOT IN (SELECT arm FROM mods)", *CTX_DEPS, **REPORT))
@@ -287,7 +294,7 @@ def u4(spark, sf):
 
 @query("u5_union_of_groups", q.sql("SELECT id, arm, CASE WHEN arm = 'llm_tq' THEN bits END AS eff_bits, CASE WHEN arm = 'vanilla_lclm' THEN origin END AS latent FROM (SELECT m.*, s.origin FROM mods m JOIN (SELECT id, origin FROM scored_ans WHERE arm = 'full') s USING (id)) WHERE arm IN ('llm_tq', 'vanilla_lclm')", *CTX_DEPS, **REPORT))
 def u5(spark, sf):
-    rows = model_answers(spark, sf)
+    rows, _ = report_rows(spark, sf)
     a = rows.filter("arm = 'llm_tq'").select("id", "arm", "eff_bits")
     b = rows.filter("arm = 'vanilla_lclm'").select("id", "arm", F.col("input_tokens").alias("latent"))
     return a.unionByName(b, allowMissingColumns=True)
