@@ -18,7 +18,7 @@ SEG_SQL = f"""SELECT {TAKE_SQL} AS take, k, array_to_string(ws[3 * k + 1:3 * k +
 DONE_SQL = f"SELECT {TAKE_SQL} AS take, array_to_string(regexp_extract_all(text, '\\S+'), ' ') AS text, start_ms, start_ms + 300 * n AS end_ms, speaker FROM utt WHERE n > 0"
 
 
-def messages(spark, sf, files_out: int = 3) -> str:
+def messages(spark, sf, files_out: int = 2) -> str:
     """Writes the turns as recognition messages (take, seq, last, value), JSON lines.
 
     Every segment sends an interim guess and then its final form; the last final form of a
