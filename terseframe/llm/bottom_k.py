@@ -103,14 +103,10 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     cuts = rows.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)
     cuts = sorted({int(c) for c in cuts})
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    # the number of cuts at or above the id, by halving; null ids come last
-    place = F.lit(0)
-    step = 1
-    while step * 2 <= len(cuts):
-        step *= 2
-    while step and cuts:
-        there = place + step
-        place = F.when((there <= len(cuts)) & (F.get(bounds, there - 1) < F.col("doc_id")), there).otherwise(place)
+    # the number of cuts below the id, by halving; null ids come last
+    place, step = F.lit(0), 1 << (len(cuts).bit_length() - 1) if cuts else 0
+    while step:
+        place = _let(place, lambda p, s=step: F.when(F.get(bounds, p + (s - 1)) < F.col("doc_id"), p + s).otherwise(p))
         step //= 2
     rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(place))
     tops = rows.groupBy("part").agg(F.max("doc_id").alias("top"))  # at most `parts` rows

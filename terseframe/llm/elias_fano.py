@@ -103,12 +103,14 @@ class EliasFano:
             return np.zeros(len(x), np.int64)
         low = x & _U((1 << self.width) - 1)
         at, end = self._bounds(x, lo, hi)
-        while True:
-            todo = np.flatnonzero(at < end)
-            todo = todo[self._low(at[todo]) < low[todo]] if len(todo) else todo
-            if not len(todo):
-                return at
-            at[todo] += 1
+        todo = np.flatnonzero(at < end)
+        while len(todo):  # halving, since a dense stretch may share a high part
+            mid = (at[todo] + end[todo]) >> 1
+            less = self._low(mid) < low[todo]
+            at[todo[less]] = mid[less] + 1
+            end[todo[~less]] = mid[~less]
+            todo = todo[at[todo] < end[todo]]
+        return at
 
     def find(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int = 1 << 62) -> np.ndarray:
         """Index of x among the values lo..hi-1, or -1."""
