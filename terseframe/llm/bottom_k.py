@@ -92,7 +92,7 @@ def encoded(s: Column) -> Column:
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Each row with the text and sketch of the next document in descending doc_id, after the last the first.
+    """Each row with the text of the next document in descending doc_id, after the last the first.
 
     Rows are dealt into doc_id ranges cut at quantiles. Every range also gets the first row
     of the range after it, so the next row is always in the same window.
@@ -120,9 +120,8 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     every = rows.withColumn("head", F.lit(False)).unionByName(
         heads.select(F.lit(None).cast("long").alias("doc_id"), "text", "part", F.lit(True).alias("head"))
     )
-    every = every.withColumn("sketch", sketch(F.col("text")))
     down = Window.partitionBy("part").orderBy("head", F.desc_nulls_last("doc_id"), "text")
-    every = every.withColumn("next_text", F.lead("text").over(down)).withColumn("next_sketch", F.lead("sketch").over(down))
+    every = every.withColumn("next_text", F.lead("text").over(down))
     return every.filter("not head").drop("head", "part")
 
 
@@ -139,10 +138,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn(
         "edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     )
-    rows = rows.withColumn("edited_sketch", sketch(F.col("edited")))
-    a, e, x = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    # the next text is sketched again, so that only texts move
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[
+        sketch(F.col(c)).alias(f"{c}_sketch") for c in ("text", "edited", "next_text")
+    ])
+    a, e, x = F.col("text_sketch"), F.col("edited_sketch"), F.col("next_text_sketch")
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), encoded(a).alias("fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", encoded(a).alias("fingerprint"),
         encoded(e).alias("edited_fingerprint"), resemblance(a, e).alias("near_edited"), resemblance(a, x).alias("near_next"),
         containment(a, e).alias("contained_edited"), distinct_count(a).alias("distinct_shingles"),
     )

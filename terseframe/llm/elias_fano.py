@@ -97,12 +97,11 @@ class EliasFano:
         high = (x >> _U(self.width)).astype(np.int64)
         return np.maximum(self.starts(high), lo), np.minimum(self.starts(high + 1), hi)
 
-    def successor(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int = 1 << 62) -> np.ndarray:
-        """Index of the first value at or above x among those lo..hi-1 that share its high part, else their end."""
-        if not self.n:
-            return np.zeros(len(x), np.int64)
+    def _search(self, x: np.ndarray, lo: np.ndarray | int, hi: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place at or above x, end, low bits of x) among the places lo..hi-1 that share x's high part."""
         low = x & _U((1 << self.width) - 1)
-        at, end = self._bounds(x, lo, hi)
+        at, stop = self._bounds(x, lo, hi)
+        end = stop.copy()
         todo = np.flatnonzero(at < end)
         while len(todo):  # halving, since a dense stretch may share a high part
             mid = (at[todo] + end[todo]) >> 1
@@ -110,16 +109,22 @@ class EliasFano:
             at[todo[less]] = mid[less] + 1
             end[todo[~less]] = mid[~less]
             todo = todo[at[todo] < end[todo]]
-        return at
+        return at, stop, low
+
+    def successor(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int = 1 << 62) -> np.ndarray:
+        """Index of the first value at or above x among those lo..hi-1 that share its high part, else their end."""
+        return self._search(x, lo, hi)[0] if self.n else np.zeros(len(x), np.int64)
 
     def find(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int = 1 << 62) -> np.ndarray:
         """Index of x among the values lo..hi-1, or -1."""
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
-        at, (_, end) = self.successor(x, lo, hi), self._bounds(x, lo, hi)
-        hit = at < end
-        hit[hit] = self._low(at[hit]) == (x[hit] & _U((1 << self.width) - 1))
-        return np.where(hit, at, -1)
+        at, stop, low = self._search(x, lo, hi)
+        hit = np.flatnonzero(at < stop)
+        hit = hit[self._low(at[hit]) == low[hit]]
+        out = np.full(len(x), -1, np.int64)
+        out[hit] = at[hit]
+        return out
 
 
 def store(arrays: list[np.ndarray]) -> bytes:

@@ -24,6 +24,7 @@ files' pages. The number of shards follows the number of characters, so a shard'
 
 import os
 import tempfile
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -59,19 +60,18 @@ class Chunk:
     """Texts turned into token numbers of one growing word table; 0 is the end, 1 the start."""
 
     def __init__(self) -> None:
-        self.table: dict[bytes, int] = {b"end\n": 0, b"start\n": 1}
+        self.table: defaultdict[bytes, int] = defaultdict()
+        self.table.default_factory = self.table.__len__
+        self.table[b"end\n"], self.table[b"start\n"] = 0, 1
         self.ids: list[np.ndarray] = []
         self.sizes: list[int] = []
         self.tokens = 0
 
     def add(self, text: str | None) -> None:
         words = ascii_words(text)
-        table = self.table
-        for w in set(words).difference(table):
-            table[w] = len(table)
         ids = np.empty(len(words) + 2, np.int32)
         ids[0], ids[-1] = 1, 0
-        ids[1:-1] = np.fromiter(map(table.__getitem__, words), np.int32, len(words))
+        ids[1:-1] = np.fromiter(map(self.table.__getitem__, words), np.int32, len(words))
         self.ids.append(ids)
         self.sizes.append(len(ids) - 1)
         self.tokens += len(ids) - 1
@@ -90,6 +90,7 @@ class Chunk:
 
 def _groups(shard: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, places) of every shard that occurs; places keep their order."""
+    shard = shard.astype(np.uint16) if n < 65536 else shard  # sorted by digits
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(n + 1))
     for s in range(n):
