@@ -104,10 +104,12 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     cuts = sorted({int(c) for c in cuts})
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
     # the number of cuts below the id, by halving; null ids come last
-    place, step = F.lit(0), 1 << (len(cuts).bit_length() - 1) if cuts else 0
-    while step:
-        place = _let(place, lambda p, s=step: F.when(F.get(bounds, p + (s - 1)) < F.col("doc_id"), p + s).otherwise(p))
-        step //= 2
+    def halve(step: int) -> Callable[[Column], Column]:
+        return lambda p: F.when(F.get(bounds, p + (step - 1)) < F.col("doc_id"), p + step).otherwise(p)
+
+    place = F.lit(0)
+    for power in reversed(range(len(cuts).bit_length())):
+        place = _let(place, halve(1 << power))
     rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(place))
     tops = rows.groupBy("part").agg(F.max("doc_id").alias("top"))  # at most `parts` rows
     ring = Window.orderBy(F.desc("part"))

@@ -89,10 +89,11 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     often = made.groupBy("print").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter("lo < hi").select("print")
     met = made.join(often, "print")
     spot = F.struct("doc_id", "first")
-    origin = made.join(often, "print", "left_semi").groupBy("print", "win").agg(
-        F.min(spot).alias("origin"), F.max(spot).alias("hi")
-    ).filter("origin < hi").drop("hi")
-    later = met.join(origin, ["print", "win"]).filter(F.struct("doc_id", "first") > F.col("origin"))
+    # windows are dealt by a hash of their own, since a common line may select many different ones
+    met = met.withColumn("cell", F.xxhash64("print", "win"))
+    origin = met.groupBy("cell", "win").agg(F.min(spot).alias("origin"), F.max(spot).alias("hi"))
+    origin = origin.filter("origin < hi").drop("hi")
+    later = met.join(origin, ["cell", "win"]).filter(F.struct("doc_id", "first") > F.col("origin"))
     return later.select(
         "doc_id", "first", "last", F.col("origin.doc_id").alias("kept_id"), F.col("origin.first").alias("kept_line")
     )
