@@ -8,22 +8,26 @@ mixture; packing reads that order back from file names and row numbers.
 from pyspark.sql import DataFrame, SparkSession
 
 from terseframe.llm import golay_dedup, line_winnow, pfair_mix, quality_crf, var_pack
+from terseframe.llm.common import short_batches
 from terseframe.llm.queries import TARGETS
 from terseframe.session import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier takes for good."""
+    short_batches(spark)
     return quality_crf.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines cut; documents with nothing left go."""
+    short_batches(spark)
     return line_winnow.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    short_batches(spark)
     return golay_dedup.keep_one(docs)
 
 

@@ -1,6 +1,6 @@
 """Shared parts: whitespace words, line cuts, connected components, fresh column names."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -9,6 +9,11 @@ from ..session import materialize
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hands whole texts to Python in Arrow batches of `rows`, so that a worker holds few of them at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of a text as UTF-8 bytes, A-Z lower-cased; null and empty give none."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []

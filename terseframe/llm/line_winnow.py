@@ -87,12 +87,13 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     made = materialize(rows.mapInPandas(_windows(min_words), WINDOW))
     spot = F.struct("doc_id", "print_at")
     often = made.groupBy("print").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter("lo < hi").select("print")
+    often = materialize(often)  # both sides of the joins are plain shuffles, which can be split
     met = made.join(often, "print")
     spot = F.struct("doc_id", "first")
     # windows are dealt by a hash of their own, since a common line may select many different ones
     met = met.withColumn("cell", F.xxhash64("print", "win"))
     origin = met.groupBy("cell", "win").agg(F.min(spot).alias("origin"), F.max(spot).alias("hi"))
-    origin = origin.filter("origin < hi").drop("hi")
+    origin = materialize(origin.filter("origin < hi").drop("hi"))
     later = met.join(origin, ["cell", "win"]).filter(F.struct("doc_id", "first") > F.col("origin"))
     return later.select(
         "doc_id", "first", "last", F.col("origin.doc_id").alias("kept_id"), F.col("origin.first").alias("kept_line")
@@ -117,6 +118,9 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([cut_lines(t, None if s is None else [(x["first"], x["last"]) for x in s]) for t, s in zip(texts, spans)], dtype=object)
 
 
+_cut = _cut.asNondeterministic()  # so that a filter on the text does not run it a second time
+
+
 def runs(found: DataFrame) -> DataFrame:
     """doc_id and spans: the removed windows of each document, as sorted distinct (first, last)."""
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
