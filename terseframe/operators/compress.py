@@ -154,23 +154,25 @@ def two_stage(
 
     units: req_id, unit_idx, doc_id, text, qid, score. Only survivors reach the word stage,
     and a request collects at most `top_k` of them. A request without survivors gets ' '.
+    context_origin counts the words of the survivors, documents_origin those of all units.
     """
     chosen = selection.select_and_reorder(units, top_k, floor)
     fine = compress(chosen, vocab, rate, ["req_id", "rank"])
     ordered = F.array_sort(F.collect_list(F.struct("rank", "compressed")))
     kept = fine.groupBy("req_id").agg(
         F.count("*").alias("kept_documents"), F.sum("kept_words").alias("context_kept"),
+        F.sum(F.col("origin_words").cast("bigint")).alias("context_origin"),
         F.array_join(F.transform(ordered, lambda x: x["compressed"]), "\n\n").alias("context"),
     )
     whole = units.groupBy("req_id").agg(
         F.first("qid").alias("qid"), F.count("*").alias("total_documents"),
-        F.sum(tx.word_count(F.col("text")).cast("bigint")).alias("context_origin"),
+        F.sum(tx.word_count(F.col("text")).cast("bigint")).alias("documents_origin"),
     )
     rows = whole.join(kept, "req_id", "left").join(questions, "qid", "left")
     context = F.coalesce("context", F.lit(" "))
     return rows.select(
-        "req_id", "kept_documents", "total_documents", "context_origin",
-        F.coalesce("context_kept", F.lit(0)).alias("context_kept"),
+        "req_id", F.coalesce("kept_documents", F.lit(0)).alias("kept_documents"), "total_documents", "documents_origin",
+        F.coalesce("context_origin", F.lit(0)).alias("context_origin"), F.coalesce("context_kept", F.lit(0)).alias("context_kept"),
         prompts.assemble(F.lit(instruction), context, F.coalesce("question", F.lit(""))).alias("prompt"),
     )
 
@@ -182,7 +184,7 @@ def question_conditioned(units: DataFrame, vocab: Vocabulary, rate: float, extra
     The budget is `rate` of the request's words plus `extra`; the document that crosses it
     is still taken.
     """
-    ranked = selection.rank_units(units, bounded=True).withColumn("n_words", tx.word_count(F.col("text")))
+    ranked = selection.rank_units(units).withColumn("n_words", tx.word_count(F.col("text")))
     upto = running_sum(ranked, ["req_id"], "rank", F.col("n_words"), "upto")
     size = ranked.groupBy("req_id").agg(F.count("*").alias("n"), F.sum("n_words").alias("total"))
     inside = upto.join(size, "req_id").filter(F.col("upto") - F.col("n_words") <= rate * F.col("total") + extra)

@@ -1,5 +1,8 @@
 """Align two keep-decisions on one word sequence, combine them, rebuild the text."""
 
+import re
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -8,24 +11,30 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..functions.bind import let
 
+TILE = re.compile(r"\S+")
 SPAN_BUCKET = 512
 MODES = ("intersection", "union")
 
 
 # --- spans of externally labelled words --------------------------------------------
 def locate_words(text: str, words) -> list[dict]:
-    """Successive positions of `words` in `text`; a miss restarts the search at 0."""
-    out, at = [], 0
+    """Spans of externally given words in `text`.
+
+    Words that are the text's own, in order, get the spans of its tiling. Otherwise each
+    word takes its first place at or after the end of the last span, or, past its last place, its
+    first one; a word without a place (or empty) gets a zero-width span there.
+    """
+    tiles = [m.span() for m in TILE.finditer(text)]
+    if len(tiles) == len(words) and all(text[a:b] == w for (a, b), w in zip(tiles, words)):
+        return [{"start": a, "end": b} for a, b in tiles]
+    places = {w: [m.start() for m in re.finditer(f"(?={re.escape(w)})", text)] for w in set(words) if w}
+    spans, free = [], 0
     for w in words:
-        if w:
-            hit = text.find(w, at)
-            hit = text.find(w) if hit < 0 else hit
-            if hit >= 0:
-                at = hit + len(w)
-                out.append({"start": hit, "end": at})
-                continue
-        out.append({"start": at, "end": at})
-    return out
+        found = places.get(w)
+        a = found[bisect_left(found, free) % len(found)] if found else free
+        free = a + len(w or "") if found else free
+        spans.append({"start": a, "end": free})
+    return spans
 
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -33,7 +42,6 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end
 
 @F.pandas_udf(T.ArrayType(SPAN))
 def word_spans_udf(text: pd.Series, words: pd.Series) -> pd.Series:
-    # the cursor may move backwards, so the search is a sequential fold over one text
     return pd.Series([locate_words(t or "", w if w is not None else []) for t, w in zip(text, words)])
 
 

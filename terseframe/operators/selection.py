@@ -98,13 +98,13 @@ def gated(chunks: DataFrame, anchor: str = "anchor") -> DataFrame:
 
 
 def hint_prefix(question: Column, given: Column | None = None, fixed: bool = False) -> Column:
-    """Fixed prefix, else the given one, else the rule for the question; first line only."""
+    """Fixed prefix, else the given one as it is, else the first line of the rule's for the question."""
     if fixed:
         return F.lit(FIXED_PREFIX)
     made = F.when(tx.is_yes_no(question), "None").otherwise(DEFAULT_PREFIX)
-    raw = made if given is None else F.coalesce(given, made)
-    first = tx.strip(F.get(F.split(tx.strip(raw), r"\r\n|\n|\r"), F.lit(0)))
-    return F.when(first == "", "None").otherwise(first) if given is None else first
+    first = tx.strip(F.get(F.split(tx.strip(made), r"\r\n|\n|\r"), F.lit(0)))
+    made = F.when(first == "", "None").otherwise(first)
+    return made if given is None else F.coalesce(given, made)
 
 
 def is_empty_prefix(prefix: Column) -> Column:

@@ -72,7 +72,7 @@ def rank_rows(
     inside = Window.partitionBy(*keys, "_p").orderBy(*order)
     return (
         placed.join(carried, [*keys, "_p"])
-        .withColumn(out, (F.col("_carry") + F.row_number().over(inside)).cast("int"))
+        .withColumn(out, F.col("_carry") + F.row_number().over(inside))
         .drop("_p", "_carry")
     )
 

@@ -17,7 +17,7 @@ as_bigint({
     "c11_target_budget": ["pos_sum"],
     "c1_word_positions": ["chars", "lo", "hi"],
     "c4_merge_labels": ["guided"],
-    "c12_two_stage": ["context_origin", "context_kept"],
+    "c12_two_stage": ["documents_origin", "context_origin", "context_kept"],
     "c18_arm_grid": ["origin_words", "kept_words"],
     "a1_bag_overlap": ["same"],
     "s8_transcript_scan": ["startMs", "endMs"],

@@ -391,8 +391,7 @@ def c5(spark, sf):
 # --- documents of a request ------------------------------------------------------------------------
 @query("w1_rank_units", q.sql("SELECT req_id, unit_idx, rank FROM ranked", "ranked"))
 def w1(spark, sf):
-    # a request holds at most REQUEST_SPAN units, so its window is bounded
-    return sel.rank_units(fx.ranked_requests(spark, sf), bounded=True).select("req_id", "unit_idx", "rank")
+    return sel.rank_units(fx.ranked_requests(spark, sf)).select("req_id", "unit_idx", "rank")
 
 
 @query(
@@ -431,7 +430,7 @@ def c10(spark, sf):
     q.sql("SELECT req_id, unit_idx, round(greatest(least((1 - 2 * (rank - 1) / n) * 0.3 + 0.75, 1), 0), 6) AS rate FROM ranked", "ranked"),
 )
 def w12(spark, sf):
-    ranked = sel.rank_units(fx.ranked_requests(spark, sf), bounded=True)
+    ranked = sel.rank_units(fx.ranked_requests(spark, sf))
     n = ranked.groupBy("req_id").agg(F.count("*").alias("n"))
     rate = sel.dynamic_rate(F.col("rank") - 1, F.col("n"), 0.75)
     return ranked.join(n, "req_id").select("req_id", "unit_idx", F.round(rate, 6).alias("rate"))
@@ -460,11 +459,11 @@ TASK = "Answer from the passages."
 @query(
     "c12_two_stage",
     q.sql(
-        f"""SELECT r.req_id, k.kept_documents, r.total_documents, r.o AS context_origin, coalesce(k.c, 0) AS context_kept,
+        f"""SELECT r.req_id, coalesce(k.kept_documents, 0) AS kept_documents, r.total_documents, r.o AS documents_origin, coalesce(k.o, 0) AS context_origin, coalesce(k.c, 0) AS context_kept,
              concat_ws(chr(10)||chr(10), '{TASK}', nullif(trim(coalesce(k.t, ' '), {BLANKS}), ''), nullif(q.question, '')) AS prompt
            FROM (SELECT req_id, any_value(qid) AS qid, count(*) AS total_documents, sum(len) AS o FROM ranked JOIN dlen USING (doc_id) GROUP BY 1) r
-           LEFT JOIN (SELECT req_id, count(*) AS kept_documents, sum(kept_words) AS c, string_agg(compressed, chr(10)||chr(10) ORDER BY rank) AS t
-             FROM ranked JOIN rate_text USING (doc_id) WHERE rank <= 4 GROUP BY 1) k USING (req_id)
+           LEFT JOIN (SELECT req_id, count(*) AS kept_documents, sum(len) AS o, sum(kept_words) AS c, string_agg(compressed, chr(10)||chr(10) ORDER BY rank) AS t
+             FROM ranked JOIN rate_text USING (doc_id) JOIN dlen USING (doc_id) WHERE rank <= 4 GROUP BY 1) k USING (req_id)
            LEFT JOIN (SELECT qid, 'Where is ' || array_to_string(terms[1:3], ' ') || '?' AS question FROM questions) q ON q.qid = r.qid""",
         "ranked", "dlen", "rate_text", "questions",
     ),

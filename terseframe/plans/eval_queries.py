@@ -63,14 +63,14 @@ CTX_SQL = """SELECT n.doc_id AS id, a.arm, n.origin_words AS origin, CASE a.arm
 def answers(spark, sf):
     """Answer of a reader that repeats the fact words still in its context, or UNKNOWN."""
     held = contexts(spark, sf).join(golds(spark, sf), "id")
-    fact = F.slice(tx.split_words(F.get("golds", F.lit(0))), 1, 8)
+    fact = tx.split_words(F.get("golds", F.lit(0)))
     left = ev.let(F.split("context", " "), lambda held: F.filter(fact, lambda w: F.array_contains(held, w)))
     answer = F.when(F.size(left) > 0, F.array_join(left, " ")).otherwise("UNKNOWN")
     return held.select("id", "arm", "context", "origin", "kept_words", answer.alias("answer"))
 
 
 ANS_SQL = r"""SELECT id, arm, context, origin, kept_words, g1, g2, single, CASE WHEN len(l) > 0 THEN array_to_string(l, ' ') ELSE 'UNKNOWN' END AS answer FROM (
-    SELECT c.*, g.g1, g.g2, g.single, list_filter(regexp_extract_all(g.g1, '\S+')[1:8], lambda w: list_contains(string_split(c.context, ' '), w)) AS l FROM ctx c JOIN gold g USING (id))"""
+    SELECT c.*, g.g1, g.g2, g.single, list_filter(regexp_extract_all(g.g1, '\S+'), lambda w: list_contains(string_split(c.context, ' '), w)) AS l FROM ctx c JOIN gold g USING (id))"""
 
 
 def f1_sql(p: str, g: str) -> str:
@@ -429,7 +429,7 @@ def s5(spark, sf):
     return chosen.groupBy(F.col("lang").alias("task")).agg(F.count("*").alias("n"))
 
 
-@query("s6_nested_sentences", rf"SELECT doc_id::VARCHAR AS id, array_to_string(regexp_extract_all(array_to_string({SENTS}, ' '), '\S+')[1:2500], ' ') AS context FROM documents")
+@query("s6_nested_sentences", rf"SELECT doc_id::VARCHAR AS id, array_to_string({SENTS}, ' ') AS context FROM documents")
 def s6(spark, sf):
     path = scratch_path(spark, "paragraphs")
     lines = F.transform(F.split("text", "\n"), lambda p: tx.split_sentences(p))

@@ -10,7 +10,6 @@ from ..operators.windows import running_sum
 from ..sources.files import spread
 
 MIN_TERM = 4
-REQUEST_SPAN = 256  # a request holds the documents of one source inside a run of doc ids
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,14 +42,12 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Retrieval requests: req_id, unit_idx, doc_id, text, qid; at most REQUEST_SPAN units each."""
+    """Retrieval requests: req_id, unit_idx, doc_id, text, qid; one per source, with all its documents."""
     rows = texts(spark, sf)
     n = table(spark, sf, "benchmark").agg(F.count("*").alias("n")).scalar()
-    block = F.floor(F.col("doc_id") / REQUEST_SPAN)
+    number = F.coalesce(F.expr("try_cast(regexp_extract(source, '[0-9]+', 0) AS BIGINT)"), F.lit(0))
     return rows.select(
-        F.concat_ws("#", "source", block.cast("string")).alias("req_id"),
-        (F.col("doc_id") % REQUEST_SPAN).alias("unit_idx"), "doc_id", "text",
-        (block % n).alias("qid"),
+        F.col("source").alias("req_id"), F.col("doc_id").alias("unit_idx"), "doc_id", "text", (number % n).alias("qid"),
     )
 
 

@@ -135,8 +135,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     # requests
     "req": (
         [],
-        "SELECT source || '#' || (doc_id // 256) AS req_id, doc_id % 256 AS unit_idx, doc_id, text, "
-        "(doc_id // 256) % (SELECT count(*) FROM benchmark) AS qid FROM documents",
+        "SELECT source AS req_id, doc_id AS unit_idx, doc_id, text, "
+        "coalesce(try_cast(regexp_extract(source, '[0-9]+') AS BIGINT), 0) % (SELECT count(*) FROM benchmark) AS qid FROM documents",
     ),
     "qterm": (["questions"], "SELECT qid, unnest(terms) AS term FROM questions"),
     "forms": (["plain"], "SELECT doc_id, " + term("word") + " AS term, count(*) AS tf FROM plain GROUP BY ALL"),

@@ -22,7 +22,7 @@ def messages(spark, sf, files_out: int = 2) -> str:
     """Writes the turns as recognition messages (take, seq, last, value), JSON lines.
 
     Every segment sends an interim guess and then its final form; the last final form of a
-    take carries the end mark. Other message types and damaged text are mixed in.
+    take carries the end mark. A message of another type, or damaged text, takes the first number.
     """
     said = fx.utterances(spark, sf).filter("n > 0").withColumn("ws", tx.split_words(F.col("text")))
     seg = said.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SEGMENT).cast("int"))))
@@ -35,10 +35,10 @@ def messages(spark, sf, files_out: int = 2) -> str:
     guess = F.to_json(F.struct(F.lit("Results").alias("type"), F.lit(False).alias("is_final"), alt(F.get(part, F.lit(0)), F.slice(words, 1, 1)).alias("channel")))
     end = F.col("k") == F.floor((F.col("n") - 1) / SEGMENT)
     entry = lambda seq, last, value: F.struct(seq.cast("bigint").alias("seq"), last.alias("last"), value.alias("value"))
-    both = F.array(entry(2 * F.col("k"), F.lit(False), guess), entry(2 * F.col("k") + 1, end, final))
+    both = F.array(entry(2 * F.col("k") + 1, F.lit(False), guess), entry(2 * F.col("k") + 2, end, final))
     take = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     rows = seg.select(take.alias("take"), F.explode(both).alias("m")).select("take", "m.*")
-    noise = said.select(take.alias("take"), F.lit(-1).cast("bigint").alias("seq"), F.lit(False).alias("last"),
+    noise = said.select(take.alias("take"), F.lit(0).cast("bigint").alias("seq"), F.lit(False).alias("last"),
                         F.when(F.col("turn") % 2 == 0, '{"type":"SpeechStarted"}').otherwise("{damaged").alias("value"))
     path = scratch_path(spark, "messages")
     rows.unionByName(noise).repartition(files_out, F.rand(7)).write.json(path)
@@ -61,8 +61,8 @@ def s8(spark, sf):
 @query(
     "s9_live_messages",
     q.sql(
-        """SELECT take, 2 * k AS seq, false AS is_final, w1 AS text, start_ms + 900 * k AS start_ms FROM seg
-           UNION ALL SELECT take, 2 * k + 1, true, seg, start_ms + 900 * k FROM seg""",
+        """SELECT take, 2 * k + 1 AS seq, false AS is_final, w1 AS text, start_ms + 900 * k AS start_ms FROM seg
+           UNION ALL SELECT take, 2 * k + 2, true, seg, start_ms + 900 * k FROM seg""",
         "utt", seg=SEG_SQL,
     ),
 )
@@ -103,8 +103,8 @@ def st1(spark, sf):
 @query(
     "st2_live_partials",
     q.sql(
-        """SELECT take, 2 * k + 1 AS seq, string_agg(seg, ' ') OVER w AS text FROM seg WINDOW w AS (PARTITION BY take ORDER BY k)
-           UNION ALL SELECT take, 2 * k, concat_ws(' ', string_agg(seg, ' ') OVER (PARTITION BY take ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w1) FROM seg""",
+        """SELECT take, 2 * k + 2 AS seq, string_agg(seg, ' ') OVER w AS text FROM seg WINDOW w AS (PARTITION BY take ORDER BY k)
+           UNION ALL SELECT take, 2 * k + 1, concat_ws(' ', string_agg(seg, ' ') OVER (PARTITION BY take ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w1) FROM seg""",
         "utt", seg=SEG_SQL,
     ),
 )

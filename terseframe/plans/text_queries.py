@@ -190,14 +190,16 @@ def t13(spark, sf):
     "t14_hint_prefix",
     q.sql(
         """SELECT doc_id, hint, lower(trim(hint)) IN ('none', '') AS is_empty, CASE WHEN lower(trim(hint)) IN ('none', '') THEN '' ELSE trim(hint) END AS effective, fixed_hint FROM (
-             SELECT doc_id, trim(CASE WHEN doc_id % 5 = 0 THEN ' Known answer is' WHEN doc_id % 5 = 1 THEN ' ' WHEN doc_id % 7 = 0 THEN 'None' ELSE 'The answer is' END) AS hint,
+             SELECT doc_id, trim(CASE WHEN doc_id % 5 = 0 THEN ' Known answer is' WHEN doc_id % 5 = 1 THEN ' ' WHEN doc_id % 5 = 2 THEN 'It is' || chr(10) || 'on line two' WHEN doc_id % 7 = 0 THEN 'None' ELSE 'The answer is' END) AS hint,
                'Please output the most relevant keyword or phrase that is relevant to the answer of the question.' AS fixed_hint FROM asked)""",
         "asked",
     ),
 )
 def t14(spark, sf):
     rows = fx.asked(spark, sf)
-    given = F.when(F.col("doc_id") % 5 == 0, " Known answer is").when(F.col("doc_id") % 5 == 1, " ")
+    given = F.when(F.col("doc_id") % 5 == 0, " Known answer is").when(F.col("doc_id") % 5 == 1, " ").when(
+        F.col("doc_id") % 5 == 2, "It is\non line two"
+    )
     hint = tx.strip(sel.hint_prefix(F.col("question"), given))
     empty = sel.is_empty_prefix(hint)
     return rows.select(

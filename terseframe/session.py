@@ -26,10 +26,12 @@ def build_session(app: str = "terseframe", master: str | None = None, **conf: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where the session names none."""
+    """The session's checkpoint folder. Only a local session may do without one: it gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="terseframe-"))
     return sc.getCheckpointDir()
 

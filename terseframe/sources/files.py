@@ -14,7 +14,10 @@ from ..operators.evaluate import TOKEN_ARMS, latest
 from ..operators.windows import top_rows
 from . import schemas
 
-MAX_CONTEXT_WORDS = 2500
+
+def cut(context: Column, max_words: int | None) -> Column:
+    """The context as it is, or its first `max_words` words."""
+    return context if max_words is None else tx.truncate_words(context, max_words)
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -53,14 +56,14 @@ def read_arms(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
     )
 
 
-def read_task_lines(spark: SparkSession, path: str, task: str, head: int | None = 10) -> DataFrame:
-    """One JSON object per line with its line number; the first `head` lines per task."""
+def read_task_lines(spark: SparkSession, path: str, task: str, head: int | None = None, max_words: int | None = None) -> DataFrame:
+    """One JSON object per line with its line number; all lines, or the first `head` per task."""
     rows = spark.read.schema(schemas.TASK_LINES).json(path).filter("line is not null")
     if head is not None:
         rows = rows.filter(F.col("line") < head)
     return rows.select(
         F.concat(F.lit(task), F.lit("-"), "line").alias("id"), F.lit(task).alias("task"),
-        tx.truncate_words(F.col("context"), MAX_CONTEXT_WORDS).alias("context"),
+        cut(F.col("context"), max_words).alias("context"),
         F.col("input").alias("question"), "answers",
     )
 
@@ -69,20 +72,20 @@ def first_per_task(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
     return top_rows(df, ["task"], order, n)
 
 
-def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
+def read_paragraphs(spark: SparkSession, path: str, max_words: int | None = None) -> DataFrame:
     """Nested sentence lists flattened to one context, single answer wrapped in a list."""
     rows = spark.read.schema(schemas.PARAGRAPHS).json(path)
     return rows.select(
         "id", "question",
-        tx.truncate_words(F.array_join(F.flatten("context.sentences"), " "), MAX_CONTEXT_WORDS).alias("context"),
+        cut(F.array_join(F.flatten("context.sentences"), " "), max_words).alias("context"),
         F.array("answer").alias("answers"),
     )
 
 
-def read_squad(spark: SparkSession, path: str) -> DataFrame:
+def read_squad(spark: SparkSession, path: str, max_words: int | None = None) -> DataFrame:
     rows = spark.read.schema(schemas.SQUAD).json(path)
     return rows.select(
-        "id", "question", tx.truncate_words(F.col("context"), MAX_CONTEXT_WORDS).alias("context"),
+        "id", "question", cut(F.col("context"), max_words).alias("context"),
         F.col("answers.text").alias("answers"),
     )
 

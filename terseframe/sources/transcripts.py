@@ -7,15 +7,17 @@ from ..functions import text as tx
 from . import schemas
 
 
-def parse_messages(raw: DataFrame, value: str = "value") -> DataFrame:
+def parse_messages(raw: DataFrame, value: str = "value", keep_other: bool = False) -> DataFrame:
     """Recognition messages -> is_final, text, start_ms, end_ms, speaker, n_words.
 
     Works on a batch or a stream. Unreadable text, other message types and messages
-    without an alternative are left out.
+    without an alternative are left out, or kept as silent rows where their numbers matter.
     """
     held = raw.withColumn("m", F.from_json(value, schemas.MESSAGE))
     alt = F.get("m.channel.alternatives", F.lit(0))
-    held = held.filter((F.col("m.type") == "Results") & alt.isNotNull()).withColumn("alt", alt)
+    heard = F.coalesce((F.col("m.type") == "Results") & alt.isNotNull(), F.lit(False))
+    held = held.withColumn("alt", F.when(heard, alt)).withColumn("m", F.when(heard, F.col("m")))
+    held = held if keep_other else held.filter("alt is not null")
     ws = F.col("alt.words")
     ms = lambda s: tx.half_up(F.coalesce(s, F.lit(0.0)) * 1000).cast("bigint")
     first, last = F.get(ws, F.lit(0)), F.try_element_at(ws, F.lit(-1))

@@ -12,6 +12,7 @@ from ..sources.transcripts import parse_messages
 
 HELD = "next bigint, text string, start_ms bigint, end_ms bigint, speaker int"
 WAITING = "seq bigint, last boolean, is_final boolean, text string, start_ms bigint, end_ms bigint, speaker int"
+WHOLE = ["seq", "start_ms", "end_ms", "speaker"]
 FIELDS = ["seq", "last", "is_final", "text", "start_ms", "end_ms", "speaker"]
 
 
@@ -52,8 +53,8 @@ class TakeCollector(StatefulProcessor):
         state = dict(zip(["next", "text", "start_ms", "end_ms", "speaker"], old))
         pending = [dict(zip(FIELDS, w)) for w in self.waiting.get()] if self.waiting.exists() else []
         for part in rows:
-            clean = part[FIELDS].astype(object).where(part[FIELDS].notna(), None)
-            pending += clean.to_dict("records")
+            whole = part[FIELDS].astype({f: "Int64" for f in WHOLE}).astype(object)  # silent rows have no clock
+            pending += whole.where(whole.notna(), None).to_dict("records")
         pending.sort(key=lambda m: m["seq"])
         out, done = [], False
         while pending and pending[0]["seq"] <= state["next"]:
@@ -81,7 +82,7 @@ class TakeCollector(StatefulProcessor):
 
 def take_events(messages: DataFrame) -> DataFrame:
     """Streaming: partial and utterance events per take, in message order."""
-    parsed = parse_messages(messages)
+    parsed = parse_messages(messages, keep_other=True)
     return parsed.groupBy("take").transformWithStateInPandas(
         TakeCollector(), outputStructType=EVENT, outputMode="Append", timeMode="None"
     )
