@@ -23,7 +23,8 @@ def running_sum(
     cut = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / block))
     totals = cut.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry"))
+    # written once, so that one call after another does not double the reading of `df`
+    carried = materialize(totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry")))
     inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         cut.join(carried, [*keys, "_b"])
@@ -38,9 +39,9 @@ def previous(
     """Value of the row before this one in its group (NULL on the first row)."""
     cut = df.withColumn("_b", F.floor(F.col(order) / block))
     last = cut.groupBy(*keys, "_b").agg(F.max_by(value, order).alias("_last"))
-    carried = last.select(
+    carried = materialize(last.select(
         *keys, "_b", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carry")
-    )
+    ))
     inside = Window.partitionBy(*keys, "_b").orderBy(order)
     first = F.row_number().over(inside) == 1
     return (

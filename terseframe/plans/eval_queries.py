@@ -220,9 +220,9 @@ def a13(spark, sf):
 # --- model arms: numbers a reader reports, derived from the word counts ---------------------------
 def model_answers(spark, sf):
     """Answers of all seven arms with the reader's optional numbers; vanilla_llm reads the full text."""
-    rows = scored(spark, sf).withColumn("arm", F.when(F.col("arm") == "full", "vanilla_llm").otherwise(F.col("arm")))
-    extra = rows.filter("arm = 'vanilla_llm'").withColumn("arm", F.explode(F.array(F.lit("llm_tq"), F.lit("vanilla_lclm"))))
-    every = rows.unionByName(extra)
+    # the full text serves three arms: they fan out in the row, after the scoring
+    readers = F.array(F.lit("vanilla_llm"), F.lit("llm_tq"), F.lit("vanilla_lclm"))
+    every = scored(spark, sf).withColumn("arm", F.explode(F.when(F.col("arm") == "full", readers).otherwise(F.array("arm"))))
     coded = F.col("arm") == "llm_tq"
     latent = F.col("arm") == "vanilla_lclm"
     return every.select(

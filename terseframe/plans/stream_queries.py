@@ -18,7 +18,7 @@ SEG_SQL = f"""SELECT {TAKE_SQL} AS take, k, array_to_string(ws[3 * k + 1:3 * k +
 DONE_SQL = f"SELECT {TAKE_SQL} AS take, array_to_string(regexp_extract_all(text, '\\S+'), ' ') AS text, start_ms, start_ms + 300 * n AS end_ms, speaker FROM utt WHERE n > 0"
 
 
-def messages(spark, sf, files_out: int = 2) -> str:
+def messages(spark, sf) -> str:
     """Writes the turns as recognition messages (take, seq, last, value), JSON lines.
 
     Every segment sends an interim guess and then its final form; the last final form of a
@@ -41,7 +41,7 @@ def messages(spark, sf, files_out: int = 2) -> str:
     noise = said.select(take.alias("take"), F.lit(0).cast("bigint").alias("seq"), F.lit(False).alias("last"),
                         F.when(F.col("turn") % 2 == 0, '{"type":"SpeechStarted"}').otherwise("{damaged").alias("value"))
     path = scratch_path(spark, "messages")
-    rows.unionByName(noise).repartition(files_out, F.rand(7)).write.json(path)
+    rows.unionByName(noise).repartition(F.rand(7)).write.json(path)
     return path
 
 
@@ -144,7 +144,7 @@ def st5(spark, sf):
     waits = F.col("compressed_tokens").isNull() | (F.col("turn") % 5 == 4)
     result = F.when(F.col("turn") % 6 == 5, event("result", later, F.lit("failed"))).when(~waits, event("result", later, none))
     each = done.select("conv_id", "turn", F.explode(F.array_compact(F.array(event("row", start, none), result))).alias("e"))
-    each.select("conv_id", "turn", "e.*").repartition(2).write.parquet(path)
+    each.select("conv_id", "turn", "e.*").write.parquet(path)
     stream = spark.readStream.schema("conv_id bigint, turn bigint, kind string, ts timestamp, error string").parquet(path)
     return st.complete_to(st.lifecycle_stream(stream, ["conv_id", "turn"]), spark, "rows")
 
@@ -153,7 +153,7 @@ def st5(spark, sf):
 def st6(spark, sf):
     path, sink = scratch_path(spark, "turns"), scratch_path(spark, "compressed")
     turns = fx.table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    turns.repartition(2, "conv_id").write.parquet(path)
+    turns.repartition("conv_id").write.parquet(path)
     stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(path)
     st.compress_on_arrival(stream, sc.vocabulary(turns), 0.7, ["conv_id", "turn"], sink)
     return spark.read.parquet(sink).select("conv_id", "turn", "origin_words", "kept_words", "compressed")
@@ -171,7 +171,7 @@ def st6(spark, sf):
 def st7(spark, sf):
     path = scratch_path(spark, "done_rows")
     done = fx.compressed_utterances(spark, sf).select("conv_id", "turn", "start_ms", "end_ms", "origin_tokens", "compressed_tokens")
-    done.repartition(2).write.parquet(path)
+    done.write.parquet(path)
     stream = spark.readStream.schema(done.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return st.complete_to(st.totals_stream(stream, ["conv_id"]), spark, "totals")
 
@@ -199,7 +199,7 @@ def s13(spark, sf):
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text",
         F.col("start_ms").alias("startMs"), F.col("end_ms").alias("endMs"),
     )
-    said.repartition(2).write.parquet(path)
+    said.write.parquet(path)
     stream = spark.readStream.schema(said.schema).parquet(path)
     st.run_available(stream.filter("startMs >= 20000 and startMs < 90000"), sink, fmt="json")
     return spark.read.schema("id string, text string").json(sink)

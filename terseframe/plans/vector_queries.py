@@ -120,7 +120,7 @@ def q7(spark, sf):
     waves, sink = scratch_path(spark, "waves"), scratch_path(spark, "codes")
     rows = vecs(spark, sf).select("vec_id", "embedding")
     for lo in (0, 1):
-        rows.filter(F.col("vec_id") % 2 == lo).coalesce(1).write.mode("append").parquet(waves)
+        rows.filter(F.col("vec_id") % 2 == lo).write.mode("append").parquet(waves)
 
     def each(batch, n):
         coded = batch.select("vec_id", vq.quantize(F.col("embedding"), DIM, BITS)["code"].alias("code"))
