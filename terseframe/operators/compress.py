@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts, text as tx
 from . import dedup, merge, selection
-from .scores import Vocabulary, counted_words
-from .segment import by_key, sentence_windows
+from .scores import Vocabulary, counted_words, join_scores
+from .segment import by_key, plain_words, sentence_windows
 from .windows import running_sum
 
 CHUNK, TOP_K = 300, 12
@@ -19,15 +19,21 @@ def cut_rank(n: Column, rate: Column, target: Column | None = None) -> Column:
     return by_rate if target is None else F.when(target > 0, target).otherwise(by_rate)
 
 
-def mark_words(scored: DataFrame, keep: list[str], rate: Column, target: Column | None = None) -> DataFrame:
-    """Add `stays` to scored words: keep.., pos, word, count, stays.
+RARE_FIRST = (F.asc, "count")
+HIGH_FIRST = (F.desc_nulls_last, "score")
 
-    Rare words stay first, ties in reading order, up to the budget. Words with a digit and
+
+def mark_words(
+    scored: DataFrame, keep: list[str], rate: Column, target: Column | None = None, first: tuple = RARE_FIRST
+) -> DataFrame:
+    """Add `stays` to scored words: keep.., pos, word, count (or score), stays.
+
+    Rare words stay first (HIGH_FIRST: those of a high score), ties in reading order, up to the budget. Words with a digit and
     the forced marks always stay; a forced mark that repeats the staying word before it goes.
     The windows run over one text's words, and the rows are already placed by text.
     """
     text = Window.partitionBy(*keep)
-    rank = F.row_number().over(text.orderBy("count", "pos"))
+    rank = F.row_number().over(text.orderBy(first[0](first[1]), "pos"))
     held = scored.withColumn("_rank", rank).withColumn("_n", F.count("*").over(text))
     forced = F.col("word").isin(tx.FORCED_TOKENS)
     within = F.col("_rank") <= cut_rank(F.col("_n"), rate, target)
@@ -50,12 +56,19 @@ def keep_words(scored: DataFrame, keep: list[str], rate: Column, target: Column
 
 
 def compress(
-    df: DataFrame, vocab: Vocabulary, rate: float | Column, keep: list[str] = ["doc_id"], text: str = "text",
-    target: Column | None = None,
+    df: DataFrame, vocab: Vocabulary | None, rate: float | Column, keep: list[str] = ["doc_id"], text: str = "text",
+    target: Column | None = None, scores: DataFrame | None = None,
 ) -> DataFrame:
-    """Keep-rate compression of texts: keep.., compressed, origin_words, kept_words."""
+    """Keep-rate compression of texts: keep.., compressed, origin_words, kept_words.
+
+    `scores` (keep.., pos, score) decides in place of the corpus counts; words without one go first.
+    """
     rate = F.lit(float(rate)) if isinstance(rate, (int, float)) else rate
-    marked = mark_words(counted_words(df, vocab, text, keep), keep, rate, target)
+    if scores is None:
+        marked = mark_words(counted_words(df, vocab, text, keep), keep, rate, target)
+    else:
+        rows = join_scores(plain_words(by_key(df, keep, text), text, keep), scores, [*keep, "pos"])
+        marked = mark_words(rows, keep, rate, target, HIGH_FIRST)
     held = marked.groupBy(*keep).agg(
         F.array_sort(F.collect_list(F.when(F.col("stays"), F.struct("pos", "word")))).alias("_k"),
         F.count("*").cast("int").alias("origin_words"),

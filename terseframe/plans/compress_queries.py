@@ -200,6 +200,27 @@ def c11(spark, sf):
     return rows.select("doc_id", "origin_words", "kept_words", "compressed", ratio.alias("ratio"))
 
 
+@query(
+    "c11_given_scores",
+    q.sql(
+        """SELECT p.doc_id, any_value(n) AS origin_words, count(*) FILTER (stays) AS kept_words, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (stays), '') AS compressed FROM (
+             SELECT *, held AND NOT (word IN ('.', '!', '?', ',') AND word IS NOT DISTINCT FROM
+               last_value(CASE WHEN held THEN word END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS stays FROM (
+               SELECT *, rk <= ceil(0.4 * n) OR regexp_matches(word, '[0-9]') OR word IN ('.', '!', '?', ',') AS held FROM (
+                 SELECT doc_id, pos, word, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (
+                   PARTITION BY doc_id ORDER BY CASE WHEN pos % 11 > 0 THEN length(word) / 4.0 + pos % 3 END DESC NULLS LAST, pos) AS rk FROM plain))) p
+           GROUP BY p.doc_id""",
+        "plain",
+    ),
+)
+def c11_given(spark, sf):
+    """Scores come as a table of their own, by text and word position; every eleventh word has none."""
+    docs = fx.docs(spark, sf)
+    words = sg.plain_words(docs).filter(F.col("pos") % 11 > 0)
+    given = words.select("doc_id", "pos", (F.length("word") / 4.0 + F.col("pos") % 3).alias("score"))
+    return cp.compress(docs, None, 0.4, scores=given)
+
+
 @query(
     "c11_target_budget",
     q.sql(
