@@ -25,6 +25,10 @@ HEADLINE = [
     "q3_quantize",
     "q5_distortion",
     "st4_silence_sessions",
+    "c4_merge_labels",
+    "c17_question_conditioned",
+    "w10_growing_partials",
+    "st7_running_totals",
 ]
 
 
