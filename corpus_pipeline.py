@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-ORACLE_SQL = None  # a fitted classifier, fuzzy hashing and packing have no SQL form; tests use brute force
+ORACLE_SQL = None  # a fitted classifier, fuzzy hashing and packing have no SQL form; tests hold most stage operators to brute force and run the whole
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
