@@ -238,3 +238,39 @@ def eval_compress(
         "doc_id", "use_dedup", "rate", F.col("origin").alias("origin_words"), "kept_words", "compressed",
         retention.alias("retention"),
     )
+
+
+def eval_compress_documents(
+    units: DataFrame, vocab: Vocabulary, rates: list[float], threshold: float, top_k: int
+) -> DataFrame:
+    """Evaluation compress of requests of several documents, one row per kept document and cell.
+
+    units: req_id, unit_idx, text, terms. Every document is deduplicated by itself, so that
+    documents stay units; the `top_k` of highest relevance, dedup on or off, are compressed.
+    Rows: req_id, use_dedup, rate, rank, unit_idx (its place in the request), score,
+    dropped_sentences, kept_words, compressed. Requests may hold any number of documents:
+    Spark trims every task to `top_k` rows per request before the shuffle.
+    """
+    held = dedup.dedupe(units, threshold)
+    score = lambda c: F.get(dedup.term_relevance(F.array(c), "terms"), F.lit(0))
+    texts = F.array(
+        F.struct(F.lit(False).alias("use_dedup"), F.col("text").alias("text"), F.lit(0).alias("dropped_sentences")),
+        F.struct(F.lit(True).alias("use_dedup"), F.col("deduped").alias("text"), F.size("dropped").alias("dropped_sentences")),
+    )
+    arms = held.select("req_id", "unit_idx", "terms", F.explode(texts).alias("a")).select("req_id", "unit_idx", "terms", "a.*")
+    scored = arms.withColumn("score", F.coalesce(score(F.col("text")), F.lit(0.0))).drop("terms")
+    best = selection.top_rows(scored, ["req_id", "use_dedup"], [F.col("score").desc(), F.col("unit_idx").asc()], top_k)
+    cells = best.withColumn("rate", F.explode(F.array(*[F.lit(r) for r in rates])))
+    keep = ["req_id", "use_dedup", "rate", "rank", "unit_idx", "score", "dropped_sentences"]
+    return compress(cells, vocab, F.col("rate"), keep).select(*keep, "kept_words", "compressed")
+
+
+def eval_document_totals(kept: DataFrame, units: DataFrame) -> DataFrame:
+    """One row per request and cell: words of the whole request, kept words and retention, best documents in order."""
+    origin = units.groupBy("req_id").agg(F.count("*").alias("total_units"), F.sum(tx.word_count(F.col("text"))).alias("origin_words"))
+    order = F.array_sort(F.collect_list(F.struct("rank", "unit_idx")))  # at most top_k
+    each = kept.groupBy("req_id", "use_dedup", "rate").agg(
+        F.sum("kept_words").alias("kept_words"), F.transform(order, lambda x: x["unit_idx"]).alias("kept_indices")
+    )
+    retention = F.bround(F.col("kept_words") / F.greatest("origin_words", F.lit(1)), 3)
+    return each.join(origin, "req_id").withColumn("retention", retention)

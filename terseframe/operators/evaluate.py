@@ -59,21 +59,25 @@ def gold_recall(golds: Column, text: Column) -> Column:
 
 def score_answers(answers: DataFrame, golds: DataFrame, on: str = "id") -> DataFrame:
     """Answers with known golds: adds f1, em, correct. Unknown ids are left out."""
-    held = answers.join(golds, on)
+    return score_rows(answers.join(golds, on))
+
+
+def score_rows(rows: DataFrame) -> DataFrame:
+    """Adds f1, em, correct to rows that hold both the answer and its golds."""
     answer, known = F.col("answer"), F.col("golds")
     return (
-        held.withColumn("f1", best_f1(answer, known))
+        rows.withColumn("f1", best_f1(answer, known))
         .withColumn("em", exact_match(answer, known))
         .withColumn("correct", F.col("f1") >= F1_CORRECT)
     )
 
 
 def fault(correct: Column, golds: Column, context: Column, dropped: Column) -> Column:
-    """Why a wrong answer is wrong; empty for a right one."""
+    """Why a wrong answer is wrong; empty for a right one. `dropped` is NULL where the arm ran no dedup."""
     return (
         F.when(correct, "")
         .when(gold_recall(golds, context) >= FACT_SURVIVED, "READER_ERROR")
-        .when(gold_recall(golds, dropped) >= FACT_SURVIVED, "MMR_OVERPRUNED")
+        .when(dropped.isNotNull() & (gold_recall(golds, dropped) >= FACT_SURVIVED), "MMR_OVERPRUNED")
         .otherwise("INFO_LOST_IN_COMPRESSION")
     )
 

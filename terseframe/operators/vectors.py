@@ -175,11 +175,13 @@ def size_report(df: DataFrame, dim: int, plans: list[tuple[int, int, int]], vect
 def fit_codebook(values: DataFrame, column: str, levels: int, rounds: int = 10) -> list[float]:
     """Data-fitted levels: each round averages the values nearest to each level on Spark.
 
-    Only the level means (at most 256 rows) come back to the driver.
+    Starts at equal steps between the least and the greatest value; a level that no value
+    is nearest to stays. Only the level means (at most 256 rows) come back to the driver.
     """
-    probs = [(2 * i + 1) / (2 * levels) for i in range(levels)]
-    start = values.agg(F.percentile_approx(column, probs).alias("c")).first()
-    c = [float(x) for x in start["c"]]
+    low, high = values.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return [0.0] * levels
+    c = [low + (high - low) * (2 * i + 1) / (2 * levels) for i in range(levels)]
     for _ in range(rounds):
         edges = F.array(*[F.lit((a + b) / 2) for a, b in zip(c, c[1:])])
         level = F.size(F.filter(edges, lambda e: F.col(column) > e))

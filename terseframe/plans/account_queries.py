@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import account as ac, compress as cp, merge as mg, scores as sc, selection as sel
+from ..operators.chat import chat_messages
 from . import fixtures as fx, sqltext as q
 from .registry import query
 
@@ -336,15 +337,19 @@ def a25(spark, sf):
 
 @query(
     "a26_chat_turns",
-    """SELECT conv_id, 0 AS ord, 'system' AS role, 'Be brief.' AS content, NULL AS error FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 2 = 0
-       UNION ALL SELECT conv_id, turn + 1, role, text, CASE WHEN text IS NULL THEN 'Provide either ''prompt'' or ''messages''.' END FROM conversations""",
+    """WITH req AS (SELECT conv_id, CASE WHEN conv_id % 3 = 1 THEN arg_min(text, turn) END AS prompt, CASE WHEN conv_id % 2 = 0 THEN 'Be brief.' END AS system FROM conversations GROUP BY 1)
+       SELECT conv_id, 0 AS ord, 'system' AS role, system AS content, NULL AS error FROM req WHERE system IS NOT NULL AND (conv_id % 3 = 0 OR prompt IS NOT NULL)
+       UNION ALL SELECT conv_id, turn + 1, role, text, NULL FROM conversations WHERE conv_id % 3 = 0
+       UNION ALL SELECT conv_id, 1, CASE WHEN prompt IS NOT NULL THEN 'user' END, prompt, CASE WHEN prompt IS NULL THEN 'Provide either ''prompt'' or ''messages''.' END FROM req WHERE conv_id % 3 > 0""",
 )
 def a26(spark, sf):
-    from ..operators.chat import chat_messages
-
+    """Every third conversation asks with its turns, every third with its first text as prompt, the rest with nothing."""
     rows = fx.table(spark, sf, "conversations")
-    system = rows.select("conv_id").distinct().filter("conv_id % 2 = 0").withColumn("system", F.lit("Be brief."))
-    return chat_messages(rows, system, "conv_id", "turn")
+    asks = rows.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
+    asks = asks.select(
+        "conv_id", F.when(F.col("conv_id") % 3 == 1, F.col("first")).alias("prompt"), F.when(F.col("conv_id") % 2 == 0, "Be brief.").alias("system")
+    )
+    return chat_messages(asks, rows.filter("conv_id % 3 = 0"), "conv_id", "turn")
 
 
 # --- timing ------------------------------------------------------------------------------------------

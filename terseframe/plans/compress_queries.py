@@ -401,12 +401,18 @@ def c4(spark, sf):
 
 @query(
     "c5_overshoot_guard",
-    r"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '\S+'), lambda w, i: (i - 1) % 3 <> 1), ' ') AS guarded FROM documents",
+    r"""SELECT doc_id, CASE WHEN length(rebuilt) > length(text) THEN array_to_string(list_filter(ws, lambda w, i: (i - 1) % 3 <> 1), ' ') ELSE rebuilt END AS guarded FROM (
+          SELECT doc_id, text, ws, replace(array_to_string(list_filter(ws, lambda w, i: (i - 1) % 3 <> 1), chr(1)), chr(1), repeat(' ', 1 + doc_id % 6)) AS rebuilt
+          FROM (SELECT doc_id, text, regexp_extract_all(text, '\S+') AS ws FROM documents))""",
 )
 def c5(spark, sf):
+    # rebuilt with one to six blanks between the kept words, so that some texts overshoot and some do not
     rows = labelled(spark, sf)
-    doubled = F.concat_ws(" ", "text", "text")  # a rebuilt text that overshot
-    return rows.select("doc_id", mg.guard_overshoot(doubled, F.col("text"), F.col("labels")).alias("guarded"))
+    kept = F.transform(F.filter("labels", lambda x: x["keep"] == 1), lambda x: x["word"])
+    gap = F.repeat(F.lit(" "), (1 + F.col("doc_id") % 6).cast("int"))
+    return rows.withColumn("rebuilt", F.call_function("array_join", kept, gap)).select(
+        "doc_id", mg.guard_overshoot(F.col("rebuilt"), F.col("text"), F.col("labels")).alias("guarded")
+    )
 
 
 # --- documents of a request ------------------------------------------------------------------------
@@ -625,6 +631,60 @@ def c14(spark, sf):
     return cp.eval_compress(fx.asked(spark, sf), v, [0.75, 0.5], DEDUP_T, 3, 6)
 
 
+# requests of several documents: the terms are the request's, so the dedup walks by them
+MULTI_ASKED = "SELECT r.doc_id, r.text, r.qid, coalesce(q.terms, []) AS terms FROM req r LEFT JOIN questions q USING (qid)"
+MULTI_CTES = dict(
+    marm="""SELECT r.req_id, r.unit_idx, r.doc_id, a.terms, u.use_dedup, CASE WHEN u.use_dedup THEN d.text ELSE r.text END AS text,
+              CASE WHEN u.use_dedup THEN coalesce(f.n_sent - len(f.kept), 0) ELSE 0 END AS dropped_sentences
+            FROM req r JOIN asked a USING (doc_id) JOIN dtext d USING (doc_id) LEFT JOIN (SELECT fin.doc_id, fin.kept, n.n AS n_sent FROM fin JOIN (
+              SELECT doc_id, count(*) AS n FROM sent GROUP BY 1) n USING (doc_id)) f USING (doc_id), (SELECT unnest([false, true]) AS use_dedup) u""",
+    mbest=r"""SELECT *, regexp_extract_all(text, '\S+') AS ws FROM (SELECT *, row_number() OVER (PARTITION BY req_id, use_dedup ORDER BY score DESC, unit_idx) AS rank FROM (
+              SELECT *, coalesce(round(len(list_filter(lw, lambda w: list_contains(terms, w))) / nullif(sqrt(len(lw) * greatest(len(terms), 1)), 0), 9), 0) AS score
+              FROM (SELECT *, regexp_extract_all(lower(text), '\S+') AS lw FROM marm))) WHERE rank <= 5""",
+    mword="SELECT req_id, use_dedup, rank, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS word FROM mbest",
+    mkept="""SELECT * FROM (SELECT *, lag(word) OVER (PARTITION BY req_id, use_dedup, rate, rank ORDER BY pos) AS prev FROM (
+               SELECT w.*, row_number() OVER (PARTITION BY req_id, use_dedup, rank ORDER BY c.c, pos) AS rk, count(*) OVER (PARTITION BY req_id, use_dedup, rank) AS n
+               FROM mword w JOIN counts c ON c.term = lower(w.word)) CROSS JOIN (SELECT unnest([0.75, 0.5])::DOUBLE AS rate)
+               WHERE rk <= ceil(rate * n) OR regexp_matches(word, '[0-9]') OR word IN ('.', '!', '?', ','))
+             WHERE NOT (word IN ('.', '!', '?', ',') AND prev IS NOT DISTINCT FROM word)""",
+    mcell="""SELECT b.req_id, b.use_dedup, k.rate, b.rank, b.unit_idx, b.score, b.dropped_sentences, k.kept_words, k.compressed FROM mbest b JOIN (
+               SELECT req_id, use_dedup, rate, rank, count(*) AS kept_words, string_agg(word, ' ' ORDER BY pos) AS compressed FROM mkept GROUP BY ALL) k
+             USING (req_id, use_dedup, rank)""",
+)
+
+
+def multi_sql(final: str) -> str:
+    own = dict(asked=MULTI_ASKED, **DEDUP_CTES, **MULTI_CTES)
+    return recursive(q.sql(final, "req", "questions", "counts", **own))
+
+
+def multi_units(spark, sf):
+    rows = fx.requests(spark, sf).join(fx.questions(spark, sf), "qid", "left")
+    return rows.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+
+
+def multi_cells(spark, sf):
+    return cp.eval_compress_documents(multi_units(spark, sf), sc.vocabulary(fx.docs(spark, sf)), [0.75, 0.5], DEDUP_T, 5)
+
+
+@query("c14_eval_documents", multi_sql("SELECT * FROM mcell"))
+def c14_documents(spark, sf):
+    return multi_cells(spark, sf)
+
+
+@query(
+    "c14_document_totals",
+    multi_sql(
+        """SELECT m.req_id, use_dedup, rate, kept_words::BIGINT AS kept_words, idx AS kept_indices, total_units, origin_words::BIGINT AS origin_words, round_even(kept_words / greatest(origin_words, 1), 3) AS retention
+           FROM (SELECT req_id, use_dedup, rate, sum(kept_words) AS kept_words, string_agg(unit_idx::VARCHAR, ',' ORDER BY rank) AS idx FROM mcell GROUP BY ALL) m
+           JOIN (SELECT req_id, count(*) AS total_units, sum(len(regexp_extract_all(text, '\\S+'))) AS origin_words FROM req GROUP BY 1) o USING (req_id)"""
+    ),
+)
+def c14_totals(spark, sf):
+    rows = cp.eval_document_totals(multi_cells(spark, sf), multi_units(spark, sf))
+    return rows.withColumn("kept_indices", join_ints(F.col("kept_indices")))
+
+
 @query(
     "c18_arm_grid",
     recursive(q.sql(

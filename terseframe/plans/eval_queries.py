@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..operators import dedup, evaluate as ev, merge as mg
+from ..operators.windows import rank_rows
 from ..session import materialize, scratch_path
 from ..sources import files
 from . import fixtures as fx, sqltext as q
@@ -60,13 +61,16 @@ CTX_SQL = """SELECT n.doc_id AS id, a.arm, n.origin_words AS origin, CASE a.arm
   LEFT JOIN merged m ON m.doc_id = n.doc_id AND m.mode = a.arm"""
 
 
-def answers(spark, sf):
-    """Answer of a reader that repeats the fact words still in its context, or UNKNOWN."""
-    held = contexts(spark, sf).join(golds(spark, sf), "id")
+def read_answers(held, facts):
+    """Answer of a reader that repeats the fact words still in its context, or UNKNOWN; the golds stay with it."""
     fact = tx.split_words(F.get("golds", F.lit(0)))
     left = ev.let(F.split("context", " "), lambda held: F.filter(fact, lambda w: F.array_contains(held, w)))
     answer = F.when(F.size(left) > 0, F.array_join(left, " ")).otherwise("UNKNOWN")
-    return held.select("id", "arm", "context", "origin", "kept_words", answer.alias("answer"))
+    return held.join(facts, "id").withColumn("answer", answer)
+
+
+def answers(spark, sf):
+    return read_answers(contexts(spark, sf), golds(spark, sf))
 
 
 ANS_SQL = r"""SELECT id, arm, context, origin, kept_words, g1, g2, single, CASE WHEN len(l) > 0 THEN array_to_string(l, ' ') ELSE 'UNKNOWN' END AS answer FROM (
@@ -87,7 +91,7 @@ ALL = dict(gold=GOLDS_SQL, ctx=CTX_SQL, ans=ANS_SQL, scored_ans=SCORED_SQL)
 
 
 def scored(spark, sf):
-    return ev.score_answers(answers(spark, sf), golds(spark, sf))
+    return ev.score_rows(answers(spark, sf))
 
 
 @query(
@@ -98,14 +102,14 @@ def scored(spark, sf):
     ),
 )
 def a1(spark, sf):
-    held = answers(spark, sf).join(golds(spark, sf), "id")
+    held = answers(spark, sf)
     same = ev.let(ev.answer_tokens(F.col("answer")), lambda p: ev.bag_overlap(p, ev.answer_tokens(F.get("golds", F.lit(0)))))
     return held.select("id", "arm", same.alias("same"))
 
 
 @query("a2_token_f1", q.sql(f"SELECT id, arm, round({f1_sql('pt', 'gt1')}, 6) AS f1 FROM scored_ans", *CTX_DEPS, **ALL))
 def a2(spark, sf):
-    held = answers(spark, sf).join(golds(spark, sf), "id")
+    held = answers(spark, sf)
     return held.select("id", "arm", F.round(ev.best_f1(F.col("answer"), F.slice("golds", 1, 1)), 6).alias("f1"))
 
 
@@ -169,35 +173,37 @@ RECALL_SQL = f"SELECT id, arm, f1, greatest(coalesce(len(list_filter(gt1, lambda
 
 @query("a10_gold_recall", q.sql("SELECT id, arm, round(recall, 6) AS recall FROM rc", *CTX_DEPS, **ALL, rc=RECALL_SQL))
 def a10(spark, sf):
-    held = answers(spark, sf).join(golds(spark, sf), "id")
+    held = answers(spark, sf)
     return held.select("id", "arm", F.round(ev.gold_recall(F.col("golds"), F.col("context")), 6).alias("recall"))
 
 
 @query("j13_surviving_tokens", q.sql(f"SELECT id, arm, len(list_filter(gt1, lambda t: list_contains(cx, t))) AS survived, len(gt1) AS tokens FROM (SELECT *, {q.norm_list('context')} AS cx FROM scored_ans)", *CTX_DEPS, **ALL))
 def j13(spark, sf):
-    held = answers(spark, sf).join(golds(spark, sf), "id")
+    held = answers(spark, sf)
     gold = ev.answer_tokens(F.get("golds", F.lit(0)))
     count = ev.let(ev.answer_tokens(F.col("context")), lambda c: F.size(F.filter(gold, lambda t: F.array_contains(c, t))))
     return held.select("id", "arm", count.alias("survived"), F.size(gold).alias("tokens"))
 
 
-def dropped_texts(spark, sf):
+def dedup_arm(spark, sf):
+    """The arm that ran sentence dedup: its context and the text it dropped."""
     rows = dedup.dedupe(fx.asked(spark, sf), DEDUP_T)
     text = F.array_join(F.transform("dropped", lambda d: d["sentence"]), " ")
-    return rows.select(F.col("doc_id").alias("id"), text.alias("dropped_text"))
+    return rows.select(F.col("doc_id").alias("id"), F.lit("dedup").alias("arm"), F.col("deduped").alias("context"), text.alias("dropped_text"))
 
 
 def faults(spark, sf):
-    held = scored(spark, sf).join(dropped_texts(spark, sf), "id")
+    every = contexts(spark, sf).unionByName(dedup_arm(spark, sf), allowMissingColumns=True)
+    held = ev.score_rows(read_answers(every, golds(spark, sf)))
     why = ev.fault(F.col("correct"), F.col("golds"), F.col("context"), F.col("dropped_text"))
     return held.select("id", "arm", why.alias("fault"))
 
 
 FAULT_CTES = dict(
-    DEDUP_CTES, **ALL, rc=RECALL_SQL,
+    DEDUP_CTES, **(ALL | dict(ctx=CTX_SQL + " UNION ALL SELECT doc_id, 'dedup', NULL, text, NULL FROM dtext")), rc=RECALL_SQL,
     drp=f"""SELECT f.doc_id AS id, {q.norm_list("coalesce(string_agg(s.sentence, ' ' ORDER BY s.idx) FILTER (NOT list_contains(f.kept, s.idx)), '')")} AS dx FROM fin f JOIN sent s USING (doc_id) GROUP BY 1""",
     flt="""SELECT r.id, r.arm, CASE WHEN f1 >= 0.5 THEN '' WHEN recall >= 0.6 THEN 'READER_ERROR'
-             WHEN greatest(coalesce(len(list_filter(gt1, lambda t: list_contains(dx, t))) / nullif(len(gt1), 0), 0), coalesce(len(list_filter(gt2, lambda t: list_contains(dx, t))) / nullif(len(gt2), 0), 0)) >= 0.6
+             WHEN r.arm = 'dedup' AND greatest(coalesce(len(list_filter(gt1, lambda t: list_contains(dx, t))) / nullif(len(gt1), 0), 0), coalesce(len(list_filter(gt2, lambda t: list_contains(dx, t))) / nullif(len(gt2), 0), 0)) >= 0.6
              THEN 'MMR_OVERPRUNED' ELSE 'INFO_LOST_IN_COMPRESSION' END AS fault FROM rc r JOIN drp USING (id)""",
 )
 
@@ -337,12 +343,12 @@ def w8(spark, sf):
     return ev.latest(held, ["user_id", "event_type"], ["pos"]).select("user_id", "event_type", "value", "event_id")
 
 
-@query("l5_input_order", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents")
+@query("l5_input_order", "SELECT doc_id, row_number() OVER (ORDER BY source, doc_id DESC) - 1 AS ord, length(text) AS size FROM documents")
 def l5(spark, sf):
-    # results come back keyed; the ordinal carried with each row restores the order
-    rows = fx.docs(spark, sf).select("doc_id", F.col("doc_id").alias("ord"))
-    mixed = rows.repartition(8, F.hash("doc_id"))
-    return mixed.orderBy("ord")
+    # the input order is by source, newest first; the ordinal carried through the shuffled work restores it
+    rows = rank_rows(fx.texts(spark, sf).withColumn("list", F.lit(0)), ["list"], [F.col("source"), F.col("doc_id").desc()])
+    worked = rows.repartition(F.hash("doc_id")).select("doc_id", (F.col("rank") - 1).alias("ord"), F.length("text").cast("long").alias("size"))
+    return worked.orderBy("ord")
 
 
 # --- files -----------------------------------------------------------------------------------------------

@@ -45,11 +45,31 @@ def q1(spark, sf):
     return used.groupBy("level").agg(F.count("*").alias("n")).join(F.broadcast(levels), "level")
 
 
-@query("q1_fitted_codebook")
+ROUNDS = 5
+
+
+def fitted_sql() -> str:
+    """The fit in SQL: one pair of CTEs per round, from equal steps between the extremes."""
+    k = 2**BITS
+    edges = "(SELECT list_transform(range(1, {k}), lambda i: (c[i] + c[i + 1]) / 2) AS e FROM c{r})"
+    level = "(SELECT len(list_filter(e, lambda b: x > b)) AS level, x FROM xs, " + edges + ")"
+    parts = [
+        f"xs AS MATERIALIZED (SELECT unnest(y) AS x FROM ({ROTATED_SQL}))",
+        f"c0 AS (SELECT list_transform(range({k}), lambda i: lo + (hi - lo) * (2 * i + 1) / {2 * k}) AS c FROM (SELECT min(x) AS lo, max(x) AS hi FROM xs))",
+    ]
+    for r in range(ROUNDS):
+        parts.append(f"m{r} AS (SELECT level, avg(x) AS m FROM {level.format(k=k, r=r)} GROUP BY 1)")
+        parts.append(
+            f"c{r + 1} AS MATERIALIZED (SELECT list(coalesce(m, v) ORDER BY i) AS c FROM (SELECT unnest(range({k})) AS i, unnest(c) AS v FROM c{r}) LEFT JOIN m{r} ON level = i)"
+        )
+    return f"WITH {', '.join(parts)} SELECT level, count(*) AS n, round(avg(x), 6) AS centroid FROM {level.format(k=k, r=ROUNDS)} GROUP BY 1"
+
+
+@query("q1_fitted_codebook", fitted_sql())
 def q1_fit(spark, sf):
     """Data-fitted variant: level means of the rotated coordinates after a few rounds."""
     values = vecs(spark, sf).select(F.explode(vq.rotate(F.col("embedding"), DIM)).alias("x"))
-    c = vq.fit_codebook(values, "x", 2**BITS, 5)
+    c = vq.fit_codebook(values, "x", 2**BITS, ROUNDS)
     edges = F.array(*[F.lit((a + b) / 2) for a, b in zip(c, c[1:])])
     level = F.size(F.filter(edges, lambda e: F.col("x") > e))
     return values.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("centroid"))
@@ -108,7 +128,30 @@ def mask(spark, sf, n: int) -> list[int]:
     return [r["dim"] for r in vq.outlier_channels(vq.channel_rms(vecs(spark, sf)), n).collect()]
 
 
-@query("q6_outlier_channels")
+def sub_round_trip_sql(source: str, dim: int, bits: int, seed: int) -> str:
+    """Adds `restored` to rows (vec_id, v): normalise, rotate, code and come back."""
+    centroids, edges = vq.codebook(bits, dim)
+    rot = "[" + ", ".join(numbers(r) for r in vq.rotation(dim, seed)) + "]"
+    unit = f"SELECT *, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-10) AS norm FROM ({source})"
+    turned = f"SELECT *, list_transform({rot}, lambda r: list_sum(list_transform(r, lambda w, i: w * (v[i] / norm)))) AS y FROM ({unit})"
+    coded = f"SELECT *, list_transform(y, lambda z: ({numbers(centroids)})[len(list_filter({numbers(edges)}, lambda b: b < z)) + 1]) AS back FROM ({turned})"
+    return f"SELECT vec_id, list_transform(range(1, {dim + 1}), lambda j: norm * list_sum(list_transform(back, lambda c, i: c * ({rot})[i][j]))) AS restored FROM ({coded})"
+
+
+# channels of largest RMS go to one sub-vector and the rest to another, each with a rotation and codebook of its own
+MIXED_SQL = f"""WITH rms AS ({RMS_SQL}),
+  top AS (SELECT list(dim ORDER BY dim) AS o FROM (SELECT dim FROM rms ORDER BY rms DESC, dim LIMIT 16)),
+  pick AS (SELECT o, list_filter(range({DIM}), lambda i: NOT list_contains(o, i)) AS r FROM top),
+  cut AS (SELECT vec_id, label, embedding, list_transform(r, lambda i: embedding[i + 1]::DOUBLE) AS rv, list_transform(o, lambda i: embedding[i + 1]::DOUBLE) AS ov FROM embeddings, pick),
+  back AS (SELECT cut.*, a.restored AS ra, b.restored AS rb FROM cut JOIN ({sub_round_trip_sql('SELECT vec_id, rv AS v FROM cut', DIM - 16, 3, 42)}) a USING (vec_id)
+    JOIN ({sub_round_trip_sql('SELECT vec_id, ov AS v FROM cut', 16, 4, 43)}) b USING (vec_id)),
+  whole AS (SELECT label, embedding, list_transform(range({DIM}), lambda i: CASE WHEN list_contains(o, i) THEN rb[list_position(o, i)] ELSE ra[list_position(r, i)] END) AS restored FROM back, pick)
+SELECT label, count(*) AS n, round(avg(err), 6) AS mse, round(avg(err / nullif(aa, 0)), 6) AS relative_mse, round(avg(ab / nullif(sqrt(aa * bb), 0)), 6) AS cosine FROM (
+  SELECT label, {sum_sql('(x::DOUBLE - restored[i]) * (x::DOUBLE - restored[i])')} AS err, {sum_sql('x::DOUBLE * x::DOUBLE')} AS aa, {sum_sql('restored[i] * restored[i]')} AS bb,
+    {sum_sql('x::DOUBLE * restored[i]')} AS ab FROM whole) GROUP BY 1"""
+
+
+@query("q6_outlier_channels", MIXED_SQL)
 def q6(spark, sf):
     rows = vq.mixed_round_trip(vecs(spark, sf), DIM, 3, 4, mask(spark, sf, 16))
     return vq.distortion(rows, ["label"])
