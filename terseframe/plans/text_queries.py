@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import prompts, text as tx
+from ..functions import prompts, tables, text as tx
 from ..operators import account, compress as cp, segment as sg, selection as sel
 from . import fixtures as fx, sqltext as q
 from .registry import query
@@ -26,6 +26,23 @@ def t2(spark, sf):
     return sg.sentence_rows(fx.docs(spark, sf))
 
 
+@query(
+    "f3_span_functions",
+    "SELECT s.doc_id, n_sentences, sentence_chars, n_words, word_ends FROM (SELECT doc_id, count(*) AS n_sentences, sum(e - s)::BIGINT AS sentence_chars FROM ("
+    + q.tiles("documents", "doc_id", q.SENT, "sentence") + ") GROUP BY 1) s JOIN (SELECT doc_id, count(*) AS n_words, sum(e)::BIGINT AS word_ends FROM ("
+    + q.tiles("documents", "doc_id", r"\s*\S+", "word") + ") GROUP BY 1) w USING (doc_id)",
+)
+def f3(spark, sf):
+    """Both span functions called from SQL."""
+    tables.register(spark)
+    return spark.sql(
+        """SELECT doc_id, n_sentences, sentence_chars, n_words, word_ends FROM (
+             SELECT doc_id, count(*) AS n_sentences, sum(s.end - s.start) AS sentence_chars FROM {docs} d, LATERAL sentence_spans(d.text) s GROUP BY doc_id
+           ) JOIN (SELECT doc_id, count(*) AS n_words, sum(w.end) AS word_ends FROM {docs} d, LATERAL word_spans(d.text) w GROUP BY doc_id) USING (doc_id)""",
+        docs=fx.docs(spark, sf),
+    )
+
+
 @query("t3_word_spans", q.sql('SELECT doc_id, pos, word, s::INT AS start, e::INT AS "end" FROM words', "words"))
 def t3(spark, sf):
     return sg.words(fx.docs(spark, sf))
