@@ -81,19 +81,23 @@ def compress(
 
 # --- two methods at once ---------------------------------------------------------------------
 def two_decisions(
-    docs: DataFrame, vocab: Vocabulary, rate: float, size: int = CHUNK, top_k: int = TOP_K, keep: list[str] = ["doc_id"]
+    docs: DataFrame, vocab: Vocabulary, rate: float, size: int = CHUNK, top_k: int = TOP_K, keep: list[str] = ["doc_id"], carry: list[str] = []
 ) -> DataFrame:
     """Both keep-decisions of each text on one word sequence.
 
-    docs: keep.., text, terms. The result has words, kept (rate), guided (question),
+    docs: keep.., text, terms, carry... The result has words, kept (rate), guided (question),
     spans, n_chunks, n_kept_chunks; all arrays are aligned on the same whitespace words.
+    Columns named in `carry` come along in the one shuffle of the texts.
     """
-    held = by_key(docs.select(*keep, F.struct("text", "terms").alias("body")), keep, "body")
-    held = held.select(*keep, "body.text", "body.terms")
+    held = by_key(docs.select(*keep, F.struct(*dict.fromkeys(["text", "terms", *carry])).alias("body")), keep, "body")
+    held = held.select(*keep, "body.*")
     left = keep_words(counted_words(held, vocab, keep=keep, placed=True), keep, F.lit(float(rate)))
     right = selection.guided_spans(held, size, top_k, keep, placed=True)
     none = F.array().cast("array<int>")
-    return left.join(right, keep, "left").withColumns(
+    both = left.join(right, keep, "left")
+    if carry:
+        both = both.join(held.select(*keep, *carry), keep)
+    return both.withColumns(
         {
             "guided": F.coalesce(selection.span_words(F.col("spans")), none),
             "n_chunks": F.coalesce("n_chunks", F.lit(0)),

@@ -162,7 +162,7 @@ PANELS = [("none", [], "intersection"), ("rate", ["llmlingua"], "intersection"),
     ),
 )
 def c16(spark, sf):
-    out = panels(fx.decisions(spark, sf), PANELS)
+    out = panels(fx.decisions(spark, sf, carry=["text", "question"]), PANELS)
     kept = tx.word_count(F.col("shown"))
     return out.select("doc_id", "panel", "shown", kept.alias("kept_words"), ac.hard_ratio(tx.word_count(F.col("text")), kept).alias("hard_ratio"))
 
@@ -175,7 +175,7 @@ def c16(spark, sf):
     ),
 )
 def j10(spark, sf):
-    out = panels(fx.decisions(spark, sf), [PANELS[1], PANELS[3]])
+    out = panels(fx.decisions(spark, sf, carry=["text", "question"]), [PANELS[1], PANELS[3]])
     of = lambda name: F.max(F.when(F.col("panel") == name, tx.word_count(F.col("shown"))))
     both = out.groupBy("doc_id").agg(of("rate").alias("kept_a"), of("both").alias("kept_b"))
     return both.withColumn("delta", F.col("kept_b") - F.col("kept_a"))

@@ -311,7 +311,7 @@ def u2(spark, sf):
     ),
 )
 def c15(spark, sf):
-    rows = modes(fx.decisions(spark, sf))
+    rows = modes(fx.decisions(spark, sf, carry=["question"]))
     empty = cp.guided_is_empty(
         "empty_prefix", F.size(F.coalesce("spans", F.array())), sel.is_empty_prefix(sel.hint_prefix(F.col("question"))), F.col("n_chunks")
     )

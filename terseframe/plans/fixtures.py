@@ -81,8 +81,6 @@ def compressed_utterances(spark: SparkSession, sf: str, rate: float = 0.7) -> Da
     return said.join(out, ["conv_id", "turn"], "left").withColumn("latency_ms", latency)
 
 
-def decisions(spark: SparkSession, sf: str, rate: float = 0.5) -> DataFrame:
-    """Both keep-decisions of every document, with its question."""
-    rows = asked(spark, sf)
-    both = cp.two_decisions(rows, scores.vocabulary(docs(spark, sf)), rate)
-    return both.join(rows.select("doc_id", "text", "question"), "doc_id")
+def decisions(spark: SparkSession, sf: str, rate: float = 0.5, carry: list[str] = []) -> DataFrame:
+    """Both keep-decisions of every document; `carry` names what comes along of its text and question."""
+    return cp.two_decisions(asked(spark, sf), scores.vocabulary(docs(spark, sf)), rate, carry=carry)
