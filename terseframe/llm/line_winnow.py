@@ -10,6 +10,11 @@ each window that selected the fingerprint reaches to its left and right, and equ
 stretches; overlapping ones make up the whole run. In the order of (doc_id, line) the first
 occurrence of a window stays, the lines of later ones go.
 
+With `extend` every line also ends a window, which starts where it last holds `min_words`
+words. A maximal equal run of that many words holds the one that ends at its last line, and
+the windows that start in it and fit reach at least as far as where that one starts; so both
+kinds together cover every line of the run, and nothing outside of equal runs.
+
 Only windows move, not lines or texts; the position join and the first-occurrence join are
 plain equi-joins with one row per fingerprint or window on one side, so adaptive execution
 may split a line or passage that a third of all documents share.
@@ -32,7 +37,7 @@ MIN_WORDS = 50
 WINDOW = "doc_id long, first int, last int, print_at int, print long, win long"
 
 
-def text_windows(text: str, min_words: int) -> list[tuple[int, int, int, int, int]]:
+def text_windows(text: str, min_words: int, extend: bool = False) -> list[tuple[int, int, int, int, int]]:
     """(first line, last line, fingerprint line, fingerprint, window hash) of each window."""
     lines = text.split("\n")
     sizes = [len(x.split()) for x in lines]
@@ -43,10 +48,12 @@ def text_windows(text: str, min_words: int) -> list[tuple[int, int, int, int, in
     upto = np.concatenate(([0], np.cumsum([sizes[i] for i in at])))
     ends = np.searchsorted(upto, upto[:-1] + min_words)  # lines a..ends-1 hold min_words words
     buf, nums, out = hashes.tobytes(), hashes.tolist(), []
+    found = [(a, b) for a, b in enumerate(ends.tolist()) if b <= len(at)]
+    if extend:
+        starts = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
+        found = sorted({*found, *((a, b) for b, a in enumerate(starts.tolist(), 1) if a >= 0)})  # both ends still only grow
     best = -1
-    for a, b in enumerate(ends.tolist()):
-        if b > len(at):
-            break
+    for a, b in found:
         if best < a:
             best = min(range(a, b), key=lambda i: (nums[i], -i))
             seen = b
@@ -59,12 +66,12 @@ def text_windows(text: str, min_words: int) -> list[tuple[int, int, int, int, in
     return out
 
 
-def _windows(min_words: int):
+def _windows(min_words: int, extend: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, rows = [], []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                found = text_windows(text, min_words)
+                found = text_windows(text, min_words, extend)
                 ids += [doc_id] * len(found)
                 rows += found
             if rows:
@@ -77,14 +84,14 @@ def _windows(min_words: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
     """doc_id, first, last (line numbers from 0), kept_id, kept_line of every window with an earlier copy.
 
     Rows with a null doc_id or text are left out. Rows that share a doc_id count as one document.
     """
     texts = docs.filter("doc_id is not null and text is not null")
     rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = materialize(rows.mapInPandas(_windows(min_words), WINDOW))
+    made = materialize(rows.mapInPandas(_windows(min_words, extend), WINDOW))
     spot = F.struct("doc_id", "print_at")
     often = made.groupBy("print").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter("lo < hi").select("print")
     often = materialize(often)  # both sides of the joins are plain shuffles, which can be split
@@ -126,13 +133,15 @@ def runs(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
 
-def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
     """`docs` with later repeated runs cut from `text`; found_spans lists the cut windows (null: none).
 
+    With `extend` a run goes to the last equal line, else to the end of its last window.
+
     Null texts and ids, and texts under `min_words` words, come back as they are. A text
     may become empty; the caller decides whether to keep it. All columns stay.
     """
-    found = runs(repeated_windows(docs, min_words))
+    found = runs(repeated_windows(docs, min_words, extend))
     key, spans = fresh(docs, "found_id"), fresh(docs, "found_spans")
     found = found.select(F.col("doc_id").alias(key), F.col("spans").alias(spans))
     joined = docs.join(found, F.col("doc_id") == F.col(key), "left")
@@ -147,7 +156,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     was, spans = fresh(docs, "was_blank"), fresh(docs, "found_spans")
     before = docs.withColumn(was, ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S"))
-    out = drop_repeats(before, min_words)
+    out = drop_repeats(before, min_words, extend=True)
     out = out.filter(F.col(was) | F.col("text").rlike(r"\S"))
     changed = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return out.withColumn("n_chars", changed).select(*docs.columns)
