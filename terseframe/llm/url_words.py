@@ -2,9 +2,11 @@
 
 Host labels and path parts are split into words by a unigram Viterbi: the split with the
 highest product of word probabilities wins; a string that is no word costs as much as its
-length suggests. Word counts come from the whole URL table (parts between signs are words
-as written) on top of a small starting lexicon, and are kept in a fixed number of hash
-cells, so the model does not grow with the table. A multinomial naive Bayes over hash cells of words is learnt from all distinct URLs, labelled by whether one
+length suggests. On top of a small starting lexicon, parts between signs are words where
+several hosts have them: a part counts once per host, and its spelling, at the price of an
+unknown string, is shared among its hosts, so a joined name of one or two hosts is split
+while a common word stays whole. Parts that lexicon words make up are never words. The most
+common MAX_WORDS words are kept as they are, so the model does not grow with the table. A multinomial naive Bayes over hash cells of words is learnt from all distinct URLs, labelled by whether one
 of their words is in the blocked lexicon, and scores every URL's words.
 """
 
@@ -38,6 +40,9 @@ PLAIN_WORDS = (
     "work world www zone"
 ).split()
 CELLS = 1 << 18
+MAX_WORDS = 1 << 18  # of the table, by number of hosts
+MIN_HOSTS = 2
+SHORTEST = 3  # of the table's words; language codes are no parts of names
 LONGEST = 24
 WORD_COUNT = 50.0  # of a lexicon word in the segmenter, before the table's own counts
 SEED = 5.0  # URLs that a lexicon word stands for in training
@@ -71,20 +76,21 @@ def cell(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) % CELLS
 
 
-def _counts(words: DataFrame) -> np.ndarray:
-    """Occurrences per hash cell: at most CELLS rows reach the driver."""
-    rows = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(CELLS)).alias("c")).agg(F.count("*").alias("n"))
-    out = np.zeros(CELLS)
-    for c, n in rows.collect():
-        out[c] = n
-    return out
+def _words(known: DataFrame) -> dict[str, int]:
+    """Hosts of each part that several hosts have: at most MAX_WORDS rows reach the driver."""
+    whole = F.concat_ws(" ", "host", F.lower("path"))
+    parts = known.select("host", F.explode(F.split(whole, SIGNS)).alias("word"))
+    parts = parts.filter(F.length("word").between(SHORTEST, LONGEST)).distinct()
+    hosts = parts.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_HOSTS)
+    return {r["word"]: r["n"] for r in hosts.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()}
 
 
 @dataclass
 class Segmenter:
-    """Unigram Viterbi over hash cells of word counts."""
+    """Unigram Viterbi over exact words, or over hash cells of word counts where no words are given."""
 
-    log_prob: np.ndarray
+    log_prob: np.ndarray | None
+    exact: dict[str, float] | None = None
 
     @staticmethod
     def of(counts: np.ndarray) -> "Segmenter":
@@ -93,6 +99,19 @@ class Segmenter:
             c[cell(w)] += WORD_COUNT
         return Segmenter(np.log(np.maximum(c, 1e-12) / max(c.sum(), 1.0)))
 
+    @staticmethod
+    def of_words(hosts: dict[str, int]) -> "Segmenter":
+        """From the number of hosts of each word of the table."""
+        lexicon = {*BLOCKED_WORDS, *PLAIN_WORDS}
+        joined = regex.compile("(?:" + "|".join(sorted(lexicon)) + "){2,}")
+        own = {w: n for w, n in hosts.items() if w not in lexicon and not joined.fullmatch(w)}
+        total = WORD_COUNT * len(lexicon) + sum(hosts.get(w, 0) for w in lexicon) + sum(own.values())
+        exact = {w: float(np.log(n / total) + (UNKNOWN + PER_LETTER * len(w)) / n) for w, n in own.items()}
+        return Segmenter(None, exact | {w: float(np.log((WORD_COUNT + hosts.get(w, 0)) / total)) for w in lexicon})
+
+    def known(self, word: str) -> float:
+        return self.log_prob[cell(word)] if self.exact is None else self.exact.get(word, -np.inf)
+
     def split(self, name: str) -> list[str]:
         """Words of a run of letters; names beyond a host label's length are cut at each 4096 letters."""
         if len(name) > 4096:
@@ -101,7 +120,7 @@ class Segmenter:
         for end in range(1, len(name) + 1):
             options = []
             for start in range(max(0, end - LONGEST), end):
-                known = self.log_prob[cell(name[start:end])] if end - start > 1 else -30.0
+                known = self.known(name[start:end]) if end - start > 1 else -30.0
                 unknown = UNKNOWN + PER_LETTER * (end - start)
                 options.append((best[start] + max(known, unknown), start))
             score, start = max(options)
@@ -165,9 +184,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     """
     rows = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
     known = rows.select("host", "path").distinct()
-    whole = F.concat_ws(" ", "host", F.lower("path"))
-    parts = known.select(F.explode(F.split(whole, SIGNS)).alias("word")).filter(F.length("word").between(2, LONGEST))
-    segmenter = Segmenter.of(_counts(parts))
+    segmenter = Segmenter.of_words(_words(known))
 
     @F.pandas_udf("array<string>")
     def segmented(host: pd.Series, path: pd.Series) -> pd.Series:
