@@ -28,26 +28,37 @@ SAME = 0.8  # share of a slot's pages with one text that makes it template
 SUPPORT = 4  # pages with different articles that it takes
 
 # HTML element names: fixed values.
-RAW = "script|style|noscript|template|iframe|object|svg|math|select|textarea|title|button|canvas|audio|video"
+RAW = "script|style|template|iframe|svg|select|textarea|title|button|canvas|audio|video"
+TO_END = frozenset("script style iframe textarea title".split())  # without an end tag they go on to the end of the page
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub "
-    "sup time tt u var wbr".split()
+    "sup time tt u var wbr math mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded "
+    "mphantom mfenced menclose mmultiscripts semantics annotation".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav header footer aside form menu dialog head fieldset figcaption".split())
+DROPPED = frozenset("nav header footer aside form menu dialog head fieldset".split())
 PART = frozenset("p li dt dd td th tr option h1 h2 h3 h4 h5 h6".split())  # ended by the next of their kind
 PAGE = frozenset("html body".split())
 # words of class, id and role that name something other than the article
 NAMED = regex.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|comment[\s_-]?\w*|cookies?|consent|disqus|footer|header|menu|modal|nav|navbar|"
+    r"ad|ads|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|header|menu|modal|nav|navbar|"
     r"navigation|newsletter|notice|notification|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|"
-    r"toolbar|widget|contentinfo|complementary|search|alert|alertdialog|toc|pagination|login|signup)(?:$|[\s_-])"
+    r"toolbar|widget|contentinfo|complementary|search|alert|alertdialog|toc|pagination|login|signup"
+)
+TALK = frozenset("comment comments commentlist disqus replies respond related".split())  # may hold article elements of its own
+# a class like has-sidebar tells what lies inside or beside; in ad-box or nav-2 the last word says nothing
+BESIDE = frozenset("has have with without no not show hide above below under beside before after".split())
+HOLDER = regex.compile(
+    r"[0-9]*|wrap|wrapper|container|content|box|area|list|item|items|inner|outer|block|section|bar|slot|unit|links?|buttons?|text|body|author|meta|"
+    r"top|bottom|left|right|main|primary|secondary|form|title|row|group|panel"
 )
 TOKEN = regex.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<[!?][^>]*(?:>|$)|"
+    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})(?=[\s/>])(?P<own>[^>]*)>|<[!?][^>]*(?:>|$)|"
     r"<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     regex.S | regex.I,
 )
+ENDS = {tag: regex.compile(rf"</{tag}\s*>", regex.I) for tag in RAW.split("|")}
+EMPTY = regex.compile(r"(?:.*[\s\"'])?/", regex.S)  # attributes of <svg ... />
 ATTR = regex.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", regex.I)
 
 
@@ -59,6 +70,7 @@ class Node:
     kind: str = ""
     children: list["Node | Block"] = field(default_factory=list)
     dropped: bool = False
+    by_name: bool = False  # dropped for what its names say, and not for talk
 
 
 @dataclass
@@ -70,6 +82,23 @@ class Block:
     text: str = ""
 
 
+def named(names: str) -> set[str]:
+    """The words by which class, id and role name something other than the article.
+
+    A token counts whole, by its last word, or by its first where only words for holders follow.
+    """
+    out, before = set(), ""
+    for token in names.split():
+        words = [w for w in regex.split("[-_]+", token) if w]
+        told, before = before in BESIDE, token
+        if words and words[0] not in BESIDE and not told:
+            if all(map(HOLDER.fullmatch, words[1:])):
+                words = words[:1]
+            if NAMED.fullmatch(words[-1]):
+                out.add(words[-1])
+    return out
+
+
 def parse(page: str) -> Node:
     """A tree of block elements; inline elements dissolve into the text around them."""
     root = Node("#page", "#page")
@@ -90,16 +119,22 @@ def parse(page: str) -> Node:
         if links:
             block.linked += len(text.strip())
 
-    for m in TOKEN.finditer(page):
+    unended: set[str] = set()
+    while m := TOKEN.search(page, at):
         say(page[at : m.start()])
         at = m.end()
-        tag = m["tag"]
+        tag, attr = m["tag"] or m["raw"], m["attr"] or m["own"] or ""
         if tag is None:
-            if m["raw"]:
-                if block is not None:
-                    block.parts.append(" ")
             continue
         tag = tag.lower()
+        if m["raw"]:
+            close = None if tag in unended or EMPTY.fullmatch(m["own"]) else ENDS[tag].search(page, at)
+            if close or EMPTY.fullmatch(m["own"]) or tag in TO_END:
+                if block is not None:
+                    block.parts.append(" ")
+                at = close.end() if close else at if EMPTY.fullmatch(m["own"]) else len(page)
+                continue
+            unended.add(tag)  # read on as an element like others
         if tag in INLINE:
             if tag == "br":
                 if block is not None:
@@ -119,10 +154,12 @@ def parse(page: str) -> Node:
         if tag in PART or tag not in PAGE:
             while stack[-1].tag == "p" or (tag in PART and stack[-1].tag == tag):
                 stack.pop()
-        attrs = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTR.findall(m["attr"] or "")}
+        attrs = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTR.findall(attr)}
         names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).strip()
         node = Node(tag, f"{tag}.{attrs.get('class', '')}#{regex.sub(r'[0-9]+', '0', attrs.get('id', ''))}")
-        node.dropped = tag in DROPPED or bool(names and tag not in ("html", "body", "article", "main") and NAMED.search(names))
+        words = named(names) if names and tag not in ("html", "body", "article", "main") else set()
+        node.dropped = tag in DROPPED or bool(words)
+        node.by_name = bool(words) and tag not in DROPPED and not words & TALK
         if tag == "header" and any(n.tag in ("article", "main") for n in stack):
             node.dropped = False  # an article's own heading
         stack[-1].children.append(node)
@@ -147,21 +184,33 @@ def blocks(node: Node) -> Iterator[Block]:
             todo.append(iter(item.children))
 
 
-def article_of(root: Node) -> Node:
-    """The element that holds the article: the fullest article or main element, else the page."""
-    best, size = root, 0
-    todo = [root]
+def articles_of(root: Node) -> list[Node]:
+    """All outermost article and main elements that are not inside a dropped part, in page order."""
+    out, todo = [], [root]
     while todo:
         node = todo.pop()
-        for c in node.children:
-            if isinstance(c, Node) and not c.dropped:
-                if c.tag in ("article", "main"):
-                    n = sum(len(b.text) for b in blocks(c))
-                    if n > size:
-                        best, size = c, n
-                else:
-                    todo.append(c)
-    return best
+        if node.tag in ("article", "main"):
+            out.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.dropped]
+    return out
+
+
+def unwrap(root: Node) -> None:
+    """Opens wrappers named for what lies beside the article, where more text is in their articles than outside of all."""
+    if articles_of(root):
+        return
+    found, todo = [], [(root, ())]
+    while todo:
+        node, closed = todo.pop()
+        if node.tag in ("article", "main"):
+            found.append((node, closed))
+        else:
+            todo += [(c, closed + (c,) * c.dropped) for c in node.children if isinstance(c, Node) and (c.by_name or not c.dropped)]
+    if sum(len(b.text) for x, _ in found for b in blocks(x)) > sum(len(b.text) for b in blocks(root)):
+        for _, closed in found:
+            for n in closed:
+                n.dropped = False
 
 
 @dataclass
@@ -256,9 +305,11 @@ def extract_run(pages: list[str | None]) -> list[str]:
                     c.text = " ".join("".join(c.parts).split())
                 else:
                     todo.append(c)
-    bodies = [article_of(t) for t in trees]
+    for t in trees:
+        unwrap(t)
+    inside = [{id(b) for x in articles_of(t) for b in blocks(x)} for t in trees]
     # pages whose longest block is the same are copies of one article and count once
-    longest = [max((b.text for b in blocks(x)), key=len, default="") for x in bodies]
+    longest = [max((b.text for b in blocks(t)), key=len, default="") for t in trees]
     voice: dict[str, int] = {}
     for i, text in enumerate(longest):
         voice.setdefault(text, i)
@@ -267,14 +318,18 @@ def extract_run(pages: list[str | None]) -> list[str]:
     for i, t in enumerate(trees):
         align(template, t, speaks[i], where[i])
     out = []
-    for i, x in enumerate(bodies):
+    for i, t in enumerate(trees):
         kept = []
-        for b in blocks(x):
+        for b in blocks(t):
             s = where[i].get(id(b))
             fixed = s is not None and len(s.pages) >= SUPPORT and len(s.texts.get(b.text, ())) >= SAME * len(s.pages)
-            if b.text and not fixed and b.linked < 0.6 * len(b.text):
-                kept.append(b.text)
-        out.append("\n".join(kept))
+            own = id(b) in inside[i]
+            if b.text and not fixed and (own or b.linked < 0.6 * len(b.text)):
+                kept.append((own, b.text))
+        # text outside the articles goes, unless it is the greater part
+        if 2 * sum(len(x) for own, x in kept if own) >= sum(len(x) for _, x in kept):
+            kept = [k for k in kept if k[0]] or kept
+        out.append("\n".join(x for _, x in kept))
     return out
 
 
