@@ -9,6 +9,10 @@ scripts, styles and reader comments go by their element, class, id or role, and
 where their words vary. Copies of one article on a host count once, so repeated articles
 do not turn into template.
 
+Runs end where partitions do, so each page is also held to its whole host: over all pages of
+the host, a text that most different articles with the same path of elements have at that
+path is template, in runs of any length.
+
 Sibling elements of one kind are matched as one repeated node, which keeps trees small.
 """
 
@@ -16,11 +20,14 @@ import html as entities
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .url_words import host_of
 
 RUN_PAGES = 64
@@ -80,6 +87,7 @@ class Block:
     parts: list[str]
     linked: int = 0
     text: str = ""
+    path: int = 0
 
 
 def named(names: str) -> set[str]:
@@ -294,22 +302,42 @@ def align(slot: Slot, node: Node, page: int, where: dict[int, Slot]) -> None:
                     todo.append((s, members))
 
 
-def extract_run(pages: list[str | None]) -> list[str]:
-    """Main text of each page of one host."""
-    trees = [parse(p or "") for p in pages]
-    for t in trees:
-        todo = [t]
-        while todo:
-            for c in todo.pop().children:
-                if isinstance(c, Block):
-                    c.text = " ".join("".join(c.parts).split())
-                else:
-                    todo.append(c)
-    for t in trees:
-        unwrap(t)
+def mark(text: str, seed: int = 0) -> int:
+    """A signed 64-bit hash."""
+    n = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def read(page: str | None) -> Node:
+    """The page's tree with clean texts; each block's path is a hash of the kinds of elements around it."""
+    root = parse(page or "")
+    todo = [(root, 0)]
+    while todo:
+        node, path = todo.pop()
+        for c in node.children:
+            if isinstance(c, Block):
+                c.text, c.path = " ".join("".join(c.parts).split()), path
+            else:
+                todo.append((c, mark(c.kind, path & (1 << 64) - 1)))
+    unwrap(root)
+    return root
+
+
+def spot(b: Block) -> int:
+    return mark(b.text, b.path & (1 << 64) - 1)
+
+
+def voice_of(root: Node) -> str:
+    """The longest block of the articles, or of the page where it has none."""
+    return max((b.text for x in articles_of(root) or [root] for b in blocks(x)), key=len, default="")
+
+
+def extract_run(pages: list[str | None], template_spots: frozenset[int] = frozenset()) -> list[str]:
+    """Main text of each page of one host; `template_spots` are those that the whole host shows to be template."""
+    trees = [read(p) for p in pages]
     inside = [{id(b) for x in articles_of(t) for b in blocks(x)} for t in trees]
     # pages whose longest block is the same are copies of one article and count once
-    longest = [max((b.text for b in blocks(t)), key=len, default="") for t in trees]
+    longest = [voice_of(t) for t in trees]
     voice: dict[str, int] = {}
     for i, text in enumerate(longest):
         voice.setdefault(text, i)
@@ -323,6 +351,7 @@ def extract_run(pages: list[str | None]) -> list[str]:
         for b in blocks(t):
             s = where[i].get(id(b))
             fixed = s is not None and len(s.pages) >= SUPPORT and len(s.texts.get(b.text, ())) >= SAME * len(s.pages)
+            fixed = fixed or bool(template_spots) and spot(b) in template_spots
             own = id(b) in inside[i]
             if b.text and not fixed and (own or b.linked < 0.6 * len(b.text)):
                 kept.append((own, b.text))
@@ -333,23 +362,51 @@ def extract_run(pages: list[str | None]) -> list[str]:
     return out
 
 
+def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(site, path, spot, article) of every block that is not inside a dropped part, once a page."""
+    for batch in batches:
+        rows: list[tuple[int, int, int, int]] = []
+        for html, site in zip(batch["html"].tolist(), batch["site"].tolist()):
+            root = read(html)
+            found = [b for b in blocks(root) if b.text]
+            if found:
+                article = mark(voice_of(root))
+                rows += {(site, b.path, spot(b), article) for b in found}
+        if rows:
+            yield pd.DataFrame(np.array(rows, np.int64), columns=["site", "path", "spot", "article"])
+
+
+def host_template(rows: DataFrame) -> DataFrame:
+    """site (hash of host) and spots: the texts at a path that SAME of the host's different articles with that path have."""
+    seen = materialize(rows.select("html", "site").mapInPandas(_evidence, "site long, path long, spot long, article long"))
+    often = seen.groupBy("site", "path", "spot").agg(F.min("article").alias("lo"), F.max("article").alias("hi"))
+    often = materialize(often.filter("lo < hi").select("site", "path", "spot"))  # texts of one article only are most, and go first
+    met = seen.join(often, ["site", "path", "spot"]).distinct().groupBy("site", "path", "spot").agg(F.count("*").alias("n"))
+    met = met.filter(F.col("n") >= SUPPORT)
+    paths = seen.select("site", "path", "article").distinct().groupBy("site", "path").agg(F.count("*").alias("all"))
+    fixed = met.join(paths, ["site", "path"]).filter(F.col("n") >= SAME * F.col("all"))
+    return fixed.groupBy("site").agg(F.collect_set("spot").alias("spots"))
+
+
 def _extract(run_pages: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, host = [], None
+        held, host, spots = [], None, frozenset()
 
         def out() -> pd.DataFrame:
-            texts = extract_run([h[2] for h in held])
+            texts = extract_run([h[2] for h in held], spots)
             return pd.DataFrame({
                 "page_id": pd.array([None if pd.isna(h[0]) else int(h[0]) for h in held], dtype="Int64"),
                 "url": [h[1] for h in held], "text": texts, "n_chars": [len(t) for t in texts],
             })
 
         for batch in batches:
-            for page_id, url, html, name in zip(batch["page_id"].tolist(), batch["url"].tolist(), batch["html"].tolist(), batch["host"].tolist()):
+            cols = (batch[c].tolist() for c in ("page_id", "url", "html", "host", "spots"))
+            for page_id, url, html, name, fixed in zip(*cols):
                 if held and (name != host or len(held) >= run_pages):
                     yield out()
                     held = []
-                host = name
+                if name != host or not held:
+                    host, spots = name, frozenset(() if fixed is None else map(int, fixed))
                 held.append((page_id, url, html))
         if held:
             yield out()
@@ -367,5 +424,7 @@ def main_text(pages: DataFrame, run_pages: int = RUN_PAGES) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"),
     )
+    rows = rows.withColumn("site", F.xxhash64("host"))
+    rows = rows.join(materialize(host_template(rows)), "site", "left")  # broadcast while the table is small
     dealt = rows.repartitionByRange("host", "page_id").sortWithinPartitions("host", "page_id")
     return dealt.mapInPandas(_extract(run_pages), "page_id long, url string, text string, n_chars long")
