@@ -19,6 +19,7 @@ Sibling elements of one kind are matched as one repeated node, which keeps trees
 import html as entities
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -90,21 +91,25 @@ class Block:
     path: int = 0
 
 
-def named(names: str) -> set[str]:
+DIGITS, JOINTS = regex.compile("[0-9]+"), regex.compile("[-_]+")
+
+
+@lru_cache(maxsize=4096)
+def named(names: str) -> frozenset[str]:
     """The words by which class, id and role name something other than the article.
 
     A token counts whole, by its last word, or by its first where only words for holders follow.
     """
     out, before = set(), ""
     for token in names.split():
-        words = [w for w in regex.split("[-_]+", token) if w]
+        words = [w for w in JOINTS.split(token) if w]
         told, before = before in BESIDE, token
         if words and words[0] not in BESIDE and not told:
             if all(map(HOLDER.fullmatch, words[1:])):
                 words = words[:1]
             if NAMED.fullmatch(words[-1]):
                 out.add(words[-1])
-    return out
+    return frozenset(out)
 
 
 def parse(page: str) -> Node:
@@ -162,10 +167,10 @@ def parse(page: str) -> Node:
         if tag in PART or tag not in PAGE:
             while stack[-1].tag == "p" or (tag in PART and stack[-1].tag == tag):
                 stack.pop()
-        attrs = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTR.findall(attr)}
-        names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).strip()
-        node = Node(tag, f"{tag}.{attrs.get('class', '')}#{regex.sub(r'[0-9]+', '0', attrs.get('id', ''))}")
-        words = named(names) if names and tag not in ("html", "body", "article", "main") else set()
+        attrs = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTR.findall(attr)} if attr else {}
+        names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).strip() if attrs else ""
+        node = Node(tag, f"{tag}.{attrs.get('class', '')}#{DIGITS.sub('0', attrs.get('id', ''))}")
+        words = named(names) if names and tag not in ("html", "body", "article", "main") else frozenset()
         node.dropped = tag in DROPPED or bool(words)
         node.by_name = bool(words) and tag not in DROPPED and not words & TALK
         if tag == "header" and any(n.tag in ("article", "main") for n in stack):
