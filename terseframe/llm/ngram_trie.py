@@ -8,11 +8,13 @@ words and contexts, in shards of their own, give the second.
 
 Tries are cut into shards by a hash of the whole n-gram, so that a frequent context is
 spread over all shards and none grows with it. A shard has three levels: contexts as a
-monotone sequence of 32-bit word hashes, monotone pointers to the end of each context's
-successors, and the successors as one monotone sequence of (context place, 32-bit word
+monotone sequence of 64-bit word hashes, monotone pointers to the end of each context's
+successors, and the successors as one monotone sequence of (context place, upper bits of the word's
 hash), with the log of the smoothed term in 16 bits each. A query finds the context's place and
-searches the successor between its pointers. Word shards hold 64-bit hashes and exact
-counts. A false match needs both halves of the bigram and its shard to agree: under one in 2^40.
+searches the successor between its pointers. Word and context shards hold 64-bit hashes and exact
+counts. A word is its 64-bit hash; among the successors of one context in one shard it is told by the upper 48
+bits of it, or by as many as 64 bits leave beside the context's place (44 at a million contexts). Two
+successors that agree in these count as one: with S successors, some S^2 / 2^45 of them.
 
 Words are counted first, bigrams in a second pass. Training sends, per task and shard, one
 packed sorted array of distinct n-grams with counts. Each shard is merged by one task and
@@ -40,13 +42,13 @@ from .common import ascii_words
 from .elias_fano import EliasFano, load, store
 
 DISCOUNT = 0.8
+SUCCESSOR_BITS = 48
 STEP = 1 / 2048  # of quantised log10 probabilities, 16 bits
 FOLDS = 10
 SHARD_CHARS = 32_000_000
 CHUNK_TOKENS = 2_500_000
 END, START = xxhash.xxh3_64_intdigest(b"end\n"), xxhash.xxh3_64_intdigest(b"start\n")  # no word holds a line end
 _U = np.uint64
-M32 = _U(0xFFFFFFFF)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,14 +113,15 @@ def _pair_blobs(chunk: Chunk, n_shards: int) -> Iterator[tuple[int, bytes]]:
     hashes, first, second, _ = chunk.arrays()
     pairs, c = np.unique(first.astype(np.int64) << 32 | second, return_counts=True)
     a, b = hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF]
-    shard, b32 = (_mix(a, b) % _U(n_shards)).astype(np.int64), (b >> _U(32)).astype(np.uint32)
+    shard, own = (_mix(a, b) % _U(n_shards)).astype(np.int64), b >> _U(64 - SUCCESSOR_BITS)
+    upper, lower = (own >> _U(16)).astype(np.uint32), (own & _U(0xFFFF)).astype(np.uint16)
     for s, at in _groups(shard, n_shards):
         at = at[np.argsort(a[at], kind="stable")]
         ctx, start = np.unique(a[at], return_index=True)
         runs = np.diff(np.concatenate((start, [len(at)])))
         n = c[at]
         small = np.minimum(n, 255).astype(np.uint8)  # larger counts follow apart
-        yield s, store([ctx, runs.astype(np.uint32), b32[at], small, n[n >= 255].astype(np.uint64)])
+        yield s, store([ctx, runs.astype(np.uint32), upper[at], lower[at], small, n[n >= 255].astype(np.uint64)])
 
 
 def _count_rows(blobs: Callable[[Chunk, int], Iterator[tuple[int, bytes]]], n_shards: int) -> Callable[..., Iterator[pa.RecordBatch]]:
@@ -185,23 +188,27 @@ class Trie:
         self.contexts, self.pointers, self.successors = (EliasFano.of(parts[i : i + 4]) for i in (0, 4, 8))
         self.quantised = parts[12]
 
+    @staticmethod
+    def bits(contexts: int) -> int:
+        """Bits of a successor's hash that stand beside the place of its context."""
+        return min(SUCCESSOR_BITS, 64 - max(1, contexts).bit_length())
+
     @staticmethod
     def build(contexts: np.ndarray, runs: np.ndarray, successors: np.ndarray, prob: np.ndarray) -> list[np.ndarray]:
-        """Arrays of a shard from sorted context hashes, successors per context, their hashes and probabilities."""
+        """Arrays of a shard from sorted context hashes, successors per context, (place, hash bits) of each and their probabilities."""
         ends = np.cumsum(runs)
-        place = np.repeat(np.arange(len(contexts), dtype=_U), runs)
         levels = [
-            EliasFano.build(contexts.astype(_U), 1 << 32),
+            EliasFano.build(contexts.astype(_U), 1 << 64),
             EliasFano.build(ends.astype(_U), int(ends[-1]) + 1 if len(ends) else 1),
-            EliasFano.build(place << _U(32) | successors.astype(_U), max(1, len(contexts)) << 32),
+            EliasFano.build(successors, max(1, len(contexts)) << Trie.bits(len(contexts))),
         ]
-        q = np.minimum(np.round(-np.log10(prob) / STEP), 65535).astype(np.uint16)
+        q = np.clip(np.round(-np.log10(prob) / STEP), 0, 65535).astype(np.uint16)
         return [x for level in levels for x in level.parts()] + [q]
 
     def prob(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Smoothed term of each pair of word hashes, 0 where the shard does not hold it."""
         out = np.zeros(len(a))
-        ctx, back = np.unique(a >> _U(32), return_inverse=True)
+        ctx, back = np.unique(a, return_inverse=True)
         place = self.contexts.find(ctx)
         known = place >= 0
         lo, hi = np.zeros(len(ctx), np.int64), np.zeros(len(ctx), np.int64)
@@ -209,8 +216,8 @@ class Trie:
         after = known & (place > 0)
         lo[after] = self.pointers.get(place[after] - 1).astype(np.int64)
         some = np.flatnonzero(known[back])
-        at_ctx = back[some]
-        key = place[at_ctx].astype(_U) << _U(32) | (b[some] >> _U(32))
+        at_ctx, bits = back[some], self.bits(self.contexts.n)
+        key = place[at_ctx].astype(_U) << _U(bits) | (b[some] >> _U(64 - bits))
         at = self.successors.find(key, lo[at_ctx], hi[at_ctx])
         hit = at >= 0
         out[some[hit]] = 10 ** (-STEP * self.quantised[at[hit]].astype(np.float64))
@@ -295,21 +302,23 @@ def _pair_shard(model: Model) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         shard, blobs = table.column("shard")[0].as_py(), _blobs(table)
+        whole = np.unique(np.concatenate([b[0] for b in blobs]))
+        bits = Trie.bits(len(whole))
         keys, counts = [], []
-        for ctx, runs, b32, small, large in blobs:
+        for ctx, runs, upper, lower, small, large in blobs:
             n = small.astype(np.int64)
             n[small == 255] = large.astype(np.int64)
-            keys.append(np.repeat(ctx >> _U(32), runs) << _U(32) | b32)
+            own = upper.astype(_U) << _U(16) | lower.astype(_U)
+            keys.append(np.repeat(np.searchsorted(whole, ctx).astype(_U), runs) << _U(bits) | own >> _U(SUCCESSOR_BITS - bits))
             counts.append(n)
+        del blobs
         key, n = _summed(np.concatenate(keys), np.concatenate(counts))
-        whole = np.unique(np.concatenate([b[0] for b in blobs]))
-        del keys, counts, blobs
+        del keys, counts
+        runs = np.bincount((key >> _U(bits)).astype(np.int64), minlength=len(whole))
         total = model.context_counts(whole, model.counts(whole))
-        ctx, runs = np.unique(key >> _U(32), return_counts=True)
-        at = np.searchsorted(whole >> _U(32), ctx)
-        prob = (n - model.discount) / np.repeat(total[at], runs)
-        write_shard(model.folder, f"p{shard}", store(Trie.build(ctx, runs, key & M32, prob)))
-        owner = whole[at]
+        prob = (n - model.discount) / np.repeat(total, runs)
+        write_shard(model.folder, f"p{shard}", store(Trie.build(whole, runs, key, prob)))
+        owner = whole
         rows = [(s, store([owner[i], runs[i].astype(np.uint32)])) for s, i in _groups((owner % _U(model.shards)).astype(np.int64), model.shards)]
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
