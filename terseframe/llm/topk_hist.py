@@ -8,6 +8,10 @@ smaller than its own k-th largest, since the overall one cannot be lower. A last
 emits what lies above the k-th score and, of those equal to it, the k least ids of each
 block; one ranking of those few settles ties.
 
+Scores are whole numbers of 64 bits; a score beyond them counts as the end of that range (and so
+do parts of vectors), which leaves it above or below all others. Blocks whose scores may
+leave 64 bits, or 53 for the fast product, are found by their largest parts and computed in whole numbers of any size.
+
 Scores are computed again in every round and never stored. Blocks bound the memory of a
 task; the grid of row and query blocks spreads over the cluster and holds no hot key.
 """
@@ -25,6 +29,7 @@ BINS = 1024
 ROWS = 4096
 QUERIES = 512
 EXACT = 2**53
+MOST = 2**63 - 1
 
 
 def whole_vectors(df: DataFrame, scale: int = 1024) -> DataFrame:
@@ -39,11 +44,14 @@ def whole_vectors(df: DataFrame, scale: int = 1024) -> DataFrame:
 def _scores(rows: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
     """Scores (queries, rows); the own row of a query gets the least number."""
     x, q = np.stack(rows["v"].tolist()), np.stack(queries["v"].tolist())
-    most = max(1, int(np.abs(x).max(initial=0))) * max(1, int(np.abs(q).max(initial=0))) * max(1, x.shape[1])
+    size = lambda a: max(1, -int(a.min(initial=0)), int(a.max(initial=0)))
+    most = size(x) * size(q) * max(1, x.shape[1])
     if most < EXACT:
         s = (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    else:
+    elif most <= MOST:
         s = q.astype(np.int64) @ x.T.astype(np.int64)
+    else:
+        s = np.clip(q.astype(object) @ x.T.astype(object), -MOST, MOST).astype(np.int64)
     own = queries["vec_id"].to_numpy()[:, None] == rows["vec_id"].to_numpy()[None, :]
     s[own] = np.iinfo(np.int64).min
     return s
@@ -58,8 +66,9 @@ def _count(k: int, width: int, span: int) -> Callable[..., pd.DataFrame]:
         floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(s), np.iinfo(np.int64).min + 1)
         lo = queries["lo"].to_numpy()
         r, c = np.nonzero((s >= np.maximum(np.maximum(floor, lo), np.iinfo(np.int64).min + 1)[:, None]))
-        bins = (s[r, c] - lo[r]) // width
-        inside = s[r, c] - lo[r] < span
+        up = s[r, c].astype(np.uint64) - lo[r].astype(np.uint64)  # from the lower end, up to 64 bits
+        bins = (up // np.uint64(width)).astype(np.int64)
+        inside = up < np.uint64(span)
         both, n = np.unique(np.stack([r[inside], bins[inside]]), axis=1, return_counts=True)
         if not len(n):
             return none
@@ -94,12 +103,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, row_block: int =
     """
     vectors = materialize(vectors.select("vec_id", "v", F.size("v").alias("dim")))
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     size, most = vectors.agg(F.count("*"), F.max(norm)).first()
     n_queries, far = queries.agg(F.count("*"), F.max(norm)).first()
     if not size or not n_queries:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    most = max(most, far)
+    most = min(MOST, int(max(most, far) * (1 + 1e-6)) + 1)  # a bound of all scores, with a margin for rounding
     g, h = -(-size // row_block), -(-n_queries // query_block)
     rows = vectors.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(g))).withColumn(
         "h", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))
@@ -125,7 +134,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, row_block: int =
         # without enough candidates in range the lower end stays, and so takes all of them
         state = state.join(found, "vec_id", "left").select(
             "vec_id", "v", "dim", "h",
-            F.coalesce(F.col("lo") + F.col("bin") * width, F.col("lo")).alias("lo"),
+            F.coalesce((F.col("lo").cast("decimal(38,0)") + F.col("bin") * F.lit(width).cast("decimal(20,0)")).cast("long"), F.col("lo")).alias("lo"),
             F.coalesce(F.col("need") + F.col("minus_above"), F.col("need")).alias("need"),
         )
         state = materialize(state)
