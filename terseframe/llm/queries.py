@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bottom_k, byte_bpe, golay_dedup, hadamard_kmeans, line_winnow, ngram_trie, pfair_mix, quality_crf, topk_hist, turn_repair, url_words,
+    bottom_k, byte_bpe, golay_dedup, hadamard_kmeans, line_windows, ngram_trie, pfair_mix, quality_crf, topk_hist, turn_repair, url_words,
     var_pack, wrapper,
 )
 
@@ -31,7 +31,7 @@ def op2_mix(spark: SparkSession, sf: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, removed_lines, removed_chars, sha256 of the text left, of every document."""
     docs = table(spark, sf, "documents")
-    out = line_winnow.drop_repeats(docs.select("doc_id", "text", F.col("text").alias("whole")), extend=True)
+    out = line_windows.drop_repeats(docs.select("doc_id", "text", F.col("text").alias("whole")))
     lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"))) + 1
     left = F.when(F.col("text") == "", 0).otherwise(lines(F.col("text")))
     return out.select(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terseframe.llm import bottom_k, golay_dedup, line_winnow, ngram_trie, pfair_mix, quality_crf, topk_hist, url_words, var_pack, wrapper
+from terseframe.llm import bottom_k, golay_dedup, line_windows, ngram_trie, pfair_mix, quality_crf, topk_hist, url_words, var_pack, wrapper
 
 rnd = random.Random(5)
 PROSE = [" ".join(rnd.choice("alpha beta gamma delta the of and to in river stone".split()) + str(rnd.randrange(40)) for _ in range(60)) for _ in range(12)]
@@ -54,14 +54,14 @@ def test_mix(docs, none):
 
 
 def test_line_dedup(docs, none):
-    rows = line_winnow.drop_repeats(docs).collect()
+    rows = line_windows.drop_repeats(docs).collect()
     left = {r.doc_id: r.text for r in rows if r.doc_id is not None}
     assert len(rows) == len(ROWS) and left[1] == PROSE[0] and left[2] == "" and left[3] is None and left[4] == "" and left[5] == " \n\t"
     assert left[10] == "" and left[9] == "" and left[6] == "\n".join(PROSE[1:12]) and next(r.text for r in rows if r.doc_id is None) == PROSE[1]
-    out = line_winnow.deduplicated(docs)
+    out = line_windows.deduplicated(docs)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {1, 3, 4, 5, None, 6, 7, 8, 11}
     assert all(r.n_chars == len(r.text or "") for r in out.collect())
-    assert line_winnow.drop_repeats(none).count() == 0
+    assert line_windows.drop_repeats(none).count() == 0
 
 
 def test_fingerprints(docs, none):
@@ -109,6 +109,22 @@ def test_top_k(spark):
     assert topk_hist.top_k(whole.filter("false"), whole).count() == 0
 
 
+def test_top_k_of_large_parts(spark):
+    rows = [(0, [0.5, 1.0]), (1, [4e6, 1.0]), (2, [0.1, 0.2]), (3, [-3e9, 7.0]), (4, [5e15, 5e15]), (100, [6e15, -2e15]), (200, [1e300, 1e300]), (201, [-1e300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = topk_hist.whole_vectors(df)
+    most = 2**63 - 1
+    part = lambda x: max(-most - 1, min(most, int(x * 1024 // 1)))
+    v = {i: [part(x) for x in e] for i, e in rows}
+    score = lambda a, b: max(-most, min(most, sum(x * y for x, y in zip(v[a], v[b]))))
+    for k in (1, 3, 10):
+        want = [(q, n, i, s) for q in (0, 100, 200) for n, (s, i) in enumerate(sorted(((score(q, i), i) for i in v if i != q), key=lambda x: (-x[0], x[1]))[:k], 1)]
+        got = topk_hist.top_k(whole, whole.filter("vec_id % 100 = 0"), k=k)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    small = whole.filter("vec_id < 3")
+    assert [r.vec_id for r in topk_hist.top_k(small, small.filter("vec_id = 0")).orderBy("rank").collect()] == [1, 2]
+
+
 PAGES = [
     (1, None, None), (2, "", ""), (3, "no url", "<p>bare"), (4, "http://A.b/de/x?q#f", "<div><p>one &amp;  two<br>three<table><tr><td>x</table>"),
     (5, "x://u@casino-win.example.net:80#f/y", "<article><p>a<p>b<script>var t='</p>'</script></article><footer>c</footer>"), (5, "x://u@casino-win.example.net:80#f/y", "<b"),

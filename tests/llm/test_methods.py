@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from terseframe.llm import golay_dedup, line_winnow, ngram_trie, pfair_mix, quality_crf, var_pack
+from terseframe.llm import golay_dedup, ngram_trie, pfair_mix, quality_crf, var_pack
 from terseframe.llm.elias_fano import EliasFano, load, store
 from terseframe.llm.queries import ORACLES, QUERIES, TARGETS
 
@@ -113,35 +113,6 @@ def test_language_model(spark, sf, con):
         assert abs(p.sum() - 1) < 2e-3
 
 
-def brute_dedup(texts, w):
-    seen, out = set(), []
-    for text in texts:
-        lines = text.split("\n")
-        at = [i for i, x in enumerate(lines) if x.split()]
-        gone = set()
-        for a in range(len(at)):
-            b, n = a, 0
-            while b < len(at) and n < w:
-                n += len(lines[at[b]].split())
-                b += 1
-            if n >= w:
-                key = tuple(lines[i].strip() for i in at[a:b])
-                if key in seen:
-                    gone |= set(range(at[a], at[b - 1] + 1))
-                seen.add(key)
-        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
-    return out
-
-
-def test_line_dedup(spark):
-    pool = [" ".join(f"w{rnd.randrange(900)}" for _ in range(rnd.randrange(1, 9))) for _ in range(25)]
-    texts = ["\n".join(rnd.choice(["", *pool]) for _ in range(rnd.randrange(1, 30))) for _ in range(60)]
-    texts += ["\n".join(rnd.choice(texts).split("\n")[2:] + ["end"]) for _ in range(20)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_winnow.drop_repeats(df, 10).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_dedup(texts, 10)
-
-
 def test_mixture_keeps_within_a_block(spark, sf):
     rows = QUERIES["op2_mix"](spark, sf).collect()
     slots = {r.slot: (r["class"], r.release, r.deadline) for r in rows}
