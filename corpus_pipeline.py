@@ -7,7 +7,7 @@ mixture; packing reads that order back from file names and row numbers.
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terseframe.llm import golay_dedup, line_winnow, pfair_mix, quality_crf, var_pack
+from terseframe.llm import golay_dedup, line_windows, pfair_mix, quality_crf, var_pack
 from terseframe.llm.common import short_batches
 from terseframe.llm.queries import TARGETS
 from terseframe.session import materialize
@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines cut; documents with nothing left go."""
     short_batches(spark)
-    return line_winnow.deduplicated(docs)
+    return line_windows.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
