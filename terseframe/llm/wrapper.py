@@ -1,7 +1,8 @@
 """Main text of pages by wrapper induction over same-host pages.
 
-Pages are dealt by ranges of (host, page_id), so that one host may fill many tasks, and
-read in that order in runs of at most `run_pages` pages of one host. The pages' block trees are
+The pages of a host are dealt by a hash of page_id and html into runs of about `run_pages`, as many as the host's
+number of pages asks for, so that one host may fill many tasks and a page's run does not depend on
+partitions. A run of more (equal rows) is cut in the order of page_id. The pages' block trees are
 aligned to the run's template by simple tree matching; nodes that match nothing join the
 template. A slot whose text is the same on nearly all pages that have it is template; one
 whose text varies is content. Menus, headers, footers, sidebars, notices, adverts, forms,
@@ -9,7 +10,7 @@ scripts, styles and reader comments go by their element, class, id or role, and
 where their words vary. Copies of one article on a host count once, so repeated articles
 do not turn into template.
 
-Runs end where partitions do, so each page is also held to its whole host: over all pages of
+Each page is also held to its whole host: over all pages of
 the host, a text that most different articles with the same path of elements have at that
 path is template, in runs of any length.
 
@@ -45,13 +46,15 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav header footer aside form menu dialog head fieldset".split())
+FORMS = frozenset("form fieldset".split())
+ASKED = frozenset("label legend li dt dd option th".split())  # of a form's own
 PART = frozenset("p li dt dd td th tr option h1 h2 h3 h4 h5 h6".split())  # ended by the next of their kind
 PAGE = frozenset("html body".split())
 # words of class, id and role that name something other than the article
 NAMED = regex.compile(
     r"ad|ads|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|header|menu|modal|nav|navbar|"
     r"navigation|newsletter|notice|notification|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|"
-    r"toolbar|widget|contentinfo|complementary|search|alert|alertdialog|toc|pagination|login|signup"
+    r"toolbar|widget|contentinfo|complementary|alert|alertdialog|toc|pagination|login|signup"
 )
 TALK = frozenset("comment comments commentlist disqus replies respond related".split())  # may hold article elements of its own
 # a class like has-sidebar tells what lies inside or beside; in ad-box or nav-2 the last word says nothing
@@ -60,14 +63,19 @@ HOLDER = regex.compile(
     r"[0-9]*|wrap|wrapper|container|content|box|area|list|item|items|inner|outer|block|section|bar|slot|unit|links?|buttons?|text|body|author|meta|"
     r"top|bottom|left|right|main|primary|secondary|form|title|row|group|panel"
 )
+# a quote opens a value only right after the sign of equality; one that is never closed ends with its tag
+VALUE = r"\"[^\"]*\"|'[^']*'|[^\s>]*"
+ATTRS = rf"(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:{VALUE}))?+)*+"
 TOKEN = regex.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})(?=[\s/>])(?P<own>[^>]*)>|<[!?][^>]*(?:>|$)|"
-    r"<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})(?=[\s/>])(?P<own>{ATTRS})>|<[!?][^>]*(?:>|$)|"
+    rf"<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>{ATTRS})>",
     regex.S | regex.I,
 )
+OPEN = regex.compile(r"<[a-zA-Z!/?][^>]*$")
 ENDS = {tag: regex.compile(rf"</{tag}\s*>", regex.I) for tag in RAW.split("|")}
 EMPTY = regex.compile(r"(?:.*[\s\"'])?/", regex.S)  # attributes of <svg ... />
-ATTR = regex.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", regex.I)
+ATTR = regex.compile(r"""(=?[^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?+""")
+TOLD = regex.compile("class|id|role", regex.I)
 
 
 @dataclass
@@ -79,6 +87,7 @@ class Node:
     children: list["Node | Block"] = field(default_factory=list)
     dropped: bool = False
     by_name: bool = False  # dropped for what its names say, and not for talk
+    form: bool = False
 
 
 @dataclass
@@ -167,20 +176,22 @@ def parse(page: str) -> Node:
         if tag in PART or tag not in PAGE:
             while stack[-1].tag == "p" or (tag in PART and stack[-1].tag == tag):
                 stack.pop()
-        attrs = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTR.findall(attr)} if attr else {}
+        attrs: dict[str, str] = {}
+        for k, a, b, c in ATTR.findall(attr) if TOLD.search(attr) else ():
+            attrs.setdefault(k.lower(), (a or b or c).lower())
         names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).strip() if attrs else ""
         node = Node(tag, f"{tag}.{attrs.get('class', '')}#{DIGITS.sub('0', attrs.get('id', ''))}")
         words = named(names) if names and tag not in ("html", "body", "article", "main") else frozenset()
         node.dropped = tag in DROPPED or bool(words)
         node.by_name = bool(words) and tag not in DROPPED and not words & TALK
+        node.form = tag in FORMS and not words
         if tag == "header" and any(n.tag in ("article", "main") for n in stack):
             node.dropped = False  # an article's own heading
         stack[-1].children.append(node)
         if tag not in VOID:
             stack.append(node)
     if at < len(page):
-        rest = page[at:]
-        say(rest if not regex.match(r"\s*<[a-zA-Z!/?]", rest) else "")
+        say(OPEN.sub("", page[at:]))
     return root
 
 
@@ -210,22 +221,58 @@ def articles_of(root: Node) -> list[Node]:
 
 
 def unwrap(root: Node) -> None:
-    """Opens wrappers named for what lies beside the article, where more text is in their articles than outside of all."""
+    """Opens what stands around the page's text though it is named for something else.
+
+    Wrappers named for what lies beside the article, and forms, are opened where more text is in their
+    articles than outside of all; without articles, forms are opened that hold more text,
+    beside their labels and lists, than there is outside of all.
+    """
     if articles_of(root):
         return
-    found, todo = [], [(root, ())]
+    found, forms, todo = [], [], [(root, ())]
     while todo:
         node, closed = todo.pop()
         if node.tag in ("article", "main"):
             found.append((node, closed))
-        else:
-            todo += [(c, closed + (c,) * c.dropped) for c in node.children if isinstance(c, Node) and (c.by_name or not c.dropped)]
-    if sum(len(b.text) for x, _ in found for b in blocks(x)) > sum(len(b.text) for b in blocks(root)):
-        for _, closed in found:
-            for n in closed:
+            continue
+        inner = [c for c in node.children if isinstance(c, Node) and (c.by_name or c.form or not c.dropped)]
+        forms += [(c, closed + (c,)) for c in inner if c.form and c.tag == "form" and all(n.form for n in closed)]
+        todo += [(c, closed + (c,) * c.dropped) for c in inner]
+    outside = sum(len(b.text) for b in blocks(root))
+    if found:
+        if sum(len(b.text) for x, _ in found for b in blocks(x)) > outside:
+            for _, closed in found:
+                for n in closed:
+                    n.dropped = False
+        return
+    for form, closed in forms:
+        if told(form) > outside:
+            for n in (*closed, *fields(form)):
                 n.dropped = False
 
 
+def fields(form: Node) -> list[Node]:
+    """The fieldsets of a form that are not inside a dropped part of another kind."""
+    out, todo = [], [form]
+    while todo:
+        inner = [c for c in todo.pop().children if isinstance(c, Node) and (c.form or not c.dropped)]
+        out += [c for c in inner if c.form]
+        todo += inner
+    return out
+
+
+def told(form: Node) -> int:
+    """Letters in a form that are not in its labels and lists, fieldsets included."""
+    n, todo = 0, [form]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, Block):
+                n += len(c.text)
+            elif (c.form or not c.dropped) and c.tag not in ASKED:
+                todo.append(c)
+    return n
+
+
 @dataclass
 class Slot:
     """A template node: one kind of element, its repeated children, and the texts seen here."""
@@ -395,7 +442,7 @@ def host_template(rows: DataFrame) -> DataFrame:
 
 def _extract(run_pages: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, host, spots = [], None, frozenset()
+        held, own, spots = [], None, frozenset()
 
         def out() -> pd.DataFrame:
             texts = extract_run([h[2] for h in held], spots)
@@ -405,13 +452,13 @@ def _extract(run_pages: int):
             })
 
         for batch in batches:
-            cols = (batch[c].tolist() for c in ("page_id", "url", "html", "host", "spots"))
-            for page_id, url, html, name, fixed in zip(*cols):
-                if held and (name != host or len(held) >= run_pages):
+            cols = (batch[c].tolist() for c in ("page_id", "url", "html", "host", "run", "spots"))
+            for page_id, url, html, host, number, fixed in zip(*cols):
+                if held and ((host, number) != own or len(held) >= 2 * run_pages):
                     yield out()
                     held = []
-                if name != host or not held:
-                    host, spots = name, frozenset(() if fixed is None else map(int, fixed))
+                if not held:
+                    own, spots = (host, number), frozenset(() if fixed is None else map(int, fixed))
                 held.append((page_id, url, html))
         if held:
             yield out()
@@ -422,7 +469,7 @@ def _extract(run_pages: int):
 def main_text(pages: DataFrame, run_pages: int = RUN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
-    Null and empty html give an empty text. Pages without a host form a run of their own;
+    Null and empty html give an empty text. Pages without a host form runs of their own;
     repeated rows stay rows and count as copies of one article. Other columns are ignored.
     """
     rows = pages.select(
@@ -430,6 +477,9 @@ def main_text(pages: DataFrame, run_pages: int = RUN_PAGES) -> DataFrame:
         F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"),
     )
     rows = rows.withColumn("site", F.xxhash64("host"))
-    rows = rows.join(materialize(host_template(rows)), "site", "left")  # broadcast while the table is small
-    dealt = rows.repartitionByRange("host", "page_id").sortWithinPartitions("host", "page_id")
+    sizes = rows.groupBy("site").agg(F.ceil(F.count("*") / run_pages).alias("runs"))
+    known = materialize(sizes.join(host_template(rows), "site", "left"))
+    rows = rows.join(known, "site")  # broadcast while the table is small
+    number = F.pmod(F.xxhash64("page_id", "html"), F.col("runs"))
+    dealt = rows.withColumn("run", number).drop("runs").repartition("host", "run").sortWithinPartitions("host", "run", "page_id", F.xxhash64("html"))
     return dealt.mapInPandas(_extract(run_pages), "page_id long, url string, text string, n_chars long")

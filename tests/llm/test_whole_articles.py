@@ -20,6 +20,18 @@ CASES = {
     "<div class='page sidebar'><article><p>a</article></div><p>": "a",
     "<div class=sidebar><article>teaser</article></div><article>a</article>": "a",
     "<ol class=comment-list><li class=comment><article class=comment-body>said</article></ol><article>a</article>": "a",
+    # attributes end where the tokeniser of HTML ends them
+    "<article><p data-x=it's>hello</p><p>don't go</p></article>": "hello\ndon't go",
+    '<p class="x>hello</p>': "hello",
+    "<p class='a b' id = c data-class=ad =y z='>'>hello <b title=a>b>b</b>": "hello b>b",
+    "<article><p>a<script src=it's>var x</script> b</p></article><p class=": "a b",
+    "a <b": "a",
+    # forms around the page
+    "<form id=f><nav>x</nav><div><article><p>a b</p></article></div><input></form><footer>f</footer>": "a b",
+    f"<body><form action=x><fieldset><label>name</label><p>{LONG}</p></fieldset></form><p>more</p>": "name\n" + LONG.strip() + "\nmore",
+    f"<p>{LONG}</p><form><label>mail</label><p>Write to us.</p></form>": LONG.strip(),
+    "<article><p>a</p><form><p>Send it to us, now and for ever.</p></form></article>": "a",
+    "<article><p>a</p><div class=search><p>what we searched for</p></div></article>": "a\nwhat we searched for",
 }
 
 
