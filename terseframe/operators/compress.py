@@ -255,7 +255,7 @@ def eval_compress_documents(
     dropped_sentences, kept_words, compressed. Requests may hold any number of documents:
     Spark trims every task to `top_k` rows per request before the shuffle.
     """
-    held = dedup.dedupe(units, threshold)
+    held = dedup.dedupe(units, threshold, keys=["req_id", "unit_idx"])
     score = lambda c: F.get(dedup.term_relevance(F.array(c), "terms"), F.lit(0))
     texts = F.array(
         F.struct(F.lit(False).alias("use_dedup"), F.col("text").alias("text"), F.lit(0).alias("dropped_sentences")),

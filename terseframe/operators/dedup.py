@@ -1,89 +1,164 @@
-"""Near-duplicate sentences inside one text.
-
-Similarity is defined between the sentences of one text only, so a text is the unit of
-work: its sentences travel in one row, and word postings limit the comparisons to
-sentences that share a word. Pairs are never emitted.
+"""Near-duplicate sentences inside one text, as joins over word rows.
+
+Sentences of one text with the same words count as one class, so copies never meet. Classes
+are unit TF-IDF vectors over their words, rarest word first. For a cosine of at least t, two
+vectors must share a word among those of each that come before its remaining words weigh
+less than t (prefix filter); only these postings are joined, by (text, word), and a pair
+goes on only if the shared weight and what is left of both can still reach t. Candidates are
+then verified on whole vectors. A long text thus spreads over all tasks.
+
+Dedup visits sentences by relevance and drops one that is too close to a kept one. On the
+pair rows this is a peel in rounds: a sentence with no open pair before it is kept, all
+that are close to a kept one are dropped, and the pairs of both go.
 """
 
-import heapq
-import itertools
-import math
-from collections import Counter
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.bind import let
-
-KEPT_TYPE = "array<int>"
-PAIR_TYPE = "array<struct<i:int,j:int,sim:double>>"
-
-
-class Postings:
-    """Word counts of the sentences seen so far, for cosines against a new one."""
-
-    def __init__(self) -> None:
-        self.lists: dict[str, list[tuple[int, int]]] = {}
-        self.square: dict[int, int] = {}
-
-    def add(self, i: int, bag: Counter) -> None:
-        self.square[i] = sum(c * c for c in bag.values())
-        for w, c in bag.items():
-            self.lists.setdefault(w, []).append((i, c))
-
-    def cosines(self, bag: Counter) -> dict[int, float]:
-        dots: dict[int, int] = {}
-        for w, c in bag.items():
-            for j, cj in self.lists.get(w, ()):
-                dots[j] = dots.get(j, 0) + c * cj
-        own = sum(c * c for c in bag.values())
-        return {j: d / math.sqrt(own * self.square[j]) for j, d in dots.items()}
-
-
-def first_kept(sentences: list[str], relevance: list[float], threshold: float) -> list[int]:
-    """Visit sentences by relevance, keep one unless it is too close to a kept one."""
-    seen, kept = Postings(), []
-    for i in sorted(range(len(sentences)), key=lambda i: (-relevance[i], i)):
-        bag = Counter(sentences[i].lower().split())
-        if max(seen.cosines(bag).values(), default=0.0) >= threshold:
-            continue
-        kept.append(i)
-        seen.add(i, bag)
-    return sorted(kept)
-
-
-def top_pairs(sentences: list[str], k: int) -> list[dict]:
-    """The `k` most similar pairs with a word in common (ties: larger i, then larger j first)."""
-    seen, best = Postings(), []
-    for j, s in enumerate(sentences):
-        bag = Counter(s.lower().split())
-        found = ((round(v, 6), i, j) for i, v in seen.cosines(bag).items())
-        best = heapq.nlargest(k, itertools.chain(best, found))
-        seen.add(j, bag)
-    return [{"i": i, "j": j, "sim": v} for v, i, j in best]
-
-
-def with_kept(df: DataFrame, threshold: float, sentences: str = "sents", relevance: str = "relevance") -> DataFrame:
-    """Add `kept`: indices of surviving sentences in reading order."""
-
-    @F.pandas_udf(KEPT_TYPE)
-    def kept(s: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, rel in s:
-            yield pd.Series([first_kept(list(t), list(r), threshold) for t, r in zip(texts, rel)])
-
-    return df.withColumn("kept", kept(F.col(sentences), F.col(relevance)))
-
-
-def with_top_pairs(df: DataFrame, k: int, sentences: str = "sents") -> DataFrame:
-    @F.pandas_udf(PAIR_TYPE)
-    def pairs(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in s:
-            yield pd.Series([top_pairs(list(t), k) for t in texts])
-
-    return df.withColumn("pairs", pairs(F.col(sentences)))
+from ..session import materialize
+from .lookup import lookup
+from .windows import top_rows
+
+SLACK = 1e-9  # bounds are kept this much too low, so that rounding loses no pair
+DIGITS = 9
+
+
+def matched(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on equal columns of which null equals null; one copy of them stays."""
+    right = right.withColumnsRenamed({k: f"_{k}" for k in on})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in on]
+    return left.join(right, reduce(Column.__and__, same), how).drop(*[f"_{k}" for k in on])
+
+
+def _runs(bag: Column) -> Column:
+    """(term, tf) of a sorted array of words."""
+    def cut(words: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        end = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(words))
+        return let(places, lambda at: F.transform(at, lambda a, k: F.struct(F.get(words, a).alias("term"), (end(at, k) - a).alias("tf"))))
+
+    return F.when(F.size(bag) > 0, let(bag, cut))
+
+
+def sentence_classes(df: DataFrame, keys: list[str], sentences: Column, relevance: Column | None = None) -> DataFrame:
+    """Sentences of a text by their words: keys.., idx (the first), copies (all, ascending), relevance, words (term, tf); written once."""
+    rel = F.get("_rel", F.col("idx")) if relevance is not None else F.lit(0.0)
+    held = df.select(*keys, sentences.alias("_sents"), (relevance if relevance is not None else F.lit(None)).alias("_rel"))
+    rows = held.select(*keys, "_rel", F.posexplode("_sents").alias("idx", "sentence"))
+    rows = rows.select(*keys, "idx", rel.alias("relevance"), F.array_sort(tx.split_words(F.lower("sentence"))).alias("bag"))
+    each = rows.groupBy(*keys, "bag").agg(F.min("idx").alias("idx"), F.array_sort(F.collect_list("idx")).alias("copies"), F.max("relevance").alias("relevance"))
+    return materialize(each.select(*keys, "idx", "copies", "relevance", _runs(F.col("bag")).alias("words")))
+
+
+def sentence_vectors(classes: DataFrame, keys: list[str]) -> DataFrame:
+    """Unit TF-IDF vectors as rows: keys.., idx, relevance, term, weight, before (square sum of the rarer words); written once.
+
+    The idf is smoothed, over all sentences of the table. A sentence of words that every sentence has is no vector.
+    """
+    n = classes.agg(F.sum(F.size("copies"))).first()[0] or 0
+    rows = classes.select(*keys, "idx", "relevance", F.size("copies").alias("_n"), F.explode("words").alias("_w"))
+    rows = rows.select(*keys, "idx", "relevance", "_n", "_w.term", "_w.tf")
+    freq = materialize(rows.groupBy("term").agg(F.sum("_n").alias("df")))
+    size, total = freq.agg(F.count("*"), F.sum("df")).first()
+    hot = freq.filter(F.col("df") * 100_000 >= (total or 0)).filter(F.length("term") <= 256)
+    held = lookup(rows, freq, "term", size, hot).withColumn("_x", F.col("tf") * F.log((F.lit(n) + 1.0) / (F.col("df") + 1)))
+    one = Window.partitionBy(*keys, "idx")
+    square = F.col("_x") * F.col("_x")
+    upto = one.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("_all", F.sum(square).over(one)).withColumn("_upto", F.sum(square).over(upto)).filter("_all > 0")
+    return materialize(held.select(
+        *keys, "idx", "relevance", "term", (F.col("_x") / F.sqrt("_all")).alias("weight"),
+        ((F.col("_upto") - square) / F.col("_all")).alias("before"),
+    ))
+
+
+def similar_classes(vectors: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Pairs of classes with a cosine of at least `threshold`: keys.., i, j (i < j), sim, rel_i, rel_j."""
+    left = lambda c: F.sqrt(F.greatest(F.lit(0.0), 1 - c))
+    posting = vectors.filter(left(F.col("before")) >= threshold - SLACK).select(
+        *keys, "term", "idx", "weight", left(F.col("before") + F.col("weight") * F.col("weight")).alias("rest"), "relevance"
+    )
+    side = lambda s: posting.withColumnsRenamed({"idx": s, "weight": f"w_{s}", "rest": f"rest_{s}", "relevance": f"rel_{s}"})
+    met = matched(side("i"), side("j"), [*keys, "term"], "inner").filter("i < j")
+    reach = F.col("w_i") * F.col("w_j") + F.col("rest_i") * F.col("rest_j")
+    found = met.filter(reach >= threshold - SLACK).select(*keys, "i", "j", "rel_i", "rel_j").distinct()
+    first = matched(found, vectors.select(*keys, F.col("idx").alias("i"), "term", F.col("weight").alias("w_i")), [*keys, "i"], "inner")
+    both = matched(first, vectors.select(*keys, F.col("idx").alias("j"), "term", F.col("weight").alias("w_j")), [*keys, "j", "term"], "inner")
+    sims = both.groupBy(*keys, "i", "j", "rel_i", "rel_j").agg(F.round(F.sum(F.col("w_i") * F.col("w_j")), DIGITS).alias("sim"))
+    return sims.filter(F.col("sim") >= threshold)
+
+
+def top_pairs(df: DataFrame, threshold: float, k: int, text: str = "text", keys: list[str] = ["doc_id"]) -> DataFrame:
+    """The `k` most similar sentence pairs of each text, of those at or above `threshold`: keys.., i, j, sim.
+
+    Ties go to the larger i, then the larger j. So of each class of equal sentences only the
+    last k + 1 can be in a pair, and no more are paired.
+    """
+    classes = sentence_classes(df, keys, tx.split_sentences(F.col(text)))
+    vectors = sentence_vectors(classes, keys)
+    pairs = similar_classes(vectors, keys, threshold).select(*keys, "i", "j", "sim")
+    some = classes.select(*keys, "idx", F.reverse(F.slice(F.reverse("copies"), 1, k + 1)).alias("last"))
+    pairs = matched(pairs, some.select(*keys, F.col("idx").alias("i"), F.col("last").alias("of_i")), [*keys, "i"], "inner")
+    pairs = matched(pairs, some.select(*keys, F.col("idx").alias("j"), F.col("last").alias("of_j")), [*keys, "j"], "inner")
+    whole = pairs.select(*keys, "sim", F.explode("of_i").alias("a"), "of_j").select(*keys, "sim", "a", F.explode("of_j").alias("b"))
+    whole = whole.select(*keys, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "sim")
+    alike = matched(some.filter(F.size("last") > 1), vectors.select(*keys, "idx").distinct(), [*keys, "idx"], "left_semi")
+    alike = alike.select(*keys, F.posexplode("last").alias("_at", "i"), "last").select(*keys, "i", F.explode(F.slice("last", F.col("_at") + 2, F.size("last"))).alias("j"))
+    every = whole.unionByName(alike.select(*keys, "i", "j", F.lit(1.0).alias("sim")))
+    every = every.withColumn("sim", F.round("sim", 6))
+    return top_rows(every, keys, [F.desc("sim"), F.desc("i"), F.desc("j")], k).drop("rank")
+
+
+def blocked(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes (keys.., n) outside the first independent set of pairs (keys.., a, b), a visited before b; written in rounds.
+
+    A round takes the nodes that no open node stands before, blocks all they point to, and
+    drops the pairs of both.
+    """
+    open_pairs, parts = materialize(pairs.select(*keys, "a", "b")), []
+    while not open_pairs.isEmpty():
+        later = open_pairs.select(*keys, F.col("b").alias("a")).distinct()
+        gone = materialize(matched(open_pairs, later, [*keys, "a"], "left_anti").select(*keys, F.col("b").alias("n")).distinct())
+        parts.append(gone)
+        left = matched(open_pairs, gone.withColumnRenamed("n", "a"), [*keys, "a"], "left_anti")
+        open_pairs = materialize(matched(left, gone.withColumnRenamed("n", "b"), [*keys, "b"], "left_anti"))
+    return reduce(DataFrame.unionByName, parts) if parts else open_pairs.select(*keys, F.col("b").alias("n"))
+
+
+def dropped_sentences(df: DataFrame, threshold: float, text: str = "text", terms: str = "terms", keys: list[str] = ["doc_id"]) -> DataFrame:
+    """Sentences that dedup drops: keys.., idx, sim and closest (the closest kept sentence visited before, the first of equals).
+
+    Sentences are visited by relevance, the highest first, ties in reading order. Of equal sentences the first
+    one stands for all: where it is kept the others are dropped by it.
+    """
+    sents = tx.split_sentences(F.col(text))
+    held = df.select(*keys, sents.alias("_s"), terms)
+    classes = sentence_classes(held, keys, F.col("_s"), term_relevance("_s", terms))
+    vectors = sentence_vectors(classes, keys)
+    found = similar_classes(vectors, keys, threshold)
+    found = materialize(found)
+    first = (F.col("rel_i") > F.col("rel_j")) | ((F.col("rel_i") == F.col("rel_j")) & (F.col("i") < F.col("j")))
+    gone = blocked(found.select(
+        *keys, F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("b")
+    ), keys)
+    # a copy is visited after its class, so kept sentences in between count for it too
+    ends = lambda a, b: F.struct(F.col(a).alias("closest"), F.col(f"rel_{a}").alias("rel"), F.col(b).alias("idx"))
+    met = found.select(*keys, "sim", F.explode(F.array(ends("i", "j"), ends("j", "i"))).alias("e")).select(*keys, "sim", "e.*")
+    met = matched(met, gone.withColumnRenamed("n", "closest"), [*keys, "closest"], "left_anti")
+    met = matched(met, gone.withColumnRenamed("n", "idx"), [*keys, "idx"], "left_semi")
+    met = matched(met, classes.select(*keys, "idx", "copies", F.col("relevance").alias("own")), [*keys, "idx"], "inner")
+    met = met.select(*keys, "closest", "sim", "rel", "own", F.explode("copies").alias("idx"))
+    met = met.filter((F.col("rel") > F.col("own")) | ((F.col("rel") == F.col("own")) & (F.col("closest") < F.col("idx"))))
+    best = F.max_by(F.struct("sim", "closest"), F.struct("sim", "rel", -F.col("closest")))
+    causes = met.groupBy(*keys, "idx").agg(best.alias("c")).select(*keys, "idx", "c.sim", "c.closest")
+    alike = matched(classes.filter(F.size("copies") > 1), gone.withColumnRenamed("n", "idx"), [*keys, "idx"], "left_anti")
+    alike = matched(alike, vectors.select(*keys, "idx").distinct(), [*keys, "idx"], "left_semi")
+    copies = alike.select(*keys, F.explode(F.slice("copies", 2, F.size("copies"))).alias("idx"), F.lit(1.0).alias("sim"), F.get("copies", F.lit(0)).alias("closest"))
+    return causes.unionByName(copies)
 
 
 def term_relevance(sentences: str | Column, terms: str) -> Column:
@@ -97,15 +172,16 @@ def term_relevance(sentences: str | Column, terms: str) -> Column:
     return F.transform(columns, lambda s: let(tx.split_words(F.lower(s)), one))
 
 
-def dedupe(df: DataFrame, threshold: float, text: str = "text", terms: str = "terms") -> DataFrame:
-    """Drop near-duplicate sentences: adds sents, kept, dropped (index, sentence), deduped."""
-    held = df.withColumn("sents", tx.split_sentences(F.col(text)))
-    held = held.withColumn("relevance", term_relevance("sents", terms))
-    held = with_kept(held, threshold)
-    gone = F.array_except(F.sequence(F.lit(0), F.size("sents") - 1), "kept")
-    gone = F.when(F.size("sents") > 0, gone).otherwise(F.array().cast("array<int>"))
-    dropped = F.transform(gone, lambda i: F.struct(i.alias("idx"), F.get("sents", i).alias("sentence")))
+def dedupe(df: DataFrame, threshold: float, text: str = "text", terms: str = "terms", keys: list[str] = ["doc_id"]) -> DataFrame:
+    """Drop near-duplicate sentences: adds sents, kept, dropped (idx, sentence, sim, closest), deduped. `keys` name a text."""
+    gone = dropped_sentences(df, threshold, text, terms, keys)
+    gone = gone.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "sim", "closest"))).alias("_gone"))
+    held = matched(df, gone, keys, "left").withColumn("sents", tx.split_sentences(F.col(text)))
+    held = held.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<struct<idx:int,sim:double,closest:int>>")))
+    every = F.when(F.size("sents") > 0, F.sequence(F.lit(0), F.size("sents") - 1)).otherwise(F.array().cast("array<int>"))
+    held = held.withColumn("kept", F.array_except(every, F.transform("_gone", lambda x: x["idx"])))
+    dropped = F.transform("_gone", lambda x: F.struct(x["idx"].alias("idx"), F.get("sents", x["idx"]).alias("sentence"), x["sim"].alias("sim"), x["closest"].alias("closest")))
     rebuilt = F.array_join(F.transform("kept", lambda i: F.get("sents", i)), " ")
-    return held.withColumn("dropped", dropped).withColumn(
+    return held.withColumn("dropped", dropped).drop("_gone").withColumn(
         "deduped", F.when(F.size("sents") <= 1, F.col(text)).otherwise(rebuilt)
     )

@@ -535,27 +535,30 @@ SENTENCE_SQL = r"""SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss
 BAG_SQL = r"SELECT doc_id, idx, w, count(*) AS c FROM (SELECT doc_id, idx, unnest(regexp_extract_all(lower(sentence), '\S+')) AS w FROM sent) GROUP BY ALL"
 PAIR_SQL = """SELECT a.doc_id, a.idx AS i, b.idx AS j, sum(a.c * b.c) / sqrt(any_value(x.sq) * any_value(y.sq)) AS sim FROM bag a JOIN bag b ON b.doc_id = a.doc_id AND b.w = a.w AND a.idx < b.idx
               JOIN sq x ON x.doc_id = a.doc_id AND x.idx = a.idx JOIN sq y ON y.doc_id = b.doc_id AND y.idx = b.idx GROUP BY ALL"""
-SQ_SQL = "SELECT doc_id, idx, sum(c * c) AS sq FROM bag GROUP BY ALL"
+SQ_SQL = "SELECT doc_id, idx, sum(c * c) AS sq FROM bag GROUP BY ALL HAVING sum(c * c) > 0"
+# unit vectors: word counts times the smoothed idf over all sentences
+IDF_SQL = "SELECT doc_id, idx, w, c * ln(((SELECT count(*) FROM sent) + 1.0) / (df + 1)) AS c FROM tf JOIN (SELECT w, count(*) AS df FROM tf GROUP BY w) USING (w)"
+VECTOR_CTES = dict(sent=SENTENCE_SQL, tf=BAG_SQL, bag=IDF_SQL, sq=SQ_SQL, pair=PAIR_SQL)
+PAIR_T = 0.5
 
 
 @query(
     "j7_similar_sentences",
     q.sql(
-        """SELECT doc_id, i, j, sim FROM (SELECT doc_id, i, j, round(sim, 6) AS sim, row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 6) DESC, i DESC, j DESC) AS rk FROM pair) WHERE rk <= 18""",
-        sent=SENTENCE_SQL, bag=BAG_SQL, sq=SQ_SQL, pair=PAIR_SQL,
+        f"""SELECT doc_id, i, j, sim FROM (SELECT doc_id, i, j, round(round(sim, 9), 6) AS sim, row_number() OVER (PARTITION BY doc_id ORDER BY round(round(sim, 9), 6) DESC, i DESC, j DESC) AS rk
+            FROM pair WHERE round(sim, 9) >= {PAIR_T}) WHERE rk <= 18""",
+        **VECTOR_CTES,
     ),
 )
 def j7(spark, sf):
-    rows = fx.docs(spark, sf).select("doc_id", tx.split_sentences(F.col("text")).alias("sents"))
-    pairs = dedup.with_top_pairs(rows, 18).select("doc_id", F.explode("pairs").alias("p"))
-    return pairs.select("doc_id", "p.*")
+    return dedup.top_pairs(fx.docs(spark, sf), PAIR_T, 18)
 
 
 @query(
     "l4_top_pairs",
     q.sql(
-        "SELECT doc_id, i, j, round(sim, 6) AS sim FROM pair ORDER BY round(sim, 6) DESC, doc_id, i DESC, j DESC LIMIT 18",
-        sent=SENTENCE_SQL, bag=BAG_SQL, sq=SQ_SQL, pair=PAIR_SQL,
+        f"SELECT doc_id, i, j, round(round(sim, 9), 6) AS sim FROM pair WHERE round(sim, 9) >= {PAIR_T} ORDER BY round(round(sim, 9), 6) DESC, doc_id, i DESC, j DESC LIMIT 18",
+        **VECTOR_CTES,
     ),
 )
 def l4(spark, sf):
@@ -563,10 +566,10 @@ def l4(spark, sf):
 
 
 DEDUP_CTES = dict(
-    sent=SENTENCE_SQL, bag=BAG_SQL, sq=SQ_SQL, pair=PAIR_SQL,
+    VECTOR_CTES,
     rel=r"""SELECT s.doc_id, s.idx, row_number() OVER (PARTITION BY s.doc_id ORDER BY round(len(list_filter(regexp_extract_all(lower(s.sentence), '\S+'), lambda w: list_contains(a.terms, w)))
               / sqrt(len(regexp_extract_all(lower(s.sentence), '\S+')) * greatest(len(a.terms), 1)), 9) DESC, s.idx) AS rk FROM sent s JOIN asked a USING (doc_id)""",
-    near=f"SELECT doc_id, i, list(j) AS js FROM (SELECT doc_id, i, j FROM pair WHERE sim >= {DEDUP_T} UNION ALL SELECT doc_id, j, i FROM pair WHERE sim >= {DEDUP_T}) GROUP BY ALL",
+    near=f"SELECT doc_id, i, list(j) AS js FROM (SELECT doc_id, i, j FROM pair WHERE round(sim, 9) >= {DEDUP_T} UNION ALL SELECT doc_id, j, i FROM pair WHERE round(sim, 9) >= {DEDUP_T}) GROUP BY ALL",
     step="SELECT r.doc_id, r.rk, r.idx, coalesce(n.js, []) AS js FROM rel r LEFT JOIN near n ON n.doc_id = r.doc_id AND n.i = r.idx",
     walk="""SELECT doc_id, 0::BIGINT AS rk, []::BIGINT[] AS kept FROM (SELECT DISTINCT doc_id FROM rel)
             UNION ALL SELECT w.doc_id, s.rk, CASE WHEN list_has_any(w.kept, s.js) THEN w.kept ELSE list_append(w.kept, s.idx) END FROM walk w JOIN step s ON s.doc_id = w.doc_id AND s.rk = w.rk + 1""",
@@ -596,8 +599,12 @@ def c13(spark, sf):
 @query(
     "a20_dropped_sentences",
     recursive(q.sql(
-        """SELECT s.doc_id, n.n, s.idx, s.sentence FROM sent s JOIN fin f USING (doc_id) JOIN (SELECT doc_id, count(*) AS n FROM sent GROUP BY 1) n USING (doc_id)
-           WHERE NOT list_contains(f.kept, s.idx)""",
+        """SELECT doc_id, n, idx, sentence, sim, closest FROM (
+             SELECT s.doc_id, n.n, s.idx, s.sentence, round(p.sim, 9) AS sim, k.idx AS closest, row_number() OVER (PARTITION BY s.doc_id, s.idx ORDER BY round(p.sim, 9) DESC, k.rk) AS first
+             FROM sent s JOIN fin f USING (doc_id) JOIN (SELECT doc_id, count(*) AS n FROM sent GROUP BY 1) n USING (doc_id) JOIN rel r ON r.doc_id = s.doc_id AND r.idx = s.idx
+             JOIN rel k ON k.doc_id = s.doc_id AND list_contains(f.kept, k.idx) AND k.rk < r.rk
+             JOIN pair p ON p.doc_id = s.doc_id AND p.i = least(s.idx, k.idx) AND p.j = greatest(s.idx, k.idx)
+             WHERE NOT list_contains(f.kept, s.idx)) WHERE first = 1""",
         "asked", **DEDUP_CTES,
     )),
 )

@@ -67,26 +67,55 @@ def test_blocked_windows_match_plain_loops(spark):
     assert total[("b", 5)] == 1 and prev[("b", 5)] is None
 
 
-def brute_dedupe(sents, rel, t):
+def brute_cosines(texts):
+    """Per text a table of cosines of unit TF-IDF vectors; None where a sentence is none."""
     from collections import Counter
-    from math import sqrt
+    from math import log, sqrt
 
-    bag = [Counter(s.lower().split()) for s in sents]
-    cos = lambda a, b: sum(a[w] * b[w] for w in a) / sqrt(sum(c * c for c in a.values()) * sum(c * c for c in b.values()))
-    kept = []
-    for i in sorted(range(len(sents)), key=lambda i: (-rel[i], i)):
-        if all(cos(bag[i], bag[j]) < t for j in kept):
-            kept.append(i)
-    return sorted(kept)
+    bags = [[Counter(s.lower().split()) for s in sents] for sents in texts]
+    df = Counter(w for sents in bags for b in sents for w in b)
+    n = sum(map(len, bags))
+    unit = [[{w: c * log((n + 1) / (df[w] + 1)) for w, c in b.items()} for b in sents] for sents in bags]
+    size = lambda v: sqrt(sum(x * x for x in v.values()))
+    dot = lambda a, b: sum(x * b.get(w, 0) for w, x in a.items())
+    return [[[dot(a, b) / size(a) / size(b) if size(a) and size(b) else None for b in sents] for a in sents] for sents in unit]
 
 
-def test_dedupe_equals_the_sequential_rule():
+def sentence_texts():
     import random
 
     rnd = random.Random(5)
-    sents = [" ".join(rnd.choice("abcdefg") for _ in range(6)) for _ in range(80)]
-    rel = [rnd.random() for _ in sents]
-    assert dedup.first_kept(sents, rel, 0.8) == brute_dedupe(sents, rel, 0.8)
+    texts = [[" ".join(rnd.choice("aabcdefgh") for _ in range(rnd.randrange(1, 8))) + "." for _ in range(rnd.choice([1, 3, 60]))] for _ in range(12)]
+    return texts + [["same words here."] * 40 + ["here words same."] * 3 + ["other one."]]
+
+
+def test_dedupe_equals_the_sequential_rule(spark):
+    texts = sentence_texts()
+    df = spark.createDataFrame([(i if i else None, " ".join(t), ["a.", "c", "here"]) for i, t in enumerate(texts)], "doc_id long, text string, terms array<string>")
+    got = {r.doc_id or 0: r for r in dedup.dedupe(df, 0.6).collect()}
+    for i, (sents, cos) in enumerate(zip(texts, brute_cosines(texts))):
+        rel = [sum(w in ("a.", "c", "here") for w in s.lower().split()) / (3 * len(s.split())) ** 0.5 for s in sents]
+        order = sorted(range(len(sents)), key=lambda x: (-round(rel[x], 9), x))
+        kept, why = [], {}
+        for x in order:
+            near = [(round(cos[x][y], 9), y) for y in kept if cos[x][y] is not None and round(cos[x][y], 9) >= 0.6]
+            if near:
+                why[x] = max(near, key=lambda c: (c[0], -order.index(c[1])))
+            else:
+                kept.append(x)
+        assert got[i].sents == sents and got[i].kept == sorted(kept)
+        assert {d.idx: (d.sim, d.closest) for d in got[i].dropped} == why and all(d.sentence == sents[d.idx] for d in got[i].dropped)
+
+
+def test_top_pairs_equal_brute_force(spark):
+    texts = sentence_texts()
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in dedup.top_pairs(df, 0.5, 7).collect())
+    want = []
+    for d, cos in enumerate(brute_cosines(texts)):
+        pairs = [(round(cos[i][j], 6), i, j) for j in range(len(cos)) for i in range(j) if cos[i][j] is not None and round(cos[i][j], 9) >= 0.5]
+        want += [(d, i, j, s) for s, i, j in sorted(pairs, reverse=True)[:7]]
+    assert got == sorted(want)
 
 
 def test_dedupe_leaves_short_texts(spark):
