@@ -3,8 +3,10 @@
 import re
 from bisect import bisect_left
 
+import ahocorasick
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,79 +14,99 @@ from ..functions import text as tx
 from ..functions.bind import let
 
 TILE = re.compile(r"\S+")
-SPAN_BUCKET = 512
 MODES = ("intersection", "union")
 
 
 # --- spans of externally labelled words --------------------------------------------
-def locate_words(text: str, words) -> list[dict]:
-    """Spans of externally given words in `text`.
+def word_places(text: str, words: set[str]) -> dict[str, list[int]]:
+    """All places of each word in `text`, ascending, by one pass of an automaton over the words."""
+    found: dict[str, list[int]] = {w: [] for w in words if w}
+    if found:
+        automaton = ahocorasick.Automaton()
+        for w in found:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for last, w in automaton.iter(text):
+            found[w].append(last + 1 - len(w))
+    return found
+
+
+def locate_words(text: str, words: list[str | None]) -> np.ndarray:
+    """Spans (start, end) of externally given words in `text`.
 
     Words that are the text's own, in order, get the spans of its tiling. Otherwise each
     word takes its first place at or after the end of the last span, or, past its last place, its
-    first one; a word without a place (or empty) gets a zero-width span there.
+    first one, which moves the cursor back; a word without a place (null and empty too) gets a zero-width span at the cursor.
+    So a span that is not empty reads the word itself.
     """
     tiles = [m.span() for m in TILE.finditer(text)]
     if len(tiles) == len(words) and all(text[a:b] == w for (a, b), w in zip(tiles, words)):
-        return [{"start": a, "end": b} for a, b in tiles]
-    places = {w: [m.start() for m in re.finditer(f"(?={re.escape(w)})", text)] for w in set(words) if w}
-    spans, free = [], 0
-    for w in words:
-        found = places.get(w)
-        a = found[bisect_left(found, free) % len(found)] if found else free
-        free = a + len(w or "") if found else free
-        spans.append({"start": a, "end": free})
+        return np.array(tiles, np.int32).reshape(-1, 2)
+    places = word_places(text, set(words))
+    spans, free = np.empty((len(words), 2), np.int32), 0
+    for i, w in enumerate(words):
+        at = places.get(w)
+        a = at[bisect_left(at, free) % len(at)] if at else free
+        free = a + len(w) if at else free
+        spans[i] = a, free
     return spans
 
 
-SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+def overlaps(spans: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Which spans overlap a kept one (half-open; a zero-width span counts inside one), by one sweep.
+
+    Of the kept spans that begin before a span ends, the furthest end decides.
+    """
+    kept = kept[kept[:, 1] > kept[:, 0]]
+    kept = kept[np.argsort(kept[:, 0], kind="stable")]
+    reach = np.concatenate(([-1], np.maximum.accumulate(kept[:, 1]))) if len(kept) else np.array([-1])
+    start, end = spans[:, 0], spans[:, 1]
+    before = np.where(end > start, np.searchsorted(kept[:, 0], end, "left"), np.searchsorted(kept[:, 0], start, "right"))
+    return reach[before] > start
 
 
-@F.pandas_udf(T.ArrayType(SPAN))
-def word_spans_udf(text: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([locate_words(t or "", w if w is not None else []) for t, w in zip(text, words)])
+SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+FOUND = T.StructType([T.StructField("spans", T.ArrayType(SPAN)), T.StructField("hits", T.ArrayType(T.BooleanType()))])
 
 
-def labelled_words(df: DataFrame, labels: str = "labels", text: str = "text", keep: list[str] = ["doc_id"]) -> DataFrame:
-    """Parsed labels with spans as rows: keep.., pos, word, keep_flag, start, end, piece.
+@F.pandas_udf(FOUND)
+def located_udf(text: pd.Series, words: pd.Series, kept: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t, w, k in zip(text, words, kept):
+        spans = locate_words(t or "", [] if w is None else list(w))
+        known = np.array([(x["start"], x["end"]) for x in (() if k is None else k)], np.int64).reshape(-1, 2)
+        rows.append(([{"start": a, "end": b} for a, b in spans.tolist()], overlaps(spans, known).tolist()))
+    return pd.DataFrame(rows, columns=["spans", "hits"])
 
-    `piece` is the exact substring where the span is valid, else the label word.
-    """
-    held = df.withColumn("_names", F.transform(labels, lambda x: x["word"]))
-    held = held.withColumn("_spans", word_spans_udf(F.col(text), F.col("_names")))
-    rows = held.select(*keep, text, F.posexplode(F.arrays_zip(F.col(labels).alias("l"), F.col("_spans").alias("s"))).alias("pos", "z"))
-    start, end = F.col("z.s.start"), F.col("z.s.end")
-    exact = F.substr(F.col(text), start + 1, end - start)
-    return rows.select(
-        *keep, "pos", F.col("z.l.word").alias("word"), F.col("z.l.keep").alias("keep_flag"),
-        start.alias("start"), end.alias("end"),
-        F.when(start < end, exact).otherwise(F.col("z.l.word")).alias("piece"),
-    )
+
+def located(df: DataFrame, labels: str = "labels", text: str = "text", kept: str | None = None) -> DataFrame:
+    """`df` with found.spans, one per label, and found.hits: which of them overlap a span of the column `kept`. Narrow."""
+    spans = F.col(kept) if kept else F.lit(None)
+    return df.withColumn("found", located_udf(F.col(text), F.transform(labels, lambda x: x["word"]), spans.cast(T.ArrayType(SPAN))))
 
 
 # --- interval overlap ----------------------------------------------------------------
-def overlapping_words(words: DataFrame, kept: DataFrame, keep: list[str] = ["doc_id"], bucket: int = SPAN_BUCKET) -> DataFrame:
+def overlapping_words(words: DataFrame, kept: DataFrame, keep: list[str] = ["doc_id"]) -> DataFrame:
     """Words overlapping any kept span of the same text (half-open); a zero-width word
     counts when it lies inside a span.
 
-    Both sides fan out to the buckets they touch and meet in an equi-join on
-    (text, bucket), so a long text with many spans is not compared pair by pair.
+    One sweep per text over both sides in one sort: words stand at their end, spans at their start, and
+    the furthest span end so far decides. Words and spans meet once and none is repeated.
     """
     s, e = F.col("start"), F.col("end")
-    last = F.greatest(e - 1, s)
-    left = words.withColumn("_b", F.explode(F.sequence(F.floor(s / bucket), F.floor(last / bucket))))
-    right = (
-        kept.filter(e > s)
-        .withColumn("_b", F.explode(F.sequence(F.floor(s / bucket), F.floor((e - 1) / bucket))))
-        .select(*keep, "_b", s.alias("ks"), e.alias("ke"))
+    carried = F.struct(*[c for c in words.columns if c not in keep])
+    wide = e > s
+    none = F.lit(None)
+    left = words.select(
+        *keep, carried.alias("_row"), F.when(wide, e).otherwise(s).alias("_at"), F.when(wide, 0).otherwise(2).alias("_turn"),
+        s.alias("_start"), none.cast("int").alias("_end"),
+    )
+    right = kept.filter(wide).select(
+        *keep, none.cast(left.schema["_row"].dataType).alias("_row"), s.alias("_at"), F.lit(1).alias("_turn"), none.cast("int").alias("_start"), e.alias("_end")
     )
-    meets = ((s < F.col("ke")) & (e > F.col("ks"))) | ((s == e) & (F.col("ks") <= s) & (s < F.col("ke")))
-    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keep, "_b"]]
-    cond = meets
-    for c in same:
-        cond = cond & c
-    hit = left.alias("l").join(right.alias("r"), cond, "left_semi")
-    return hit.drop("_b").distinct()
+    sweep = Window.partitionBy(*keep).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    met = left.unionByName(right).withColumn("_reach", F.max("_end").over(sweep))
+    return met.filter("_row is not null and _reach > _start").select(*keep, "_row.*")
 
 
 # --- masks -----------------------------------------------------------------------------
@@ -110,37 +132,27 @@ def merge_labels(df: DataFrame, kept: DataFrame, keep: list[str] = ["doc_id"]) -
     df: keep.., text, labels (array of word, keep), mode, guided_empty
     kept: keep.., start, end. A text without spans, or flagged empty, keeps its labels.
     Returns compressed, merged (array of word, keep), both masks, counts and the flag.
+
+    The spans of a text come to its row in one join; labels are located and swept over the spans there.
     """
-    rows = labelled_words(df, keep=keep)
-    span_texts = kept.select(*keep).distinct().withColumn("_has", F.lit(True))
-    hits = overlapping_words(rows.select(*keep, "pos", "start", "end"), kept, keep).select(
-        *keep, "pos", F.lit(True).alias("_hit")
-    )
-    head = df.select(*keep, "mode", "guided_empty").join(span_texts, keep, "left")
-    fallback = F.coalesce("guided_empty", F.lit(False)) | F.col("_has").isNull()
-    held = rows.join(hits, [*keep, "pos"], "left").join(head.withColumn("fallback", fallback), keep)
-    a = F.coalesce("_hit", F.lit(False)) & ~F.col("fallback")
-    lab = F.col("keep_flag") == 1
-    held = held.withColumn("_a", a).withColumn(
-        "_m", F.when(F.col("fallback"), lab).otherwise(combine(F.col("mode"), a, lab))
-    )
-    item = F.struct("pos", "piece", "word", "_m", F.col("keep_flag").alias("l"), "_a")
-    grouped = held.groupBy(*keep).agg(F.array_sort(F.collect_list(item)).alias("w"))
-    flag = lambda c: c.cast("int")
-    out = grouped.select(
-        *keep,
-        F.array_join(F.transform(F.filter("w", lambda x: x["_m"]), lambda x: x["piece"]), " ").alias("compressed"),
-        F.transform("w", lambda x: F.struct(x["word"].alias("word"), flag(x["_m"]).alias("keep"))).alias("merged"),
-        F.transform("w", lambda x: x["l"]).alias("mask_label"),
-        F.transform("w", lambda x: flag(x["_a"])).alias("mask_guided"),
-        F.size("w").alias("n_words"),
-        F.size(F.filter("w", lambda x: x["_m"])).alias("n_kept"),
-    )
-    # texts without any label still get a row
-    base = head.select(*keep, "mode", fallback.alias("fallback"))
-    return base.join(out, keep, "left").withColumns(
-        {"compressed": F.coalesce("compressed", F.lit("")), "n_words": F.coalesce("n_words", F.lit(0)),
-         "n_kept": F.coalesce("n_kept", F.lit(0))}
+    spans = kept.groupBy(*keep).agg(F.collect_list(F.struct(F.col("start").cast("int"), F.col("end").cast("int"))).alias("_kept"))
+    held = located(df.join(spans, keep, "left"), kept="_kept")
+    fallback = F.coalesce("guided_empty", F.lit(False)) | F.col("_kept").isNull()
+    held = held.withColumn("fallback", fallback).withColumn("labels", F.coalesce("labels", F.array().cast(df.schema["labels"].dataType)))
+
+    def both(x: Column, i: Column) -> Column:
+        lab, a = F.coalesce(x["keep"] == 1, F.lit(False)), F.get("found.hits", i) & ~F.col("fallback")
+        m = F.when(F.col("fallback"), lab).otherwise(combine(F.col("mode"), a, lab))
+        return F.struct(x["word"].alias("word"), x["keep"].alias("l"), a.alias("a"), m.alias("m"))
+
+    held = held.withColumn("_w", F.transform("labels", both))
+    return held.select(
+        *keep, "mode", "fallback",
+        F.array_join(F.transform(F.filter("_w", lambda x: x["m"]), lambda x: x["word"]), " ").alias("compressed"),
+        F.transform("_w", lambda x: F.struct(x["word"].alias("word"), x["m"].cast("int").alias("keep"))).alias("merged"),
+        F.transform("_w", lambda x: x["l"]).alias("mask_label"),
+        F.transform("_w", lambda x: x["a"].cast("int")).alias("mask_guided"),
+        F.size("_w").alias("n_words"), F.size(F.filter("_w", lambda x: x["m"])).alias("n_kept"),
     )
 
 

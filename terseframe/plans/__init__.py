@@ -15,8 +15,8 @@ as_bigint({
     "j6_position_to_sentence": ["idx_sum", "idx_mix"],
     "u6_spans_of_all_chunks": ["kept_chars"],
     "c11_target_budget": ["pos_sum"],
-    "c1_word_positions": ["chars", "lo", "hi"],
-    "c4_merge_labels": ["guided"],
+    "c1_word_positions": ["n", "chars", "lo", "hi", "mix"],
+    "c4_merge_labels": ["guided", "n_words", "n_kept"],
     "c12_two_stage": ["documents_origin", "context_origin", "context_kept"],
     "c18_arm_grid": ["origin_words", "kept_words"],
     "a1_bag_overlap": ["same"],

@@ -349,45 +349,96 @@ def l6(spark, sf):
     return kept.select("doc_id", F.array_join(shown, ",").alias("spans")).filter("spans <> ''")
 
 
-# label words as an external classifier returns them: from the documents' own words, so spans are forward
-LABEL_SQL = "SELECT doc_id, pos, word, s, e, CASE WHEN pos % 3 = 1 THEN 0 ELSE 1 END AS lab FROM words"
+# label words as an external classifier returns them: most are the text's own; some are missing from it, empty,
+# cut short, or the text's first word again, which is found behind the cursor
+LABEL_WORD = r"CASE WHEN i % 13 = 7 THEN '' WHEN i % 17 = 5 THEN ws[1] WHEN i % 19 = 11 THEN w || 'zq' WHEN i % 23 = 9 THEN left(w, 2) ELSE w END"
+LABELS_SQL = rf"""SELECT doc_id, text, list_transform(list_zip(ws, range(len(ws))), lambda x: {{'w': {LABEL_WORD.replace("i %", "x[2] %").replace("w ||", "x[1] ||").replace("left(w", "left(x[1]").replace("ELSE w", "ELSE x[1]")},
+    'keep': CASE WHEN x[2] % 3 = 1 THEN 0 ELSE 1 END}}) AS labels FROM (SELECT doc_id, text, regexp_extract_all(text, '\S+') AS ws FROM documents)"""
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def fold_sql(table: str, fields: dict[str, tuple[str, str]], carry: str, hit: str = "false", m: str = "false") -> str:
+    """A fold over the labels of `table` with a moving cursor; fields: name -> (start value, next value).
+
+    In a next value c is the state so far, x the label, z.a and z.e the span found for it, h.hit whether it overlaps
+    one of `kept`, h.m the merged decision.
+    """
+    first = ", ".join([f"'{n}': {v}" for n, (v, _) in fields.items()])
+    after = ", ".join([f"'{n}': {v}" for n, (_, v) in fields.items()])
+    ahead = "CASE WHEN x.w = '' THEN 0 ELSE instr(substr(text, c.free + 1), x.w) END"
+    place = "CASE WHEN x.w = '' THEN -1 WHEN p > 0 THEN c.free + p - 1 ELSE instr(text, x.w) - 1 END"
+    span = "{'a': CASE WHEN q < 0 THEN c.free ELSE q END, 'e': CASE WHEN q < 0 THEN c.free ELSE q + length(x.w) END}"
+    step = let_sql(f"{{'hit': {hit}}}", "g", let_sql(f"{{'hit': g.hit, 'm': {m}}}", "h", f"{{'w': '', 'keep': 0, 'free': z.e::BIGINT, {after}}}"))
+    step = let_sql(ahead, "p", let_sql(place, "q", let_sql(span, "z", step)))
+    start = f"{{'w': '', 'keep': 0, 'free': 0::BIGINT, {first}}}"
+    return (
+        f"SELECT {carry}, unnest(list_reduce(list_prepend({start}, list_transform(labels, lambda x: "
+        f"{start.replace(chr(39) * 2 + ',', 'x.w,', 1).replace(': 0,', ': x.keep,', 1)})), lambda c, x: {step})) FROM {table}"
+    )
+
+
+HIT_SQL = "NOT fallback AND len(list_filter(kept, lambda k: (z.a < k.e AND z.e > k.s) OR (z.a = z.e AND k.s <= z.a AND z.a < k.e))) > 0"
+MERGED_SQL = "CASE WHEN fallback THEN x.keep = 1 WHEN mode = 'union' THEN x.keep = 1 OR g.hit ELSE x.keep = 1 AND g.hit END"
 
 
 def labelled(spark, sf):
-    words = tx.split_words(F.col("text"))
-    labels = F.transform(words, lambda w, i: F.struct(w.alias("word"), F.when(i % 3 == 1, 0).otherwise(1).alias("keep")))
-    return fx.docs(spark, sf).withColumn("labels", labels)
+    def label(w, i):
+        word = (
+            F.when(i % 13 == 7, "").when(i % 17 == 5, F.get("ws", F.lit(0))).when(i % 19 == 11, F.concat(w, F.lit("zq")))
+            .when(i % 23 == 9, F.substring(w, 1, 2)).otherwise(w)
+        )
+        return F.struct(word.alias("word"), F.when(i % 3 == 1, 0).otherwise(1).alias("keep"))
+
+    rows = fx.docs(spark, sf).withColumn("ws", tx.split_words(F.col("text")))
+    return rows.withColumn("labels", F.transform("ws", label)).drop("ws")
 
 
 @query(
     "c1_word_positions",
-    q.sql("SELECT doc_id, count(*) AS n, sum(e - s) AS chars, min(s) AS lo, max(e) AS hi FROM words GROUP BY 1", "words"),
+    q.sql(
+        "SELECT doc_id, n, chars, lo, hi, mix FROM spans WHERE n > 0", labels=LABELS_SQL,
+        spans=fold_sql("labels", {
+            "n": ("0::BIGINT", "c.n + 1"), "chars": ("0::BIGINT", "c.chars + z.e - z.a"), "lo": ("1000000000::BIGINT", "least(c.lo, z.a)"),
+            "hi": ("0::BIGINT", "greatest(c.hi, z.e)"), "mix": ("0::BIGINT", "(c.mix * 31 + 7 * z.a + z.e) % 1000000007"),
+        }, "doc_id"),
+    ),
 )
 def c1(spark, sf):
-    rows = mg.labelled_words(labelled(spark, sf))
-    return rows.groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"), F.min("start").alias("lo"), F.max("end").alias("hi")
+    rows = mg.located(labelled(spark, sf)).select("doc_id", F.col("found.spans").alias("s")).filter(F.size("s") > 0)
+    fold = lambda first, step: F.aggregate("s", F.lit(first).cast("bigint"), step)
+    return rows.select(
+        "doc_id", F.size("s").cast("bigint").alias("n"), fold(0, lambda c, x: c + x["end"] - x["start"]).alias("chars"),
+        fold(10**9, lambda c, x: F.least(c, x["start"])).alias("lo"), fold(0, lambda c, x: F.greatest(c, x["end"])).alias("hi"),
+        fold(0, lambda c, x: (c * 31 + 7 * x["start"] + x["end"]) % 1000000007).alias("mix"),
     )
 
 
-@query("c3_splice_words", q.sql("SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS spliced FROM words WHERE pos % 3 <> 1 GROUP BY 1", "words"))
+@query("c3_splice_words", q.sql("SELECT doc_id, array_to_string(list_transform(list_filter(labels, lambda x: x.keep = 1), lambda x: x.w), ' ') AS spliced FROM labels WHERE len(labels) > 0", labels=LABELS_SQL))
 def c3(spark, sf):
-    rows = mg.labelled_words(labelled(spark, sf)).filter("keep_flag = 1")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "piece")))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), " ").alias("spliced"))
+    """The exact substring of every kept label that has one, else the label word."""
+    rows = mg.located(labelled(spark, sf)).filter(F.size("labels") > 0)
+    spans = F.filter(F.arrays_zip(F.col("labels").alias("l"), F.col("found.spans").alias("s")), lambda z: z["l"]["keep"] == 1)
+    exact = lambda z: F.when(z["s"]["start"] < z["s"]["end"], F.substr("text", z["s"]["start"] + 1, z["s"]["end"] - z["s"]["start"]))
+    return rows.select("doc_id", F.array_join(F.transform(spans, lambda z: F.coalesce(exact(z), z["l"]["word"])), " ").alias("spliced"))
 
 
 @query(
     "c4_merge_labels",
     q.sql(
-        """SELECT d.doc_id, d.mode, d.fallback, count(w.pos) AS n_words, count(*) FILTER (m) AS n_kept,
-             coalesce(string_agg(word, ' ' ORDER BY w.pos) FILTER (m), '') AS compressed, coalesce(sum(hit), 0) AS guided
-           FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'union' ELSE 'intersection' END AS mode, n_spans = 0 OR doc_id % 10 = 3 AS fallback FROM gdoc) d LEFT JOIN (
-             SELECT l.*, CASE WHEN g.pos IS NOT NULL AND NOT b.fb THEN 1 ELSE 0 END AS hit,
-               CASE WHEN b.fb THEN lab = 1 WHEN l.doc_id % 2 = 0 THEN lab = 1 OR g.pos IS NOT NULL ELSE lab = 1 AND g.pos IS NOT NULL END AS m
-             FROM lab l JOIN (SELECT doc_id, n_spans = 0 OR doc_id % 10 = 3 AS fb FROM gdoc) b USING (doc_id)
-             LEFT JOIN gword g ON g.doc_id = l.doc_id AND g.pos = l.pos) w USING (doc_id) GROUP BY ALL""",
-        "gdoc", "words", "gword", lab=LABEL_SQL,
+        "SELECT doc_id, mode, fallback, n_words, n_kept, compressed, guided FROM folded",
+        "gdoc", "gkept", labels=LABELS_SQL,
+        asked_labels="""SELECT l.doc_id, l.text, l.labels, CASE WHEN l.doc_id % 2 = 0 THEN 'union' ELSE 'intersection' END AS mode,
+            n_spans = 0 OR l.doc_id % 10 = 3 AS fallback, coalesce(k.kept, []) AS kept FROM labels l JOIN gdoc USING (doc_id)
+            LEFT JOIN (SELECT doc_id, list({'s': s, 'e': e}) AS kept FROM gkept GROUP BY 1) k USING (doc_id)""",
+        folded=fold_sql("asked_labels", {
+            "n_words": ("0::BIGINT", "c.n_words + 1"),
+            "n_kept": ("0::BIGINT", "c.n_kept + CASE WHEN h.m THEN 1 ELSE 0 END"),
+            "guided": ("0::BIGINT", "c.guided + CASE WHEN h.hit THEN 1 ELSE 0 END"),
+            "compressed": ("''", "CASE WHEN NOT h.m THEN c.compressed WHEN c.n_kept = 0 THEN x.w ELSE c.compressed || ' ' || x.w END"),
+        }, "doc_id, mode, fallback", HIT_SQL, MERGED_SQL),
     ),
 )
 def c4(spark, sf):
@@ -395,7 +446,7 @@ def c4(spark, sf):
     rows = rows.withColumn("guided_empty", F.col("doc_id") % 10 == 3)
     kept = sel.guided_spans(fx.asked(spark, sf), 300, 12).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end")
     out = mg.merge_labels(rows, kept)
-    guided = F.coalesce(F.aggregate("mask_guided", F.lit(0), lambda a, x: a + x), F.lit(0))
+    guided = F.aggregate("mask_guided", F.lit(0), lambda a, x: a + x)
     return out.select("doc_id", "mode", "fallback", "n_words", "n_kept", "compressed", guided.alias("guided"))
 
 

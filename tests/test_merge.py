@@ -18,12 +18,29 @@ def merged(spark, text, labels, spans, mode="intersection", empty=False):
 
 def test_duplicate_words_get_successive_spans():
     spans = mg.locate_words(CAT, [w for w, _ in CAT_LABELS])
-    assert [(s["start"], s["end"]) for s in spans] == [(0, 3), (4, 7), (8, 11), (12, 15), (16, 19)]
+    assert [tuple(s) for s in spans.tolist()] == [(0, 3), (4, 7), (8, 11), (12, 15), (16, 19)]
 
 
 def test_missed_word_moves_the_cursor_back():
-    spans = mg.locate_words("ab cd ab", ["cd", "ab", "cd", "zz", ""])
-    assert [(s["start"], s["end"]) for s in spans] == [(3, 5), (6, 8), (3, 5), (5, 5), (5, 5)]
+    spans = mg.locate_words("ab cd ab", ["cd", "ab", "cd", "zz", "", None])
+    assert [tuple(s) for s in spans.tolist()] == [(3, 5), (6, 8), (3, 5), (5, 5), (5, 5), (5, 5)]
+
+
+def test_places_equal_a_search_from_the_cursor():
+    import random
+
+    rnd = random.Random(9)
+    for _ in range(200):
+        text = "".join(rnd.choice("aab ") for _ in range(rnd.randrange(40)))
+        words = ["".join(rnd.choice("aab") for _ in range(rnd.randrange(4))) for _ in range(rnd.randrange(12))]
+        free, want = 0, []
+        for w in words:
+            at = text.find(w, free) if w else -1
+            at = text.find(w) if w and at < 0 else at
+            start = at if at >= 0 else free
+            free = at + len(w) if at >= 0 else free
+            want.append([start, free])
+        assert mg.locate_words(text, words).tolist() == want
 
 
 def test_overlap_mask(spark):
@@ -62,7 +79,7 @@ def test_masks_are_nested(spark):
         assert i["keep"] <= l <= u["keep"] and i["keep"] <= g <= u["keep"]
 
 
-def test_bucketed_overlap_equals_brute_force(spark):
+def test_swept_overlap_equals_brute_force(spark):
     import random
 
     rnd = random.Random(3)
@@ -73,6 +90,9 @@ def test_bucketed_overlap_equals_brute_force(spark):
     got = sorted(r["pos"] for r in mg.overlapping_words(w, k).collect())
     hit = lambda s, e: any((s < b and e > a) or (s == e and a <= s < b) for _, a, b in kept)
     assert got == [i for _, i, s, e in words if hit(s, e)]
+    inside = mg.overlaps(mg.np.array([(s, e) for _, _, s, e in words]), mg.np.array([(a, b) for _, a, b in kept]))
+    assert [i for i, h in enumerate(inside.tolist()) if h] == got
+    assert not mg.overlaps(mg.np.array([(0, 3)]), mg.np.empty((0, 2), int)).any()
 
 
 def test_splice_spans_sorts_and_falls_back(spark):
