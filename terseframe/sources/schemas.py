@@ -25,4 +25,6 @@ MESSAGE = (
     "words:array<struct<word:string,punctuated_word:string,confidence:double,speaker:int,"
     "start:double,end:double>>>>>"
 )
-EVENT = "take string, seq bigint, type string, text string, start_ms bigint, end_ms bigint, speaker int"
+WORDS = "array<struct<word:string,start_ms:bigint,end_ms:bigint>>"
+EVENT = f"take string, seq bigint, type string, text string, start_ms bigint, end_ms bigint, speaker int, interim string, words {WORDS}"
+MESSAGE_LINE = "take string, seq bigint, last boolean, at timestamp, value string"

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import compress as cp
@@ -48,22 +48,36 @@ def lifecycle(rows: DataFrame, results: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(results, on, "left").withColumn("state", state)
 
 
-def lifecycle_stream(events: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
-    """Streaming form as one aggregation: per row id the result seen so far.
+def attach_results(rows: DataFrame, results: DataFrame, on: list[str], delay: str = "1 hour", within: str = "5 minutes") -> DataFrame:
+    """Streaming form, as a left outer join of two streams in append mode: on.., arrived, answered, error, state, latency_ms.
 
-    Late events beyond the watermark are dropped; this is a rule of the stream, batch has none.
+    rows: on.., arrived   results: on.., answered, error. A result counts if it comes within `within` of its row; a row is
+    sent once its result is there, or as still compressing once the watermarks of both streams have passed
+    that time, and its state is freed. Rows and results more than `delay` behind their stream are dropped.
     """
-    held = events.withWatermark("ts", delay)
-    agg = held.groupBy(*keys).agg(
-        F.max(F.when(F.col("kind") == "result", F.col("ts"))).alias("result_ts"),
-        F.max("error").alias("error"),
-    )
-    state = F.when(F.col("error").isNotNull(), "error").when(F.col("result_ts").isNotNull(), "ready").otherwise("compressing")
-    return agg.select(*keys, state.alias("state"))
+    late = results.withColumnsRenamed({k: f"_{k}" for k in on}).withWatermark("answered", delay)
+    cond = F.expr(f"answered >= arrived AND answered <= arrived + INTERVAL {within}")
+    for k in on:
+        cond = cond & (F.col(k) == F.col(f"_{k}"))
+    held = rows.withWatermark("arrived", delay).join(late, cond, "leftOuter").drop(*[f"_{k}" for k in on])
+    state = F.when(F.col("error").isNotNull(), "error").when(F.col("answered").isNotNull(), "ready").otherwise("compressing")
+    return held.withColumn("state", state).withColumn("latency_ms", F.unix_millis("answered") - F.unix_millis("arrived"))
+
+
+def route_events(events: DataFrame, sinks: dict[str, str]) -> None:
+    """Drain a stream of tagged events (column type) into one folder per tag; a batch that runs again overwrites its own files."""
+
+    def each(batch: DataFrame, n: int) -> None:
+        batch.persist()  # the stateful step runs once for all sinks
+        for kind, sink in sinks.items():
+            batch.filter(F.col("type") == kind).write.mode("overwrite").parquet(f"{sink}/batch={n}")
+        batch.unpersist()
+
+    run_batches(events, scratch_path(events.sparkSession, "routes"), each)
 
 
 def totals_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Running totals per session (complete mode), projection included."""
+    """Running totals per session, projection included; for update mode, in which only changed sessions are sent."""
     saved = F.sum(F.col("origin_tokens") - F.col("compressed_tokens"))
     agg = rows.groupBy(*keys).agg(
         F.sum("origin_tokens").alias("origin"), F.sum("compressed_tokens").alias("compressed"),
@@ -77,21 +91,23 @@ def totals_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
     ).drop("first", "last")
 
 
-def last_batch(spark: SparkSession, sink: str) -> DataFrame:
-    """The newest complete-mode output written as sink/batch=N."""
-    rows = spark.read.parquet(sink)
-    newest = rows.agg(F.max("batch").alias("b")).scalar()
-    return rows.filter(F.col("batch") == newest).drop("batch")
-
+def upsert_to(stream: DataFrame, keys: list[str], sink: str) -> DataFrame:
+    """Drain an update-mode aggregation: each batch writes only the keys it changed, as version `batch`; returns the newest of each key.
 
-def complete_to(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    sink = scratch_path(spark, name)
+    A batch that runs again overwrites its own version, so a replay changes nothing.
+    """
 
     def each(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={n}")
 
-    run_batches(stream, sink, each, "complete")
-    return last_batch(spark, sink)
+    run_batches(stream, sink, each, "update")
+    return newest(stream.sparkSession.read.parquet(sink), keys)
+
+
+def newest(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the highest `batch` of each key."""
+    rest = [c for c in versions.columns if c not in (*keys, "batch")]
+    return versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
 def sessions(events: DataFrame, keys: list[str], gap: str = "300 seconds") -> DataFrame:
