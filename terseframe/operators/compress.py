@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts, text as tx
 from . import dedup, merge, selection
-from .scores import Vocabulary, counted_words, join_scores
+from .scores import Vocabulary, counted_words, join_scores, question_contrast
 from .segment import by_key, plain_words, sentence_windows
 from .windows import running_sum
 
@@ -171,43 +171,66 @@ def two_stage(
 
     units: req_id, unit_idx, doc_id, text, qid, score. Only survivors reach the word stage,
     and a request collects at most `top_k` of them. A request without survivors gets ' '.
-    context_origin counts the words of the survivors, documents_origin those of all units.
+    context_origin counts the words of the survivors, documents_origin those of all units, prompt_origin and
+    prompt_words those of the whole prompt before and after; kept_units and kept_scores stand in the order of relevance.
     """
     chosen = selection.select_and_reorder(units, top_k, floor)
-    fine = compress(chosen, vocab, rate, ["req_id", "rank"])
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "compressed")))
+    fine = compress(chosen, vocab, rate, ["req_id", "rank", "unit_idx", "score"])
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "unit_idx", "score", "compressed")))
+    part = lambda name: F.transform(ordered, lambda x: x[name])
     kept = fine.groupBy("req_id").agg(
         F.count("*").alias("kept_documents"), F.sum("kept_words").alias("context_kept"),
         F.sum(F.col("origin_words").cast("bigint")).alias("context_origin"),
-        F.array_join(F.transform(ordered, lambda x: x["compressed"]), "\n\n").alias("context"),
+        F.array_join(part("compressed"), "\n\n").alias("context"), part("unit_idx").alias("kept_units"), part("score").alias("kept_scores"),
     )
     whole = units.groupBy("req_id").agg(
         F.first("qid").alias("qid"), F.count("*").alias("total_documents"),
         F.sum(tx.word_count(F.col("text")).cast("bigint")).alias("documents_origin"),
     )
     rows = whole.join(kept, "req_id", "left").join(questions, "qid", "left")
-    context = F.coalesce("context", F.lit(" "))
+    context, question = F.coalesce("context", F.lit(" ")), F.coalesce("question", F.lit(""))
+    prompt_origin = F.col("documents_origin") + tx.word_count(F.lit(instruction)) + tx.word_count(question)
+    rows = rows.withColumn("prompt", prompts.assemble(F.lit(instruction), context, question))
     return rows.select(
         "req_id", F.coalesce("kept_documents", F.lit(0)).alias("kept_documents"), "total_documents", "documents_origin",
         F.coalesce("context_origin", F.lit(0)).alias("context_origin"), F.coalesce("context_kept", F.lit(0)).alias("context_kept"),
-        prompts.assemble(F.lit(instruction), context, F.coalesce("question", F.lit(""))).alias("prompt"),
+        prompt_origin.cast("bigint").alias("prompt_origin"), tx.word_count(F.col("prompt")).cast("bigint").alias("prompt_words"),
+        "kept_units", "kept_scores", "prompt",
     )
 
 
-def question_conditioned(units: DataFrame, vocab: Vocabulary, rate: float, extra: int = 100) -> DataFrame:
+def question_conditioned(units: DataFrame, questions: DataFrame, corpus: DataFrame, vocab: Vocabulary, rate: float, extra: int = 100) -> DataFrame:
     """Long-context form: documents by relevance until the word budget is used up, each
     with a keep-rate that falls with its rank. The formulas follow the published method.
 
     The budget is `rate` of the request's words plus `extra`; the document that crosses it
-    is still taken.
+    is still taken. Words stay by how much likelier the question makes them (`scores.question_contrast`), the rarer
+    first of equals. Ranks are found over ids; texts come back for the documents inside the budget only. A trailing question is
+    cut from the compressed text. contrast is the mean over the words of a document.
+
+    units: doc_id, req_id, unit_idx, text, qid, score   questions: qid, terms, question
     """
-    ranked = selection.rank_units(units).withColumn("n_words", tx.word_count(F.col("text")))
+    light = units.select("doc_id", "req_id", "unit_idx", "score", tx.word_count(F.col("text")).alias("n_words"))
+    ranked = selection.rank_units(light)
     upto = running_sum(ranked, ["req_id"], "rank", F.col("n_words"), "upto")
     size = ranked.groupBy("req_id").agg(F.count("*").alias("n"), F.sum("n_words").alias("total"))
     inside = upto.join(size, "req_id").filter(F.col("upto") - F.col("n_words") <= rate * F.col("total") + extra)
     doc_rate = F.round(selection.dynamic_rate(F.col("rank") - 1, F.col("n"), rate), 9)
-    rows = inside.select("doc_id", "req_id", "rank", "text", doc_rate.alias("doc_rate"))
-    return compress(rows, vocab, F.col("doc_rate"), ["doc_id", "req_id", "rank", "doc_rate"])
+    inside = inside.select("req_id", "unit_idx", "rank", doc_rate.alias("doc_rate"))
+    rows = units.join(inside, ["req_id", "unit_idx"]).select("doc_id", "req_id", "rank", "text", "doc_rate", "qid")
+    keep = ["doc_id", "req_id", "rank", "doc_rate", "qid"]
+    words = question_contrast(counted_words(rows, vocab, keep=keep), questions, corpus, vocab)
+    words = words.withColumn("contrast", F.col("score")).withColumn("score", F.struct("contrast", -F.col("count")))
+    marked = mark_words(words, keep, F.col("doc_rate"), first=HIGH_FIRST)
+    held = marked.groupBy(*keep).agg(
+        F.array_sort(F.collect_list(F.when(F.col("stays"), F.struct("pos", "word")))).alias("_k"), F.round(F.avg("contrast"), 6).alias("contrast")
+    )
+    text = F.array_join(F.transform("_k", lambda x: x["word"]), " ")
+    asked = held.join(questions.select("qid", "question"), "qid", "left")
+    return asked.select(
+        "doc_id", "req_id", "rank", F.size("_k").alias("kept_words"), "contrast",
+        tx.ends_with_question(text, F.coalesce("question", F.lit(""))).alias("compressed"),
+    )
 
 
 def eval_compress(

@@ -81,6 +81,37 @@ def hit_attention(hits: Column) -> Column:
     return F.transform(hits, lambda h, i: F.when(h, 10.0).otherwise(1.0 / (i + 2)))
 
 
+# --- words given a question ----------------------------------------------------
+def question_successors(corpus: DataFrame, questions: DataFrame, text: str = "text") -> DataFrame:
+    """qid, term, follows: how often a lower-cased word comes right after a term of the question in the corpus.
+
+    Pairs whose first word no question names drop out before anything is shuffled; the rest is added up per task.
+    """
+    wanted = questions.select("qid", F.explode("terms").alias("form"))
+    words = F.split(F.lower(text), f"{tx.U}{tx.WS}+")
+    pair = lambda ws: F.transform(ws, lambda w, i: F.struct(F.btrim(w, F.lit(tx.TERM_EDGE)).alias("form"), F.get(ws, i + 1).alias("term")))
+    held = corpus.select(F.explode(let(F.filter(words, lambda w: w != ""), pair)).alias("p")).select("p.*").filter("term is not null")
+    named = held.join(wanted.select("form").distinct(), "form", "left_semi").groupBy("form", "term").agg(F.count("*").alias("n"))
+    return named.join(wanted, "form").groupBy("qid", "term").agg(F.sum("n").alias("follows"))
+
+
+def question_contrast(words: DataFrame, questions: DataFrame, corpus: DataFrame, vocab: Vocabulary, text: str = "text") -> DataFrame:
+    """Add `score` to counted words (.., qid, word, count): log2 of how much likelier the question makes the word.
+
+    Without the question a word has its corpus share p. With it, its share among the successors of the question's terms, the
+    terms themselves counted as one successor each, smoothed by one word drawn by p.
+    questions: qid, terms. A word without a question scores 0.
+    """
+    follows = question_successors(corpus, questions, text)
+    own = questions.select("qid", F.explode("terms").alias("term")).withColumn("follows", F.lit(1).cast("bigint"))
+    given = materialize(follows.unionByName(own).groupBy("qid", "term").agg(F.sum("follows").alias("follows")))
+    sums = given.groupBy("qid").agg(F.sum("follows").alias("_all"))
+    held = words.withColumn("term", F.lower("word")).join(given, ["qid", "term"], "left").join(sums, "qid", "left")
+    share = F.col("count") / F.lit(float(max(1, vocab.total)))
+    score = F.log2((F.coalesce("follows", F.lit(0)) / share + 1) / (F.coalesce("_all", F.lit(0)) + 1))
+    return held.withColumn("score", F.round(score, 6)).drop("term", "follows", "_all")
+
+
 # --- documents against a question ---------------------------------------------
 def document_frequency(df: DataFrame, wanted: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Number of texts holding each wanted term (term, df).
@@ -172,3 +203,26 @@ def model_scores(
         make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=shape
     )
     return df.withColumn("score", udf(F.col(column)))
+
+
+def pair_scores(df: DataFrame, query: str, passage: str, make_predict: Callable, batch_size: int = 64) -> DataFrame:
+    """Score (query, passage) pairs with a user's reranker: predict(queries, passages) -> one number each, normalised as the model likes.
+
+    Loaded once per Python worker and fed batches of two string arrays. Null texts are handed over as empty.
+    """
+    udf = predict_batch_udf(make_predict, return_type=T.DoubleType(), batch_size=batch_size)
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return df.withColumn("score", udf(empty(query), empty(passage)))
+
+
+def embed(df: DataFrame, text: str, make_predict: Callable, batch_size: int = 64, out: str = "embedding", once: bool = False) -> DataFrame:
+    """Vectors of texts from a user's embedder: predict(texts) -> a row of floats each. Null texts are handed over as empty.
+
+    With `once` each different text is embedded once and joined back, for short texts that repeat, such as questions.
+    """
+    udf = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    held = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    if not once:
+        return held.withColumn(out, udf("_text")).drop("_text")
+    known = held.select("_text").distinct().withColumn(out, udf("_text"))
+    return held.join(known, "_text").drop("_text")

@@ -89,6 +89,50 @@ def x6(spark, sf):
     return sc.model_scores(rows, "v", mean_model, 256, 64).select("vec_id", F.round("score", 6).alias("score"))
 
 
+def shared_words():
+    """Stand-in for a user's reranker: more shared words, a higher score in (0, 1)."""
+    import numpy as np
+
+    def predict(queries, passages):
+        shared = [len(set(a.lower().split()) & set(b.lower().split())) for a, b in zip(queries.ravel(), passages.ravel())]
+        return 1 / (1 + np.exp(-np.array(shared, float)))
+
+    return predict
+
+
+def word_lengths():
+    """Stand-in for a user's embedder: how many words have 1 to 7 letters, and more."""
+    import numpy as np
+
+    def predict(texts):
+        rows = [np.bincount([min(len(w), 8) - 1 for w in t.split()], minlength=8) for t in texts.ravel()]
+        return np.array(rows, np.float32).reshape(-1, 8)
+
+    return predict
+
+
+@query(
+    "f2_pair_scorer",
+    q.sql(
+        r"""SELECT doc_id, round(1 / (1 + exp(-len(list_intersect(list_distinct(regexp_extract_all(lower(question), '\S+')), list_distinct(regexp_extract_all(lower(text), '\S+')))))), 6) AS score FROM asked""",
+        "asked",
+    ),
+)
+def f2_pairs(spark, sf):
+    rows = sc.pair_scores(fx.asked(spark, sf), "question", "text", shared_words)
+    return rows.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "f2_embedder",
+    r"""SELECT doc_id, array_to_string(list_transform(range(1, 9), lambda k: len(list_filter(ws, lambda w: least(length(w), 8) = k))), ',') AS vector
+        FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents)""",
+)
+def f2_vectors(spark, sf):
+    rows = sc.embed(fx.docs(spark, sf), "text", word_lengths, 256)
+    return rows.select("doc_id", join_ints(F.transform("embedding", lambda x: x.cast("int"))).alias("vector"))
+
+
 # --- tokens and sentences of a chunk ---------------------------------------------------------
 @query(
     "j6_position_to_sentence",
@@ -532,49 +576,57 @@ def u3(spark, sf):
 
 # --- whole jobs over requests ---------------------------------------------------------------------------
 TASK = "Answer from the passages."
+QUESTION_SQL = "SELECT qid, 'Where is ' || array_to_string(terms, ' ') || '?' AS question FROM questions"
 
 
 @query(
     "c12_two_stage",
     q.sql(
-        f"""SELECT r.req_id, coalesce(k.kept_documents, 0) AS kept_documents, r.total_documents, r.o AS documents_origin, coalesce(k.o, 0) AS context_origin, coalesce(k.c, 0) AS context_kept,
+        f"""SELECT req_id, kept_documents, total_documents, documents_origin, context_origin, context_kept, documents_origin + {q.wc(f"'{TASK}'")} + {q.wc("question")} AS prompt_origin,
+             {q.wc("prompt")} AS prompt_words, kept_units, kept_scores, prompt FROM (
+           SELECT r.req_id, coalesce(k.kept_documents, 0) AS kept_documents, r.total_documents, r.o AS documents_origin, coalesce(k.o, 0) AS context_origin, coalesce(k.c, 0) AS context_kept,
+             coalesce(k.units, '') AS kept_units, coalesce(k.scores, '') AS kept_scores, coalesce(q.question, '') AS question,
              concat_ws(chr(10)||chr(10), '{TASK}', nullif(trim(coalesce(k.t, ' '), {BLANKS}), ''), nullif(q.question, '')) AS prompt
            FROM (SELECT req_id, any_value(qid) AS qid, count(*) AS total_documents, sum(len) AS o FROM ranked JOIN dlen USING (doc_id) GROUP BY 1) r
-           LEFT JOIN (SELECT req_id, count(*) AS kept_documents, sum(len) AS o, sum(kept_words) AS c, string_agg(compressed, chr(10)||chr(10) ORDER BY rank) AS t
+           LEFT JOIN (SELECT req_id, count(*) AS kept_documents, sum(len) AS o, sum(kept_words) AS c, string_agg(compressed, chr(10)||chr(10) ORDER BY rank) AS t,
+             string_agg(unit_idx::VARCHAR, ',' ORDER BY rank) AS units, string_agg(round(score * 1000000)::BIGINT::VARCHAR, ',' ORDER BY rank) AS scores
              FROM ranked JOIN rate_text USING (doc_id) JOIN dlen USING (doc_id) WHERE rank <= 4 GROUP BY 1) k USING (req_id)
-           LEFT JOIN (SELECT qid, 'Where is ' || array_to_string(terms[1:3], ' ') || '?' AS question FROM questions) q ON q.qid = r.qid""",
+           LEFT JOIN ({QUESTION_SQL}) q ON q.qid = r.qid)""",
         "ranked", "dlen", "rate_text", "questions",
     ),
 )
 def c12(spark, sf):
     units = fx.ranked_requests(spark, sf)
-    asked = fx.questions(spark, sf).select(
-        "qid", F.concat(F.lit("Where is "), F.array_join(F.slice("terms", 1, 3), " "), F.lit("?")).alias("question")
-    )
-    return cp.two_stage(units, asked, sc.vocabulary(fx.docs(spark, sf)), TASK, 0.5, 4)
+    out = cp.two_stage(units, fx.shown_questions(spark, sf), sc.vocabulary(fx.docs(spark, sf)), TASK, 0.5, 4)
+    millionths = F.transform("kept_scores", lambda x: F.round(x * 1_000_000).cast("bigint"))
+    return out.withColumn("kept_units", F.coalesce(join_ints(F.col("kept_units")), F.lit(""))).withColumn("kept_scores", F.coalesce(join_ints(millionths), F.lit("")))
 
 
 @query(
     "c17_question_conditioned",
     q.sql(
-        """SELECT r.doc_id, r.req_id, r.rank, count(k.pos) AS kept_words, coalesce(string_agg(k.word, ' ' ORDER BY k.pos), '') AS compressed
-           FROM bud r LEFT JOIN kept k ON k.doc_id = r.doc_id GROUP BY r.doc_id, r.req_id, r.rank""",
-        "ranked", "dlen", "plain", "counts",
+        f"""SELECT r.doc_id, r.req_id, r.rank, count(k.pos) AS kept_words, any_value(m.contrast) AS contrast, coalesce(string_agg(k.word, ' ' ORDER BY k.pos), '') AS compressed
+           FROM bud r JOIN (SELECT doc_id, round(avg(score), 6) AS contrast FROM rk GROUP BY 1) m ON m.doc_id = r.doc_id LEFT JOIN kept k ON k.doc_id = r.doc_id GROUP BY r.doc_id, r.req_id, r.rank""",
+        "ranked", "dlen", "plain", "counts", "qterm",
         bud="""SELECT *, round(greatest(least((1 - 2 * (rank - 1) / n) * 0.3 + 0.5, 1), 0), 9) AS rate FROM (
                  SELECT r.*, sum(l.len) OVER (PARTITION BY req_id ORDER BY rank) - l.len AS before, sum(l.len) OVER (PARTITION BY req_id) AS total
                  FROM ranked r JOIN dlen l USING (doc_id)) WHERE before <= 0.5 * total + 100""",
-        rk="""SELECT p.doc_id, p.pos, p.word, row_number() OVER (PARTITION BY p.doc_id ORDER BY c.c, p.pos) AS r, count(*) OVER (PARTITION BY p.doc_id) AS n
-              FROM plain p JOIN counts c ON c.term = lower(p.word)""",
+        given=f"""SELECT qid, term, sum(n) AS follows FROM (SELECT q.qid, lower(p.next) AS term, count(*) AS n FROM (
+                    SELECT {q.term("word")} AS form, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM plain) p JOIN qterm q ON q.term = p.form WHERE next IS NOT NULL GROUP BY ALL
+                  UNION ALL SELECT qid, term, 1 FROM qterm) GROUP BY ALL""",
+        rk="""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, c, pos) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM (
+              SELECT p.doc_id, p.pos, p.word, c.c, round(log2((coalesce(g.follows, 0) / (c.c / (SELECT sum(c) FROM counts)) + 1) / (coalesce(s.a, 0) + 1)), 6) AS score
+              FROM bud b JOIN plain p USING (doc_id) JOIN counts c ON c.term = lower(p.word) LEFT JOIN given g ON g.qid = b.qid AND g.term = lower(p.word)
+              LEFT JOIN (SELECT qid, sum(follows) AS a FROM given GROUP BY 1) s ON s.qid = b.qid)""",
         kept="""SELECT doc_id, pos, word FROM (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM (
                   SELECT p.* FROM bud b JOIN rk p USING (doc_id) WHERE p.r <= ceil(b.rate * p.n) OR regexp_matches(p.word, '[0-9]') OR p.word IN ('.', '!', '?', ',')))
                 WHERE NOT (word IN ('.', '!', '?', ',') AND prev IS NOT DISTINCT FROM word)""",
     ),
 )
 def c17(spark, sf):
-    units = fx.ranked_requests(spark, sf)
-    return cp.question_conditioned(units, sc.vocabulary(fx.docs(spark, sf)), 0.5).select(
-        "doc_id", "req_id", "rank", "kept_words", "compressed"
-    )
+    asked = fx.questions(spark, sf).join(fx.shown_questions(spark, sf), "qid")
+    docs = fx.docs(spark, sf)
+    return cp.question_conditioned(fx.ranked_requests(spark, sf), asked, docs, sc.vocabulary(docs), 0.5)
 
 
 # --- dedup -------------------------------------------------------------------------------------------------

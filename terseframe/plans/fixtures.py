@@ -9,7 +9,7 @@ from ..operators import scores
 from ..operators.windows import running_sum
 from ..sources.files import spread
 
-MIN_TERM = 4
+MIN_TERM = 1
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,10 +24,10 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return texts(spark, sf).select("doc_id", "text")
 
 
-def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """One question per benchmark item: qid and its distinct words of at least MIN_TERM letters."""
+def questions(spark: SparkSession, sf: str, min_term: int = MIN_TERM) -> DataFrame:
+    """One question per benchmark item: qid and its distinct words of at least `min_term` letters."""
     forms = F.transform(tx.split_words(F.col("text")), tx.term_form)
-    terms = F.array_sort(F.array_distinct(F.filter(forms, lambda t: F.length(t) >= MIN_TERM)))
+    terms = F.array_sort(F.array_distinct(F.filter(forms, lambda t: F.length(t) >= min_term)))
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), terms.alias("terms"))
 
 
@@ -38,7 +38,12 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
     rows = docs(spark, sf).withColumn("qid", F.col("doc_id") % n).join(qs, "qid", "left")
     rows = rows.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
     lead = F.when(F.col("doc_id") % 7 == 0, "Is it ").otherwise("Where is ")
-    return rows.withColumn("question", F.concat(lead, F.array_join(F.slice("terms", 1, 3), " "), F.lit("?")))
+    return rows.withColumn("question", F.concat(lead, F.array_join("terms", " "), F.lit("?")))
+
+
+def shown_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """qid and question, as text."""
+    return questions(spark, sf).select("qid", F.concat(F.lit("Where is "), F.array_join("terms", " "), F.lit("?")).alias("question"))
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:

@@ -53,12 +53,12 @@ CTES: dict[str, tuple[list[str], str]] = {
     "questions": (
         [],
         "SELECT item_id AS qid, list_sort(list_distinct(list_filter(list_transform("
-        r"regexp_extract_all(text, '\S+'), lambda w: " + term("w") + "), lambda t: length(t) >= 4))) AS terms FROM benchmark",
+        r"regexp_extract_all(text, '\S+'), lambda w: " + term("w") + "), lambda t: length(t) >= 1))) AS terms FROM benchmark",
     ),
     "asked": (
         ["questions"],
         "SELECT d.doc_id, d.text, d.doc_id % (SELECT count(*) FROM benchmark) AS qid, coalesce(q.terms, []) AS terms, "
-        "CASE WHEN d.doc_id % 7 = 0 THEN 'Is it ' ELSE 'Where is ' END || array_to_string(coalesce(q.terms, [])[1:3], ' ') || '?' AS question "
+        "CASE WHEN d.doc_id % 7 = 0 THEN 'Is it ' ELSE 'Where is ' END || array_to_string(coalesce(q.terms, []), ' ') || '?' AS question "
         "FROM documents d LEFT JOIN questions q ON q.qid = d.doc_id % (SELECT count(*) FROM benchmark)",
     ),
     # keep-rate decision at 0.5 on documents
