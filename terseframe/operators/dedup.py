@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.bind import let
 from ..session import materialize
-from .lookup import lookup
+from .lookup import ROW_BYTES, lookup
 from .windows import top_rows
 
 SLACK = 1e-9  # bounds are kept this much too low, so that rounding loses no pair
@@ -63,9 +63,9 @@ def sentence_vectors(classes: DataFrame, keys: list[str]) -> DataFrame:
     rows = classes.select(*keys, "idx", "relevance", F.size("copies").alias("_n"), F.explode("words").alias("_w"))
     rows = rows.select(*keys, "idx", "relevance", "_n", "_w.term", "_w.tf")
     freq = materialize(rows.groupBy("term").agg(F.sum("_n").alias("df")))
-    size, total = freq.agg(F.count("*"), F.sum("df")).first()
+    size, total = freq.agg(F.sum(F.octet_length("term") + ROW_BYTES), F.sum("df")).first()
     hot = freq.filter(F.col("df") * 100_000 >= (total or 0)).filter(F.length("term") <= 256)
-    held = lookup(rows, freq, "term", size, hot).withColumn("_x", F.col("tf") * F.log((F.lit(n) + 1.0) / (F.col("df") + 1)))
+    held = lookup(rows, freq, "term", size or 0, hot).withColumn("_x", F.col("tf") * F.log((F.lit(n) + 1.0) / (F.col("df") + 1)))
     one = Window.partitionBy(*keys, "idx")
     square = F.col("_x") * F.col("_x")
     upto = one.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)

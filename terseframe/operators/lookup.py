@@ -3,18 +3,31 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 2_000_000
+SMALL_BYTES = 64 << 20  # a table up to this measured size is broadcast
+ROW_BYTES = 48  # of a row beside its strings
 SMALL_CHARS = 256
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, table_rows: int, hot: DataFrame | None = None) -> DataFrame:
-    """Inner join of many `rows` to a keyed table of `table_rows` measured rows.
+def measured_bytes(table: DataFrame) -> int:
+    """Bytes of a written table's strings and rows, from one pass over it."""
+    strings = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) for f in table.schema if f.dataType.simpleString() == "string"]
+    others = [F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)) for f in table.schema if f.dataType.simpleString() not in ("string", "bigint", "int", "double")]
+    each = F.lit(ROW_BYTES).cast("bigint")
+    for part in strings + others:
+        each = each + part
+    return table.agg(F.sum(each)).first()[0] or 0
 
-    Up to SMALL_ROWS rows the table is broadcast. Beyond that, `hot` names the keys that
+
+def lookup(
+    rows: DataFrame, table: DataFrame, key: str, table_bytes: int, hot: DataFrame | None = None, limit: int = SMALL_BYTES
+) -> DataFrame:
+    """Inner join of many `rows` to a keyed table of `table_bytes` measured bytes.
+
+    Up to `limit` bytes the table is broadcast. Beyond that, `hot` names the keys that
     are frequent in `rows`: a set whose size is bounded by construction. Those rows
     join against the broadcast hot set; the rest shuffles, and no key left in it is frequent.
     """
-    if table_rows <= SMALL_ROWS:
+    if table_bytes <= limit:
         return rows.join(F.broadcast(table), key)
     if hot is None:
         return rows.join(table, key)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..functions.bind import let
 from ..session import materialize
-from .lookup import SMALL_CHARS, lookup
+from .lookup import ROW_BYTES, SMALL_BYTES, SMALL_CHARS, lookup, measured_bytes
 from .segment import by_key, plain_words
 
 HOT_SHARE = 100_000  # a term is hot from 1/HOT_SHARE of all words on, so at most that many are
@@ -27,8 +27,9 @@ class Vocabulary:
     """Corpus word counts, written once and shared by every plan that scores words."""
 
     table: DataFrame  # term, count
-    rows: int
+    bytes: int  # measured
     total: int
+    limit: int = SMALL_BYTES  # up to which joins broadcast it
 
     @property
     def hot(self) -> DataFrame:
@@ -47,8 +48,8 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def vocabulary(df: DataFrame, text: str = "text") -> Vocabulary:
     counts = materialize(word_counts(df, text))
-    size = counts.agg(F.count("*"), F.sum("count")).first()
-    return Vocabulary(counts, size[0], size[1] or 0)
+    size, total = counts.agg(F.sum(F.octet_length("term") + ROW_BYTES), F.sum("count")).first()
+    return Vocabulary(counts, size or 0, total or 0)
 
 
 def counted_words(
@@ -56,7 +57,7 @@ def counted_words(
 ) -> DataFrame:
     """Words with their corpus count: keep.., pos, word, count. `placed`: df is partitioned by keep."""
     rows = plain_words(df if placed else by_key(df, keep, text), text, keep).withColumn("term", F.lower("word"))
-    return lookup(rows, vocab.table, "term", vocab.rows, vocab.hot).select(*keep, "pos", "word", "count")
+    return lookup(rows, vocab.table, "term", vocab.bytes, vocab.hot, vocab.limit).select(*keep, "pos", "word", "count")
 
 
 def self_information(counts: DataFrame, total: int) -> DataFrame:
@@ -142,6 +143,9 @@ def bm25(
         .select("qid", "term", idf.alias("idf"))
         .groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("query"))
     )
+    # texts do not move by question: the list of questions comes to them while its measured size allows
+    weighted = materialize(weighted)
+    weighted = F.broadcast(weighted) if measured_bytes(weighted) <= SMALL_BYTES else weighted
     held = docs.join(weighted, "qid", "left").withColumn(
         "query", F.coalesce("query", F.array().cast("array<struct<term:string,idf:double>>"))
     )

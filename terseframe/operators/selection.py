@@ -214,8 +214,14 @@ def order_units(req: str, unit: str) -> list[Column]:
 
 
 def rank_units(df: DataFrame, req: str = "req_id", unit: str = "unit_idx", bounded: bool = False) -> DataFrame:
-    """Relevance rank of every unit of a request; ties keep the input order."""
-    return rank_rows(df, [req], order_units(req, unit), bounded=bounded)
+    """Relevance rank of every unit of a request; ties keep the input order.
+
+    Ranks are found over requests, units (unique in their request) and scores alone and joined back, so texts are not written for them.
+    """
+    if bounded:
+        return rank_rows(df, [req], order_units(req, unit), bounded=True)
+    light = rank_rows(df.select(req, unit, "score"), [req], order_units(req, unit))
+    return df.join(light.select(req, unit, "rank"), [req, unit])
 
 
 def select_and_reorder(

@@ -1,12 +1,14 @@
 """Rotated scalar quantization of embedding tables, with size and distortion reports."""
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_NORM = 1e-10
@@ -143,6 +145,123 @@ def mixed_round_trip(
     return held.withColumn("restored", F.array(*[place[d] for d in range(dim)])).drop("_r", "_o", "_rr", "_oo")
 
 
+# --- packed codes with a stored state -----------------------------------------------------------
+@dataclass(frozen=True)
+class QuantizerState:
+    """What a table's codes were made with: kept once, so that codes appended later can be read beside the first.
+
+    rotations and centroids hold two entries, for the regular and for the outlier channels.
+    """
+
+    dim: int
+    bits: tuple[int, int]
+    outliers: tuple[int, ...]
+    rotations: tuple[np.ndarray, np.ndarray]
+    centroids: tuple[np.ndarray, np.ndarray]
+
+    @staticmethod
+    def of_first(batch: DataFrame, dim: int, bits: int, outlier_bits: int, n_outliers: int, vector: str = "embedding") -> "QuantizerState":
+        """The outlier channels are those of largest RMS in the first batch, and stay."""
+        n = n_outliers if outlier_bits > bits else 0
+        found = sorted(r["dim"] for r in outlier_channels(channel_rms(batch, vector), n).collect())  # at most dim numbers
+        sizes = (dim - len(found), len(found))
+        return QuantizerState(
+            dim, (bits, outlier_bits), tuple(found), tuple(rotation(d, seed) if d else np.empty((0, 0)) for d, seed in zip(sizes, (42, 43))),
+            tuple(codebook(b, d)[0] if d else np.empty(0) for b, d in zip((bits, outlier_bits), sizes)),
+        )
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        plain = {
+            "dim": self.dim, "bits": self.bits, "outliers": self.outliers, "rotations": [m.tolist() for m in self.rotations],
+            "centroids": [c.tolist() for c in self.centroids],
+        }
+        spark.createDataFrame([(json.dumps(plain),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "QuantizerState":
+        x = json.loads(spark.read.text(path).first()[0])
+        n = len(x["outliers"])
+        square = lambda m, d: np.array(m, np.float64).reshape(d, d)
+        return QuantizerState(
+            x["dim"], tuple(x["bits"]), tuple(x["outliers"]), (square(x["rotations"][0], x["dim"] - n), square(x["rotations"][1], n)),
+            tuple(np.array(c, np.float64) for c in x["centroids"]),
+        )
+
+    @property
+    def parts(self) -> list[tuple[list[int], int, np.ndarray, np.ndarray]]:
+        """(channels, bits, rotation, centroids) of the regular and, where there are any, of the outlier channels."""
+        regular = [i for i in range(self.dim) if i not in set(self.outliers)]
+        every = zip((regular, list(self.outliers)), self.bits, self.rotations, self.centroids)
+        return [p for p in every if p[0]]
+
+
+def pack(vector: Column, state: QuantizerState) -> Column:
+    """STRUCT<codes, norms>: the level numbers of both kinds of channels in a string of bits, and a 32-bit norm for each kind."""
+
+    @F.pandas_udf("codes binary, norms array<float>")
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            x = np.stack(s.to_numpy()).astype(np.float64) if len(s) else np.empty((0, state.dim))
+            bits, norms = [], []
+            for channels, width, turn, centroids in state.parts:
+                v = x[:, channels]
+                n = np.maximum(np.linalg.norm(v, axis=1), MIN_NORM)
+                code = np.searchsorted((centroids[:-1] + centroids[1:]) / 2, (v / n[:, None]) @ turn.T, side="left")
+                bits.append((code[:, :, None] >> np.arange(width)[::-1] & 1).reshape(len(x), -1).astype(np.uint8))
+                norms.append(n)
+            rows = np.packbits(np.concatenate(bits, axis=1), axis=1)
+            yield pd.DataFrame({"codes": [r.tobytes() for r in rows], "norms": list(np.stack(norms, axis=1).astype(np.float32))})
+
+    return apply(vector)
+
+
+def unpack(codes: Column, state: QuantizerState) -> Column:
+    """STRUCT<regular, outlier>: the level numbers of a packed vector."""
+
+    @F.pandas_udf("regular array<smallint>, outlier array<smallint>")
+    def apply(s: pd.Series) -> pd.DataFrame:
+        rows = np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) if len(s) else np.empty((0, 0), np.uint8)
+        bits, at, out = np.unpackbits(rows, axis=1), 0, []
+        for channels, width, _, _ in state.parts:
+            part = bits[:, at : at + width * len(channels)].reshape(len(s), len(channels), width)
+            out.append((part @ (1 << np.arange(width)[::-1])).astype(np.int16))
+            at += width * len(channels)
+        out += [np.empty((len(s), 0), np.int16)] * (2 - len(out))
+        return pd.DataFrame({"regular": list(out[0]), "outlier": list(out[1])})
+
+    return apply(codes)
+
+
+def unpacked_vector(packed: Column, state: QuantizerState) -> Column:
+    """The vector that a packed one stands for, from its codes and norms."""
+
+    @F.pandas_udf("array<double>")
+    def apply(regular: pd.Series, outlier: pd.Series, norms: pd.Series) -> pd.Series:
+        out = np.empty((len(norms), state.dim))
+        scale = np.stack(norms.tolist()).astype(np.float64) if len(norms) else np.empty((0, 2))
+        for k, (part, (channels, _, turn, centroids)) in enumerate(zip((regular, outlier), state.parts)):
+            code = np.stack(part.tolist()).astype(np.int64) if len(part) else np.empty((0, len(channels)), np.int64)
+            out[:, channels] = (centroids[code] @ turn) * scale[:, k : k + 1]
+        return pd.Series(list(out))
+
+    codes = unpack(packed["codes"], state)
+    return apply(codes["regular"], codes["outlier"], packed["norms"])
+
+
+def append_packed(
+    batch: DataFrame, number: int, sink: str, dim: int, bits: int, outlier_bits: int, n_outliers: int, vector: str = "embedding"
+) -> None:
+    """One micro-batch of newly arrived vectors: coded with the state beside the sink, which the first batch makes.
+
+    Earlier codes are left alone; a batch that runs again overwrites its own.
+    """
+    spark, path = batch.sparkSession, f"{sink}-state"
+    if number == 0:
+        QuantizerState.of_first(batch, dim, bits, outlier_bits, n_outliers, vector).save(spark, path)
+    state = QuantizerState.load(spark, path)
+    batch.withColumn("packed", pack(F.col(vector), state)).drop(vector).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+
 # --- sizes ----------------------------------------------------------------------------------------
 def coded_bits(size: Column, bits: int, outliers: int = 0, outlier_bits: int = 0) -> Column:
     mixed = outliers > 0 and outlier_bits > bits

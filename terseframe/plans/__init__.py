@@ -12,6 +12,7 @@ as_bigint({
     "w10_growing_partials": ["at_ms"],
     "t10_label_arrays": ["kept"],
     "x1_counted_words": ["total"],
+    "x1_counted_words_split": ["total"],
     "j6_position_to_sentence": ["idx_sum", "idx_mix"],
     "u6_spans_of_all_chunks": ["kept_chars"],
     "c11_target_budget": ["pos_sum"],

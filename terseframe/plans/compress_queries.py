@@ -1,5 +1,7 @@
 """Scores, selection, merging and the composite compression jobs."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import spans, text as tx
@@ -30,6 +32,14 @@ def x1_counted(spark, sf):
     return rows.groupBy("doc_id").agg(F.sum("count").alias("total"), F.min("count").alias("rarest"), F.max("count").alias("commonest"))
 
 
+@query("x1_counted_words_split", q.sql("SELECT p.doc_id, sum(c.c) AS total, min(c.c) AS rarest, max(c.c) AS commonest FROM plain p JOIN counts c ON c.term = lower(p.word) GROUP BY 1", "plain", "counts"))
+def x1_split(spark, sf):
+    """With a vocabulary too large to broadcast: frequent words meet a broadcast set, the rest shuffles."""
+    vocab = replace(sc.vocabulary(fx.docs(spark, sf)), limit=0)
+    rows = sc.counted_words(fx.docs(spark, sf), vocab)
+    return rows.groupBy("doc_id").agg(F.sum("count").alias("total"), F.min("count").alias("rarest"), F.max("count").alias("commonest"))
+
+
 @query("x2_bm25", q.sql("SELECT req_id, unit_idx, doc_id, score FROM scored", "scored"))
 def x2(spark, sf):
     return fx.ranked_requests(spark, sf).select("req_id", "unit_idx", "doc_id", "score")

@@ -157,22 +157,42 @@ def q6(spark, sf):
     return vq.distortion(rows, ["label"])
 
 
-@query("q7_append_codes", f"SELECT vec_id, array_to_string(code, ',') AS code FROM ({CODED_SQL})")
+def sub_codes_sql(source: str, dim: int, bits: int, seed: int) -> str:
+    _, edges = vq.codebook(bits, dim)
+    rot = "[" + ", ".join(numbers(r) for r in vq.rotation(dim, seed)) + "]"
+    unit = f"SELECT *, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-10) AS norm FROM ({source})"
+    turned = f"SELECT *, list_transform({rot}, lambda r: list_sum(list_transform(r, lambda w, i: w * (v[i] / norm)))) AS y FROM ({unit})"
+    return f"SELECT vec_id, norm, list_transform(y, lambda z: len(list_filter({numbers(edges)}, lambda b: b < z))) AS code FROM ({turned})"
+
+
+# the mask is that of the first wave
+APPEND_SQL = f"""WITH rms AS ({RMS_SQL.replace("FROM embeddings", "FROM (SELECT * FROM embeddings WHERE vec_id % 2 = 0)")}),
+  top AS (SELECT list(dim ORDER BY dim) AS o FROM (SELECT dim FROM rms ORDER BY rms DESC, dim LIMIT 16)),
+  pick AS (SELECT o, list_filter(range({DIM}), lambda i: NOT list_contains(o, i)) AS r FROM top),
+  cut AS (SELECT vec_id, list_transform(r, lambda i: embedding[i + 1]::DOUBLE) AS rv, list_transform(o, lambda i: embedding[i + 1]::DOUBLE) AS ov FROM embeddings, pick)
+SELECT vec_id, array_to_string(a.code, ',') AS regular, array_to_string(b.code, ',') AS outlier, round(a.norm, 4) AS norm, round(b.norm, 4) AS outlier_norm,
+  (({DIM} - 16) * 3 + 16 * 4 + 2 * 32) // 8 AS n_bytes
+FROM ({sub_codes_sql('SELECT vec_id, rv AS v FROM cut', DIM - 16, 3, 42)}) a JOIN ({sub_codes_sql('SELECT vec_id, ov AS v FROM cut', 16, 4, 43)}) b USING (vec_id)"""
+
+
+@query("q7_append_codes", APPEND_SQL)
 def q7(spark, sf):
-    """Vectors arrive in two waves; each wave is coded and appended, earlier codes stay."""
+    """Vectors arrive in two waves; each wave is coded with the state that the first one made and appended, earlier codes stay."""
     waves, sink = scratch_path(spark, "waves"), scratch_path(spark, "codes")
     rows = vecs(spark, sf).select("vec_id", "embedding")
     for lo in (0, 1):
-        rows.filter(F.col("vec_id") % 2 == lo).write.mode("append").parquet(waves)
-
-    def each(batch, n):
-        coded = batch.select("vec_id", vq.quantize(F.col("embedding"), DIM, BITS)["code"].alias("code"))
-        coded.write.mode("overwrite").parquet(f"{sink}/batch={n}")
-
+        rows.filter(F.col("vec_id") % 2 == lo).coalesce(1).write.mode("append").parquet(waves)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(waves)
-    run_batches(stream, sink, each)
-    done = spark.read.parquet(sink)
-    return done.select("vec_id", F.array_join(F.transform("code", lambda c: c.cast("string")), ",").alias("code"))
+    run_batches(stream, sink, lambda batch, n: vq.append_packed(batch, n, sink, DIM, 3, 4, 16))
+    state = vq.QuantizerState.load(spark, f"{sink}-state")
+    done = spark.read.parquet(sink).withColumn("c", vq.unpack(F.col("packed.codes"), state))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    norm = lambda i: F.round(F.get("packed.norms", F.lit(i)).cast("double"), 4)
+    size = F.length("packed.codes") + 4 * F.size("packed.norms")
+    return done.select(
+        "vec_id", shown(F.col("c.regular")).alias("regular"), shown(F.col("c.outlier")).alias("outlier"), norm(0).alias("norm"), norm(1).alias("outlier_norm"),
+        size.alias("n_bytes"),
+    )
 
 
 PLANS = [(4, 0, 0), (3, 0, 0), (3, 16, 4)]

@@ -56,5 +56,5 @@ def test_lookup_paths_agree(spark):
     table = rows.groupBy("term").agg(F.count("*").alias("count"))
     hot = table.filter("term < '2'")
     small = lk.lookup(rows, table, "term", 50)
-    large = lk.lookup(rows, table, "term", lk.SMALL_ROWS + 1, hot)
+    large = lk.lookup(rows, table, "term", lk.SMALL_BYTES + 1, hot)
     assert sorted(map(tuple, small.select("id", "count").collect())) == sorted(map(tuple, large.select("id", "count").collect()))
