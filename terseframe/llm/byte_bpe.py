@@ -5,9 +5,10 @@ token takes that token. The others become token-position rows, one per byte, tha
 recursive query joins with the merge table (every pair of tokens that together make up a token),
 contracting each word's pair of least rank, the leftmost first, until no pair is left. A word is known by its number, a
 token by its byte offset, so a contraction changes one row and empties the next one; the
-recursion keeps only the last state of each row. Where no token that holds the new one has a
+recursion goes on until no word has a pair. Words of up to SHORT bytes contract one pair a round. Longer
+ones take fewer rounds: where no token that holds the new one has a
 lower rank (`calm`, a fixed property of the merge table), contracting one place can't bring a pair forward that comes before
-the other places of the same rank, and all of them are contracted in the same round. Decoding joins
+the other places of the same rank, and all of them are contracted in the same round; of each row only the last state is kept. Decoding joins
 ids with the vocabulary and puts the bytes together by an ordered aggregation.
 
 Words are encoded once per worker and kept in a table of bounded size; this saves time and
@@ -32,13 +33,28 @@ from pyspark.sql import functions as F
 
 from .common import fresh, short_batches
 
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 4_000_000
+SHORT = 48
 LONG_TEXT = 8_000_000  # longer texts are cut lazily
-GROUP_BYTES = 500_000
-GROUP_IDS = 500_000
-KEPT_WORDS = 300_000
-BATCH_BYTES = 32 << 20
-
+GROUP_BYTES = 250_000
+GROUP_IDS = 250_000
+KEPT_WORDS = 250_000
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+ENCODE_SHORT = """
+WITH RECURSIVE t(round, w, pos, tok) AS (
+  SELECT 0, w, pos, tok FROM word_bytes
+  UNION ALL
+  (WITH live AS (SELECT round, w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS next_tok FROM t
+  ), least AS (
+    SELECT w, min(merged::BIGINT << 32 | pos) AS b, arg_min(size, merged::BIGINT << 32 | pos) AS size
+    FROM live JOIN merges ON first = tok AND second = next_tok GROUP BY w
+  )
+  SELECT round + 1, live.w, pos, CASE WHEN pos = b & 4294967295 THEN (b >> 32)::INT ELSE tok END
+  FROM live JOIN least ON least.w = live.w WHERE pos <= b & 4294967295 OR pos >= (b & 4294967295) + size)
+)
+SELECT w, tok FROM t JOIN (SELECT w, max(round) AS round FROM t GROUP BY w) USING (w, round) ORDER BY w, pos
+"""
 ENCODE = """
 WITH RECURSIVE t(w, pos, tok) USING KEY (w, pos) AS (
   SELECT w, pos, tok FROM word_bytes
@@ -78,7 +94,7 @@ class Tokenizer:
 
     pattern: str
     tokens: dict[bytes, int]
-    merges: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # first, second, merged, calm
+    merges: tuple[np.ndarray, ...]  # first, second, merged, calm, size of merged in bytes
     key: str
 
     @staticmethod
@@ -87,11 +103,17 @@ class Tokenizer:
         tokens = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         if missing := [i for i in range(256) if bytes([i]) not in tokens]:
             raise ValueError(f"the rank file lacks the bytes {missing}")
-        pairs = [(tokens[t[:i]], tokens[t[i:]], n) for t, n in tokens.items() for i in range(1, len(t)) if t[:i] in tokens and t[i:] in tokens]
-        first, second, merged = np.array(pairs, np.int32).reshape(-1, 3).T
+        pairs = [(tokens[t[:i]], tokens[t[i:]], n, len(t)) for t, n in tokens.items() for i in range(1, len(t)) if t[:i] in tokens and t[i:] in tokens]
+        first, second, merged, size = np.array(pairs, np.int32).reshape(-1, 4).T
         lower = np.concatenate([first[merged < first], second[merged < second]])
         key = hashlib.sha256(pattern.encode() + b"\n" + b"\n".join(lines)).hexdigest()
-        return Tokenizer(pattern, tokens, (first, second, merged, ~np.isin(merged, lower)), key)
+        return Tokenizer(pattern, tokens, (first, second, merged, ~np.isin(merged, lower), size), key)
+
+
+def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all stretches, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Engine:
@@ -113,7 +135,7 @@ class Engine:
         self.cut = regex.compile(tokenizer.pattern)
         self.tokens = tokenizer.tokens
         self.byte_ids = np.array([tokenizer.tokens[bytes([i])] for i in range(256)], np.int32)
-        self._table("merges", dict(zip(("first", "second", "merged", "calm"), tokenizer.merges)))
+        self._table("merges", dict(zip(("first", "second", "merged", "calm", "size"), tokenizer.merges)))
         ids = np.fromiter(tokenizer.tokens.values(), np.int32, len(tokenizer.tokens))
         self.known = np.zeros(int(ids.max()) + 1, bool)
         self.known[ids] = True
@@ -145,27 +167,28 @@ class Engine:
             "w": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
             "pos": (np.arange(len(whole)) - np.repeat(starts, sizes)).astype(np.int32), "tok": whole,
         }
-        found = self._ask("word_bytes", rows, ENCODE)
+        found = self._ask("word_bytes", rows, ENCODE_SHORT if sizes.max() <= SHORT else ENCODE)
         return np.bincount(found["w"], minlength=len(words)), found["tok"].astype(np.int32)
 
     def _learn(self) -> None:
         """Encodes the words numbered since the last call."""
         new = [w.encode("utf-8", "surrogatepass") for w in islice(self.words, len(self.starts) - 1, None)]
-        at = [i for i, w in enumerate(new) if w not in self.tokens]
-        sizes, parts = np.ones(len(new), np.int64), []
-        ends = np.cumsum([len(new[i]) for i in at]) // GROUP_BYTES
-        cuts = np.flatnonzero(np.diff(ends)) + 1 if at else []
-        for group in np.split(np.array(at, np.int64), cuts):
-            if len(group):
-                sizes[group], ids = self._merge([new[i] for i in group])
-                parts.append(ids)
+        at = np.array([i for i, w in enumerate(new) if w not in self.tokens], np.int64)
+        size = np.array([len(new[i]) for i in at], np.int64)
+        sizes, made = np.ones(len(new), np.int64), []
+        for part in (size <= SHORT, size > SHORT):
+            cuts = np.flatnonzero(np.diff(np.cumsum(size[part]) // GROUP_BYTES)) + 1
+            for group in np.split(at[part], cuts):
+                if len(group):
+                    sizes[group], ids = self._merge([new[i] for i in group])
+                    made.append((group, ids))
         starts = np.concatenate(([0], np.cumsum(sizes)))
         flat = np.empty(starts[-1], np.int32)
-        odd = np.zeros(len(new), bool)
-        odd[at] = True
-        inside = np.repeat(odd, sizes)
-        flat[inside] = np.concatenate([*parts, np.empty(0, np.int32)])
-        flat[~inside] = [self.tokens[w] for w, o in zip(new, odd) if not o]
+        whole = np.ones(len(new), bool)
+        whole[at] = False
+        flat[starts[:-1][whole]] = [self.tokens[w] for w, own in zip(new, whole) if own]
+        for group, ids in made:
+            flat[stretches(starts[group], sizes[group])] = ids
         self.starts = np.concatenate((self.starts, self.starts[-1] + starts[1:]))
         self.flat = np.concatenate((self.flat, flat))
 
@@ -180,10 +203,8 @@ class Engine:
         self._learn()
         whole = np.concatenate([*places, np.empty(0, np.int64)])
         sizes = np.diff(self.starts)[whole]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[whole] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.concatenate(([0], ends))[np.cumsum([len(p) for p in places])]
-        return np.diff(upto, prepend=0), ids
+        upto = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([len(p) for p in places])]
+        return np.diff(upto, prepend=0), self.flat[stretches(self.starts[whole], sizes)]
 
     def decode(self, sizes: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """The bytes of each sequence; `sizes` has its number of ids."""
@@ -219,7 +240,7 @@ def load_tokenizer(path: str, pattern: str) -> Tokenizer:
 
 
 def _prepare(spark: SparkSession) -> None:
-    short_batches(spark)
+    short_batches(spark, BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
