@@ -5,21 +5,27 @@ highest product of word probabilities wins; a string that is no word costs as mu
 length suggests. On top of a small starting lexicon, parts between signs are words where
 several hosts have them: a part counts once per host, and its spelling, at the price of an
 unknown string, is shared among its hosts, so a joined name of one or two hosts is split
-while a common word stays whole. Parts that lexicon words make up are never words. The most
-common MAX_WORDS words are kept as they are, so the model does not grow with the table. A multinomial naive Bayes over hash cells of words is learnt from all distinct URLs, labelled by whether one
-of their words is in the blocked lexicon, and scores every URL's words.
+while a common word stays whole. Parts that lexicon words make up are never words. No task
+holds the table of words: every distinct name meets, by a join on its substrings, the words that occur in it, and is
+split by these alone. The split names are written once.
+
+A multinomial naive Bayes over exact words is learnt from distinct URLs: those with a word of the
+blocked lexicon count as blocked, others that a rule decides as the rule says; the rest teach nothing. The words of the
+rules themselves and the plain lexicon, which only helps to split names, are no features, so a rule can only teach what else its URLs have in common. Words of the blocked lexicon count as SEED
+blocked URLs more. A word's odds are drawn towards none by STRENGTH words of the average URL, and URLs are blocked from nine to one on.
 """
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from ..session import materialize
 
 RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
@@ -39,17 +45,18 @@ PLAIN_WORDS = (
     "space sport sports staff star stats store story stream studio tech the top track travel tv video videos web wiki win wire wood "
     "work world www zone"
 ).split()
-CELLS = 1 << 18
-MAX_WORDS = 1 << 18  # of the table, by number of hosts
 MIN_HOSTS = 2
 SHORTEST = 3  # of the table's words; language codes are no parts of names
-LONGEST = 24
+LONGEST = 24  # of a word inside a name; a whole name may be a longer one
 WORD_COUNT = 50.0  # of a lexicon word in the segmenter, before the table's own counts
-SEED = 5.0  # URLs that a lexicon word stands for in training
-SMOOTH = 0.01
+SEED = 200.0  # blocked URLs that a word of the blocked lexicon stands for in training
+STRENGTH = 2.0
+CAUTION = float(np.log(9.0))
 UNKNOWN = -9.0  # log-probability of an unknown string, and of each of its letters
 PER_LETTER = -2.4
-SIGNS = "[^\\p{L}]+"
+SINGLE = -30.0  # of one letter as a word
+LEXICON = frozenset({*BLOCKED_WORDS, *PLAIN_WORDS})
+LETTERS = "\\p{L}+"
 
 
 def host_of(url: Column) -> Column:
@@ -72,144 +79,132 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return rule, verdict
 
 
-def cell(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) % CELLS
-
-
-def _words(known: DataFrame) -> dict[str, int]:
-    """Hosts of each part that several hosts have: at most MAX_WORDS rows reach the driver."""
-    whole = F.concat_ws(" ", "host", F.lower("path"))
-    parts = known.select("host", F.explode(F.split(whole, SIGNS)).alias("word"))
-    parts = parts.filter(F.length("word").between(SHORTEST, LONGEST)).distinct()
-    hosts = parts.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_HOSTS)
-    return {r["word"]: r["n"] for r in hosts.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()}
-
-
 @dataclass
 class Segmenter:
-    """Unigram Viterbi over exact words, or over hash cells of word counts where no words are given."""
+    """Unigram Viterbi over exact words with their log-probabilities."""
 
-    log_prob: np.ndarray | None
-    exact: dict[str, float] | None = None
-
-    @staticmethod
-    def of(counts: np.ndarray) -> "Segmenter":
-        c = counts.copy()
-        for w in {*BLOCKED_WORDS, *PLAIN_WORDS}:
-            c[cell(w)] += WORD_COUNT
-        return Segmenter(np.log(np.maximum(c, 1e-12) / max(c.sum(), 1.0)))
+    exact: dict[str, float]
 
     @staticmethod
     def of_words(hosts: dict[str, int]) -> "Segmenter":
         """From the number of hosts of each word of the table."""
-        lexicon = {*BLOCKED_WORDS, *PLAIN_WORDS}
-        joined = regex.compile("(?:" + "|".join(sorted(lexicon)) + "){2,}")
-        own = {w: n for w, n in hosts.items() if w not in lexicon and not joined.fullmatch(w)}
-        total = WORD_COUNT * len(lexicon) + sum(hosts.get(w, 0) for w in lexicon) + sum(own.values())
+        own = {w: n for w, n in hosts.items() if w not in LEXICON and not regex.fullmatch(f"(?:{JOINED}){{2,}}", w)}
+        total = WORD_COUNT * len(LEXICON) + sum(hosts.get(w, 0) for w in LEXICON) + sum(own.values())
         exact = {w: float(np.log(n / total) + (UNKNOWN + PER_LETTER * len(w)) / n) for w, n in own.items()}
-        return Segmenter(None, exact | {w: float(np.log((WORD_COUNT + hosts.get(w, 0)) / total)) for w in lexicon})
+        return Segmenter(exact | {w: float(np.log((WORD_COUNT + hosts.get(w, 0)) / total)) for w in LEXICON})
 
     def known(self, word: str) -> float:
-        return self.log_prob[cell(word)] if self.exact is None else self.exact.get(word, -np.inf)
+        return self.exact.get(word, -np.inf) if len(word) > 1 else SINGLE
 
     def split(self, name: str) -> list[str]:
-        """Words of a run of letters; names beyond a host label's length are cut at each 4096 letters."""
-        if len(name) > 4096:
-            return [w for i in range(0, len(name), 4096) for w in self.split(name[i : i + 4096])]
+        """Words of a run of letters; of equally good splits the one whose last word is shortest."""
         best, back = [0.0], [0]
-        for end in range(1, len(name) + 1):
+        whole = len(name)
+        for end in range(1, whole + 1):
             options = []
-            for start in range(max(0, end - LONGEST), end):
-                known = self.known(name[start:end]) if end - start > 1 else -30.0
-                unknown = UNKNOWN + PER_LETTER * (end - start)
-                options.append((best[start] + max(known, unknown), start))
+            for start in range(max(0, end - LONGEST), end) if end < whole else {0, *range(max(0, end - LONGEST), end)}:
+                options.append((best[start] + max(self.known(name[start:end]), UNKNOWN + PER_LETTER * (end - start)), start))
             score, start = max(options)
             best.append(score)
             back.append(start)
-        words, end = [], len(name)
+        words, end = [], whole
         while end:
             words.append(name[back[end] : end])
             end = back[end]
         return words[::-1]
 
 
-def url_words(segmenter: Segmenter) -> Callable[[str, str], list[str]]:
-    """Segmented words of host and path; the segmenter runs once per distinct part."""
-    split = lru_cache(maxsize=65536)(lambda part: tuple(segmenter.split(part)))
-
-    def words(host: str, path: str) -> list[str]:
-        labels = host.split(".")
-        own = labels[:-1] if len(labels) > 1 else labels
-        parts = regex.findall(r"\p{L}+", " ".join(own)) + regex.findall(r"\p{L}+", path.lower())
-        return [w for p in parts for w in split(p)]
-
-    return words
-
-
-@dataclass
-class Bayes:
-    """Log-odds of blocked against allowed per hash cell, and of the prior."""
-
-    odds: np.ndarray
-    prior: float
-
-    @staticmethod
-    def of(blocked: np.ndarray, allowed: np.ndarray, n_blocked: int, n_allowed: int) -> "Bayes":
-        """From word counts per cell and URL counts.
-
-        Every lexicon word also counts as SEED URLs of its class, whose other words are
-        those of the average allowed URL.
-        """
-        b, a, usual = blocked.copy(), allowed.copy(), allowed / max(1, n_allowed)
-        plain = sorted(set(PLAIN_WORDS) - set(BLOCKED_WORDS))
-        for counts, words in ((b, BLOCKED_WORDS), (a, plain)):
-            counts += SEED * len(words) * usual
-            for w in words:
-                counts[cell(w)] += SEED
-        size = SMOOTH * max(1, int(((a + b) > 0).sum()))
-        odds = np.log((b + SMOOTH) / (b.sum() + size)) - np.log((a + SMOOTH) / (a.sum() + size))
-        odds[(a + b) == 0] = 0.0  # words never seen say nothing
-        prior = np.log((n_blocked + SEED * len(BLOCKED_WORDS)) / (n_allowed + SEED * len(plain)))
-        return Bayes(odds, float(min(prior, 0.0)))
-
-    def score(self, words: list[str]) -> float:
-        return self.prior + sum(self.odds[cell(w)] for w in words)
+JOINED = "|".join(sorted(LEXICON))
+
+
+def table_words(parts: DataFrame) -> DataFrame:
+    """word, log_prob: the lexicon, and the names that several hosts have (parts: host, name); written once."""
+    names = parts.filter(F.length("name") >= SHORTEST).select("host", F.col("name").alias("word")).distinct()
+    hosts = materialize(names.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_HOSTS))
+    lexicon = parts.sparkSession.createDataFrame([(w,) for w in sorted(LEXICON)], "word string").withColumn("given", F.lit(True))
+    every = hosts.join(F.broadcast(lexicon), "word", "left").filter(F.col("given").isNotNull() | ~F.col("word").rlike(f"^(?:{JOINED}){{2,}}$"))
+    rest = lexicon.join(hosts, "word", "left_anti").select("word", F.lit(0).cast("bigint").alias("n"), "given")
+    every = every.select("word", "n", F.coalesce("given", F.lit(False)).alias("given")).unionByName(rest)
+    total = (every.agg(F.sum("n")).first()[0] or 0) + WORD_COUNT * len(LEXICON)
+    n = F.greatest(F.col("n"), F.lit(1))
+    spelled = F.log(n / total) + (UNKNOWN + PER_LETTER * F.length("word")) / n
+    return materialize(every.select("word", F.when(F.col("given"), F.log((WORD_COUNT + F.col("n")) / total)).otherwise(spelled).alias("log_prob")))
+
+
+def _substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, word) of every substring of a name of 2 to LONGEST letters, and of the whole name."""
+    for batch in batches:
+        for number, name in zip(batch["id"].tolist(), batch["name"].tolist()):
+            for at in range(0, len(name), 4096):
+                found = {name[i:j] for i in range(at, min(at + 4096, len(name))) for j in range(i + 2, min(i + LONGEST, len(name)) + 1)}
+                yield pd.DataFrame({"id": number, "word": pd.Series(list(found), dtype=object)})
+            if len(name) > LONGEST:
+                yield pd.DataFrame({"id": number, "word": pd.Series([name], dtype=object)})
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _split(names: pd.Series, words: pd.Series, probs: pd.Series) -> pd.Series:
+    out = []
+    for name, known, prob in zip(names, words, probs):
+        out.append(Segmenter({} if known is None else dict(zip(known, prob))).split(name))
+    return pd.Series(out, dtype=object)
+
+
+def split_names(parts: DataFrame) -> DataFrame:
+    """name, words: every distinct name of `parts` (host, name), split; written once."""
+    names = parts.select("name").distinct().withColumn("id", F.xxhash64("name"))
+    met = names.select("id", "name").mapInPandas(_substrings, "id long, word string").join(table_words(parts), "word")
+    # names whose ids agree share their words, which are words all the same
+    found = met.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("word", "log_prob"))).alias("w"))
+    found = names.join(found, "id", "left").select("name", F.col("w.word").alias("known"), F.col("w.log_prob").alias("prob"))
+    return materialize(found.select("name", _split("name", "known", "prob").alias("words")))
+
+
+def url_parts(urls: DataFrame) -> DataFrame:
+    """host, path, name: the runs of letters of a URL's host, without its last label, and path."""
+    own = F.regexp_replace("host", "(?s)\\.[^.]*$", "")
+    names = F.regexp_extract_all(F.concat_ws(" ", own, F.lower("path")), F.lit(LETTERS), 0)
+    return urls.select("host", "path", F.explode(names).alias("name"))
+
+
+def word_odds(urls: DataFrame, words: DataFrame) -> tuple[DataFrame, float]:
+    """(word and odds, the prior) from labelled URLs (host, path, verdict, null: none) and the words of each (host, path, word)."""
+    bad = words.filter(F.col("word").isin(BLOCKED_WORDS)).select("host", "path").distinct().withColumn("bad", F.lit(True))
+    labelled = urls.join(bad, ["host", "path"], "left").select("host", "path", F.when(F.col("bad"), "block").otherwise(F.col("verdict")).alias("label"))
+    labelled = materialize(labelled.filter("label is not null"))
+    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    seeds = [(w, SEED, 0.0) for w in sorted(set(BLOCKED_WORDS))]
+    seeds = urls.sparkSession.createDataFrame(seeds, "word string, b double, a double")
+    seen = words.join(labelled, ["host", "path"]).groupBy("word").agg(
+        F.count_if(F.col("label") == "block").cast("double").alias("b"), F.count_if(F.col("label") == "allow").cast("double").alias("a")
+    )
+    seen = materialize(seen)
+    b, a = (x or 0.0 for x in seen.agg(F.sum("b"), F.sum("a")).first())
+    share = min(0.95, max(0.05, (b + 1) / (a + b + 2)))  # of the average word, without the seeds
+    counts = seen.unionByName(seeds).groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    odds = F.log((F.col("b") + STRENGTH * share) / (F.col("a") + STRENGTH * (1 - share))) - float(np.log(share / (1 - share)))
+    prior = float(np.log((sizes.get("block", 0) + 1) / (sizes.get("allow", 0) + 1)))
+    return counts.select("word", odds.alias("odds")), min(prior, 0.0)
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (log-odds of block) of every row.
+    """page_id, host, path, rule, verdict, score (log-odds of block less CAUTION) of every row.
 
     Null and malformed urls have empty host and path, no rule and the verdict of the prior,
     which allows. Repeated rows stay rows and count once in training. Other columns are ignored.
     """
     rows = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
-    known = rows.select("host", "path").distinct()
-    segmenter = Segmenter.of_words(_words(known))
-
-    @F.pandas_udf("array<string>")
-    def segmented(host: pd.Series, path: pd.Series) -> pd.Series:
-        words = url_words(segmenter)
-        return pd.Series([words(h, p) for h, p in zip(host, path)], dtype=object)
-
-    bad = F.array(*[F.lit(w) for w in BLOCKED_WORDS])
-    seen = known.withColumn("words", segmented("host", "path"))
-    seen = seen.select("words", F.arrays_overlap("words", bad).alias("bad"))
-    cells = seen.select("bad", F.explode("words").alias("word")).groupBy(
-        "bad", F.pmod(F.xxhash64("word"), F.lit(CELLS)).alias("c")
-    ).agg(F.count("*").alias("n")).collect()  # at most 2 * CELLS rows
-    counts = np.zeros((2, CELLS))
-    for row in cells:
-        counts[int(bool(row["bad"])), row["c"]] = row["n"]
-    sizes = {bool(r["bad"]): r["n"] for r in seen.groupBy("bad").agg(F.count("*").alias("n")).collect()}
-    model = Bayes.of(counts[1], counts[0], sizes.get(True, 0), sizes.get(False, 0))
-
-    @F.pandas_udf("double")
-    def scored(host: pd.Series, path: pd.Series) -> pd.Series:
-        words = url_words(segmenter)
-        return pd.Series([model.score(words(h, p)) for h, p in zip(host, path)], dtype="float64")
-
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("score", scored("host", "path"))
+    known = materialize(rows.select("host", "path").distinct())
+    parts = url_parts(known)
+    told = {w for _, text in rules for w in regex.findall(LETTERS, text.lower())} | set(PLAIN_WORDS)
+    told -= set(BLOCKED_WORDS)
+    names = split_names(parts)
+    words = parts.join(names, "name").select("host", "path", F.explode("words").alias("word"))
+    words = materialize(words.filter(~F.col("word").isin(sorted(told))))
+    odds, prior = word_odds(known.withColumn("verdict", verdict), words)
+    sums = words.join(odds, "word").groupBy("host", "path").agg(F.sum("odds").alias("sum"))
+    rows = rows.join(sums, ["host", "path"], "left").withColumn("score", F.round(F.coalesce("sum", F.lit(0.0)) + F.lit(prior - CAUTION), 9))
     return rows.select(
         "page_id", "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score",

@@ -23,14 +23,10 @@ def all_splits(name):
 
 
 def test_viterbi_finds_the_best_split():
-    counts = np.zeros(url_words.CELLS)
-    for w in ("rivers", "river", "side", "stone", "to", "tone", "on"):
-        counts[url_words.cell(w)] += rnd.randrange(1, 90)
-    s = url_words.Segmenter.of(counts)
+    s = url_words.Segmenter.of_words({w: rnd.randrange(2, 90) for w in ("rivers", "river", "side", "stone", "to", "tone", "on")})
 
     def worth(words):
-        known = lambda w: s.log_prob[url_words.cell(w)] if len(w) > 1 else -30.0
-        return sum(max(known(w), url_words.UNKNOWN + url_words.PER_LETTER * len(w)) for w in words)
+        return sum(max(s.known(w), url_words.UNKNOWN + url_words.PER_LETTER * len(w)) for w in words)
 
     for name in ("riverside", "riverstone", "toonside", "freegames", "qqside", "a", "casinobest"):
         assert np.isclose(worth(s.split(name)), max(map(worth, all_splits(name))))
@@ -38,6 +34,20 @@ def test_viterbi_finds_the_best_split():
     assert "".join(s.split("ab" * 5000)) == "ab" * 5000
 
 
+def test_joined_words_split_as_by_the_whole_table(spark):
+    names = ["riverstone", "bestriver", "stoneage", "x" * 30 + "river", "ß" * 5000, "river", "stone", "freecasino"]
+    parts = [(f"h{i}.net", w) for i in range(40) for w in ("river", "stone")] + [(f"h{i}.net", n) for i, n in enumerate(names)]
+    parts += [(f"k{i}.net", "freecasino") for i in range(9)] + [(f"l{i}.net", "y" * 40) for i in range(30)]
+    df = spark.createDataFrame(parts, "host string, name string")
+    hosts = {}
+    for h, n in set(parts):
+        hosts[n] = hosts.get(n, 0) + 1
+    whole = url_words.Segmenter.of_words({n: c for n, c in hosts.items() if c >= url_words.MIN_HOSTS})
+    got = {r.name: r.words for r in url_words.split_names(df).collect()}
+    assert got == {n: whole.split(n) for n in hosts}
+    assert got["riverstone"] == ["river", "stone"] and got["y" * 40] == ["y" * 40]
+
+
 def plain_judgement(url):
     """(host, path, rule) of one url, by string operations."""
     rest = (url or "").partition("://")[2]
