@@ -91,7 +91,7 @@ def _packer(capacities: tuple[int, ...], overhead: int, end_mark: str) -> Callab
 def stored_order(docs: DataFrame, run_docs: int = RUN_DOCS) -> tuple[list[Column], Column]:
     """Runs of consecutive rows of a table read from files, and each row's place."""
     place = F.col("_metadata.row_index")
-    return [F.col("_metadata.file_name"), F.floor(place / run_docs)], place
+    return [F.col("_metadata.file_path"), F.floor(place / run_docs)], place
 
 
 def pack(
