@@ -113,9 +113,14 @@ def guided_is_empty(policy: str, n_spans: Column, empty_prefix: Column, n_chunks
     return none if policy == "no_spans" else none | (empty_prefix & (n_chunks != 1))
 
 
-def merged_text(df: DataFrame, mode: Column, empty: Column) -> DataFrame:
-    """Combine the decisions of `two_decisions`; an empty question side falls back to the rate side."""
-    chosen = F.when(empty, F.col("kept")).otherwise(merge.combine_positions(mode, F.col("kept"), F.col("guided")))
+def merged_text(df: DataFrame, mode: Column, empty: Column, asked: Column | None = None, failed: Column | None = None) -> DataFrame:
+    """Combine the decisions of `two_decisions`; an empty or failed question side falls back to the rate side.
+
+    Where nothing is asked the rate side stands alone, which is no fallback.
+    """
+    asked = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
+    empty = asked & (empty if failed is None else empty | F.coalesce(failed, F.lit(False)))
+    chosen = F.when(~asked | empty, F.col("kept")).otherwise(merge.combine_positions(mode, F.col("kept"), F.col("guided")))
     return df.withColumn("fallback", empty).withColumn("merged", chosen).withColumn(
         "merged_text", merge.words_at(F.col("words"), F.col("merged"))
     )

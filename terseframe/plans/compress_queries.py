@@ -354,14 +354,14 @@ def u2(spark, sf):
 @query(
     "c15_two_methods",
     q.sql(
-        """SELECT m.doc_id, m.mode, m.merged_text, m.n_kept, coalesce(r.origin_words, 0) AS n_words,
+        """SELECT m.doc_id, m.mode, CASE WHEN m.doc_id % 9 = 4 THEN 'rate' ELSE 'both' END AS route, m.merged_text, m.n_kept, coalesce(r.origin_words, 0) AS n_words,
              m.fallback, d.n_kept_chunks || '/' || d.n_chunks AS kept_chunks FROM merged2 m JOIN gdoc d USING (doc_id) LEFT JOIN rate_text r USING (doc_id)""",
         "gdoc", "rate_text", "modes", "rate_kept", "gword",
         merged2="""SELECT d.doc_id, m.mode, d.fb AS fallback, count(w.pos) AS n_kept, coalesce(string_agg(w.word, ' ' ORDER BY w.pos), '') AS merged_text
-           FROM (SELECT *, n_spans = 0 OR (doc_id % 7 = 0 AND n_chunks <> 1) AS fb FROM gdoc) d CROSS JOIN modes m LEFT JOIN (
+           FROM (SELECT *, doc_id % 9 <> 4 AND (n_spans = 0 OR (doc_id % 7 = 0 AND n_chunks <> 1) OR doc_id % 11 = 3) AS fb FROM gdoc) d CROSS JOIN modes m LEFT JOIN (
              SELECT coalesce(l.doc_id, g.doc_id) AS doc_id, coalesce(l.pos, g.pos) AS pos, coalesce(l.word, g.word) AS word,
                l.pos IS NOT NULL AS in_l, g.pos IS NOT NULL AS in_g FROM rate_kept l FULL JOIN gword g ON l.doc_id = g.doc_id AND l.pos = g.pos) w
-           ON w.doc_id = d.doc_id AND CASE WHEN d.fb THEN in_l WHEN m.mode = 'union' THEN in_l OR in_g ELSE in_l AND in_g END GROUP BY ALL""",
+           ON w.doc_id = d.doc_id AND CASE WHEN d.fb OR d.doc_id % 9 = 4 THEN in_l WHEN m.mode = 'union' THEN in_l OR in_g ELSE in_l AND in_g END GROUP BY ALL""",
     ),
 )
 def c15(spark, sf):
@@ -369,9 +369,11 @@ def c15(spark, sf):
     empty = cp.guided_is_empty(
         "empty_prefix", F.size(F.coalesce("spans", F.array())), sel.is_empty_prefix(sel.hint_prefix(F.col("question"))), F.col("n_chunks")
     )
-    out = cp.merged_text(rows, F.col("mode"), empty)
+    # every ninth request asks nothing, and for every eleventh the question side fails
+    asked, failed = F.col("doc_id") % 9 != 4, F.col("doc_id") % 11 == 3
+    out = cp.merged_text(rows, F.col("mode"), empty, asked, failed)
     return out.select(
-        "doc_id", "mode", "merged_text", F.size("merged").alias("n_kept"), F.size("words").alias("n_words"), "fallback",
+        "doc_id", "mode", F.when(asked, "both").otherwise("rate").alias("route"), "merged_text", F.size("merged").alias("n_kept"), F.size("words").alias("n_words"), "fallback",
         F.format_string("%d/%d", "n_kept_chunks", "n_chunks").alias("kept_chunks"),
     )
 
