@@ -508,9 +508,12 @@ def c4(spark, sf):
 
 @query(
     "c5_overshoot_guard",
-    r"""SELECT doc_id, CASE WHEN length(rebuilt) > length(text) THEN array_to_string(list_filter(ws, lambda w, i: (i - 1) % 3 <> 1), ' ') ELSE rebuilt END AS guarded FROM (
-          SELECT doc_id, text, ws, replace(array_to_string(list_filter(ws, lambda w, i: (i - 1) % 3 <> 1), chr(1)), chr(1), repeat(' ', 1 + doc_id % 6)) AS rebuilt
-          FROM (SELECT doc_id, text, regexp_extract_all(text, '\S+') AS ws FROM documents))""",
+    q.sql(
+        """SELECT doc_id, CASE WHEN length(rebuilt) > length(text) THEN array_to_string(kept, ' ') ELSE rebuilt END AS guarded FROM (
+             SELECT doc_id, text, kept, replace(array_to_string(kept, chr(1)), chr(1), repeat(' ', 1 + doc_id % 6)) AS rebuilt
+             FROM (SELECT doc_id, text, list_transform(list_filter(labels, lambda x: x.keep = 1), lambda x: x.w) AS kept FROM labels))""",
+        labels=LABELS_SQL,
+    ),
 )
 def c5(spark, sf):
     # rebuilt with one to six blanks between the kept words, so that some texts overshoot and some do not
