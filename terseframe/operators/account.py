@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import materialize
 from .windows import previous, running_sum
 
 # fixed values: $ per million tokens
@@ -126,8 +127,10 @@ def hourly_projection(rows: DataFrame, keys: list[str], order: str) -> DataFrame
 def sparkline(series: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Saved shares scaled to [0, 1] per session of at least two points.
 
-    The bounds come from an aggregate joined back, so no session sits in one window.
+    The bounds come from an aggregate joined back, so no session sits in one window; the
+    series is written once for both.
     """
+    series = materialize(series)
     v = 1 - F.col("ratio")
     bounds = series.groupBy(*keys).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count("*").alias("n"))
     held = series.join(bounds.filter("n >= 2"), keys)
@@ -136,8 +139,8 @@ def sparkline(series: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def running_totals(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Totals after each row in arrival order, for sessions of any length."""
-    zero = F.lit(0)
+    """Totals after each row in arrival order, for sessions of any length. `rows` is read once and written."""
+    zero, rows = F.lit(0), materialize(rows)
     out = running_sum(rows, keys, order, F.coalesce("origin_tokens", zero), "origin_so_far")
     return running_sum(out, keys, order, F.coalesce("compressed_tokens", zero), "compressed_so_far")
 

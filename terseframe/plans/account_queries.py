@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import account as ac, compress as cp, merge as mg, scores as sc, selection as sel
 from ..operators.chat import chat_messages
+from ..session import materialize
 from . import fixtures as fx, sqltext as q
 from .registry import query
 
@@ -205,7 +206,7 @@ def j8(spark, sf):
     ),
 )
 def j9(spark, sf):
-    rows = fx.compressed_utterances(spark, sf)
+    rows = materialize(fx.compressed_utterances(spark, sf).select("conv_id", "turn", "text", "compressed"))
     raw = rows.select("conv_id", "turn", F.nullif("text", F.lit("")).alias("r"))
     short = rows.select("conv_id", "turn", F.nullif(F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" !"))).when(F.col("turn") % 3 == 1, F.col("compressed")), F.lit("")).alias("c"))
     held = raw.join(short, ["conv_id", "turn"])
@@ -280,7 +281,8 @@ def a17(spark, sf):
     ),
 )
 def w11(spark, sf):
-    rows = ac.running_totals(fx.compressed_utterances(spark, sf), CONV, "turn")
+    done = fx.compressed_utterances(spark, sf).select("conv_id", "turn", "origin_tokens", "compressed_tokens")
+    rows = ac.running_totals(done, CONV, "turn")
     return rows.select("conv_id", "turn", "origin_so_far", "compressed_so_far")
 
 

@@ -12,7 +12,8 @@ KEYS = [
     "t2_sentence_spans", "t10_parse_labels", "x2_bm25", "c9_guided_spans", "c11_keep_rate", "c15_two_methods", "c4_merge_labels",
     "c13_dedupe_sentences", "w1_rank_any_group", "a5_arm_summary", "s2_answers_scan", "s14_report", "a17_sparkline", "w9_replay_timeline",
     "q3_quantize", "st4_silence_sessions", "q1_fitted_codebook", "q6_outlier_channels", "f3_span_functions", "a12_fault_tally",
-    "a26_chat_turns", "c5_overshoot_guard", "c14_document_totals", "l5_input_order",
+    "a26_chat_turns", "c5_overshoot_guard", "c14_document_totals", "l5_input_order", "j7_similar_sentences", "a20_dropped_sentences",
+    "c1_word_positions", "c17_question_conditioned", "q7_append_codes", "f2_pair_scorer", "st5_row_lifecycle", "st8_event_dispatch",
 ]
 
 
