@@ -23,6 +23,8 @@ MAX_DOCS = 3000
 THRESHOLD = 0.3
 FOLDS = 5
 CHUNK = 500
+CHUNK_CHARS = 4_000_000  # of the texts scored together
+MAX_LINES = 2000
 
 # byte classes: 0 upper, 1 lower, 2 digit, 3 space, 4 common punctuation, 5 other ASCII sign, 6 beyond ASCII
 CLASSES = np.full(256, 5, np.uint8)
@@ -171,15 +173,22 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["x", "n", "label"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Chain:
-    """Fit on at most `max_docs` labelled, not held out documents of each class, balanced."""
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> Chain:
+    """Fit on at most `max_docs` labelled, not held out documents of each class, balanced.
+
+    A document labelled both good and bad counts as good. Of rows that repeat a doc_id the least text is
+    taken; texts of more than `max_lines` lines are scored like all others but not learnt from, so what
+    comes to the driver is bounded: at most 2 * max_docs * max_lines lines of features.
+    """
     known = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     picked = None
     for label in (0, 1):
         some = known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
         picked = some if picked is None else picked.unionByName(some)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * max_docs ids
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # at most 2 * max_docs ids
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    texts = texts.filter(F.coalesce(lines, F.lit(1)) <= max_lines).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = texts.select("text", "label").mapInPandas(_features, "x binary, n int, label int").collect()
     if not rows:
         return Chain(np.zeros(N_FEATURES), np.zeros((2, 2)))
@@ -193,8 +202,15 @@ def score_column(model: Chain, text: str | Column = "text") -> Column:
 
     @F.pandas_udf("double")
     def quality(texts: pd.Series) -> pd.Series:
-        values = texts.tolist()
-        parts = [model.score(values[i : i + CHUNK]) for i in range(0, len(values), CHUNK)]
+        parts, held, size = [], [], 0
+        for text in texts.tolist():
+            if held and (len(held) >= CHUNK or size >= CHUNK_CHARS):
+                parts.append(model.score(held))
+                held, size = [], 0
+            held.append(text)
+            size += len(text or "")
+        if held:
+            parts.append(model.score(held))
         return pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
     return quality(text)

@@ -43,6 +43,21 @@ def test_quality(docs, none, labels):
     assert all(abs(r.score - 0.5) < 1e-9 for r in quality_crf.score_documents(docs, labels.filter("false")).collect())
 
 
+def test_quality_bounds(spark, docs, labels):
+    """Repeated rows, long texts and small chunks change no score; texts too long to learn from are scored."""
+    model = quality_crf.fit(docs, labels)
+    again = quality_crf.fit(docs.unionByName(docs), labels.unionByName(labels))
+    assert (model.weight == again.weight).all() and (model.move == again.move).all()
+    short = quality_crf.fit(docs, labels, max_lines=1)
+    assert (short.weight == quality_crf.fit(docs.filter("doc_id is null or doc_id not in (6, 7, 9, 10)"), labels).weight).all()
+    whole = sorted(str(r) for r in quality_crf.score_documents(docs, labels).collect())
+    size, quality_crf.CHUNK_CHARS = quality_crf.CHUNK_CHARS, 1
+    try:
+        assert sorted(str(r) for r in quality_crf.score_documents(docs, labels).collect()) == whole
+    finally:
+        quality_crf.CHUNK_CHARS = size
+
+
 def test_mix(docs, none):
     rows = pfair_mix.mix(docs, {"a": 2, "b": 1}, block_docs=2).collect()
     assert len(rows) == len(ROWS) and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in rows)
