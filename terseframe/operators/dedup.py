@@ -46,11 +46,11 @@ def _runs(bag: Column) -> Column:
 
 def sentence_classes(df: DataFrame, keys: list[str], sentences: Column, relevance: Column | None = None) -> DataFrame:
     """Sentences of a text by their words: keys.., idx (the first), copies (all, ascending), relevance, words (term, tf); written once."""
-    rel = F.get("_rel", F.col("idx")) if relevance is not None else F.lit(0.0)
-    held = df.select(*keys, sentences.alias("_sents"), (relevance if relevance is not None else F.lit(None)).alias("_rel"))
-    rows = held.select(*keys, "_rel", F.posexplode("_sents").alias("idx", "sentence"))
-    rows = rows.select(*keys, "idx", rel.alias("relevance"), F.array_sort(tx.split_words(F.lower("sentence"))).alias("bag"))
-    each = rows.groupBy(*keys, "bag").agg(F.min("idx").alias("idx"), F.array_sort(F.collect_list("idx")).alias("copies"), F.max("relevance").alias("relevance"))
+    rel = F.transform(sentences, lambda _: F.lit(0.0)) if relevance is None else relevance
+    held = df.select(*keys, F.arrays_zip(sentences.alias("sentence"), rel.alias("relevance")).alias("_s"))
+    rows = held.select(*keys, F.posexplode("_s").alias("idx", "s"))
+    rows = rows.select(*keys, "idx", "s.relevance", F.sort_array(tx.split_words(F.lower("s.sentence"))).alias("bag"))
+    each = rows.groupBy(*keys, "bag").agg(F.min("idx").alias("idx"), F.sort_array(F.collect_list("idx")).alias("copies"), F.max("relevance").alias("relevance"))
     return materialize(each.select(*keys, "idx", "copies", "relevance", _runs(F.col("bag")).alias("words")))
 
 

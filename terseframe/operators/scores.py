@@ -107,6 +107,8 @@ def question_contrast(words: DataFrame, questions: DataFrame, corpus: DataFrame,
     own = questions.select("qid", F.explode("terms").alias("term")).withColumn("follows", F.lit(1).cast("bigint"))
     given = materialize(follows.unionByName(own).groupBy("qid", "term").agg(F.sum("follows").alias("follows")))
     sums = given.groupBy("qid").agg(F.sum("follows").alias("_all"))
+    if measured_bytes(given) <= SMALL_BYTES:  # then the words stay where they are
+        given, sums = F.broadcast(given), F.broadcast(sums)
     held = words.withColumn("term", F.lower("word")).join(given, ["qid", "term"], "left").join(sums, "qid", "left")
     share = F.col("count") / F.lit(float(max(1, vocab.total)))
     score = F.log2((F.coalesce("follows", F.lit(0)) / share + 1) / (F.coalesce("_all", F.lit(0)) + 1))

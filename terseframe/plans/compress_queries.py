@@ -645,7 +645,7 @@ def c17(spark, sf):
 
 
 # --- dedup -------------------------------------------------------------------------------------------------
-DEDUP_T = 0.25
+DEDUP_T = 0.8
 SENTENCE_SQL = r"""SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS idx FROM (
           SELECT doc_id, list_filter(list_transform(flatten(list_transform(string_split(text, chr(10)),
             lambda p: string_split(regexp_replace(trim(p, chr(9)||chr(13)||' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))),
@@ -719,11 +719,12 @@ def c13(spark, sf):
     recursive(q.sql(
         """SELECT doc_id, n, idx, sentence, sim, closest FROM (
              SELECT s.doc_id, n.n, s.idx, s.sentence, round(p.sim, 9) AS sim, k.idx AS closest, row_number() OVER (PARTITION BY s.doc_id, s.idx ORDER BY round(p.sim, 9) DESC, k.rk) AS first
-             FROM sent s JOIN fin f USING (doc_id) JOIN (SELECT doc_id, count(*) AS n FROM sent GROUP BY 1) n USING (doc_id) JOIN rel r ON r.doc_id = s.doc_id AND r.idx = s.idx
-             JOIN rel k ON k.doc_id = s.doc_id AND list_contains(f.kept, k.idx) AND k.rk < r.rk
-             JOIN pair p ON p.doc_id = s.doc_id AND p.i = least(s.idx, k.idx) AND p.j = greatest(s.idx, k.idx)
+             FROM close p JOIN fin f USING (doc_id) JOIN (SELECT doc_id, count(*) AS n FROM sent GROUP BY 1) n USING (doc_id)
+             JOIN sent s ON s.doc_id = p.doc_id AND s.idx = p.idx JOIN rel r ON r.doc_id = p.doc_id AND r.idx = p.idx
+             JOIN rel k ON k.doc_id = p.doc_id AND k.idx = p.k AND list_contains(f.kept, p.k) AND k.rk < r.rk
              WHERE NOT list_contains(f.kept, s.idx)) WHERE first = 1""",
         "asked", **DEDUP_CTES,
+        close=f"SELECT doc_id, i AS idx, j AS k, sim FROM pair WHERE round(sim, 9) >= {DEDUP_T} UNION ALL SELECT doc_id, j, i, sim FROM pair WHERE round(sim, 9) >= {DEDUP_T}",
     )),
 )
 def a20(spark, sf):
