@@ -122,3 +122,21 @@ def test_dedupe_leaves_short_texts(spark):
     df = spark.createDataFrame([(1, "  Only one sentence here ", ["x"])], "doc_id bigint, text string, terms array<string>")
     row = dedup.dedupe(df, 0.5).first()
     assert row["deduped"] == "  Only one sentence here " and row["kept"] == [0]
+
+
+def test_top_pairs_without_threshold_equal_brute_force(spark):
+    texts = sentence_texts()
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in dedup.top_pairs(df, None, 7).collect())
+    want = []
+    for d, cos in enumerate(brute_cosines(texts)):
+        pairs = [(round(cos[i][j], 6), i, j) for j in range(len(cos)) for i in range(j) if cos[i][j] is not None and cos[i][j] > 0]
+        want += [(d, i, j, s) for s, i, j in sorted(pairs, reverse=True)[:7]]
+    assert got == sorted(want) and any(s < 0.5 for *_, s in got)
+
+
+def test_blocks_of_sentences_find_the_same_pairs(spark):
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(sentence_texts())], "doc_id long, text string")
+    classes = dedup.sentence_classes(df, ["doc_id"], dedup.tx.split_sentences(dedup.F.col("text")))
+    whole, cut = ({tuple(r) for r in dedup.similar_classes(classes, ["doc_id"], None, block=b).collect()} for b in (512, 2))
+    assert len(whole) > 20 and whole == cut
