@@ -18,9 +18,15 @@ WHOLE = ["seq", "start_ms", "end_ms", "speaker"]
 FIELDS = ["seq", "last", "is_final", "text", "start_ms", "end_ms", "speaker", "words"]
 COLUMNS = ["seq", "type", "text", "start_ms", "end_ms", "speaker", "interim", "words"]
 FRESH = {"next": 0, "text": "", "start_ms": None, "end_ms": None, "speaker": None}
+DTYPES = {"seq": "Int64", "start_ms": "Int64", "end_ms": "Int64", "speaker": "Int32"}
 SILENCE_MS = 300_000
 
 
+def whole(x: float | None) -> int | None:
+    """A column with nulls comes as floats: silent rows have no clock."""
+    return None if x is None or x != x else int(x)
+
+
 def finished(held: dict, kind: str, seq: int) -> dict:
     """The event that ends a take; it clears the interim text."""
     start = held["start_ms"] or 0
@@ -74,8 +80,8 @@ class TakeCollector(StatefulProcessor):
             state.clear()
         self._set_timer(None)
 
-    def _set_timer(self, at: int | None) -> None:
-        for t in list(self.handle.listTimers()):
+    def _set_timer(self, at: int | None, known: bool = True) -> None:
+        for t in list(self.handle.listTimers()) if known else []:
             self.handle.deleteTimer(t)
         if at is not None:
             self.handle.registerTimer(at)
@@ -85,39 +91,44 @@ class TakeCollector(StatefulProcessor):
 
     @staticmethod
     def _frame(key, events: list[dict]) -> pd.DataFrame:
-        frame = pd.DataFrame(events, columns=COLUMNS).assign(take=key[0])[["take", *COLUMNS]]
-        frame["words"] = frame["words"].astype(object).where(frame["words"].notna(), None)
-        return frame.astype({"seq": "Int64", "start_ms": "Int64", "end_ms": "Int64", "speaker": "Int32"})
+        column = lambda c: pd.Series([e.get(c) for e in events], dtype=DTYPES.get(c, object))
+        return pd.DataFrame({"take": pd.Series([key[0]] * len(events), dtype=object)} | {c: column(c) for c in COLUMNS})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = dict(zip(FRESH, self.held.get())) if self.held.exists() else FRESH
-        pending = [dict(zip(FIELDS, w)) for w in self.waiting.get()] if self.waiting.exists() else []
+        # every call to the state is a round trip: a take that ends in the batch in which it begins makes one
+        known = self.held.exists()
+        state = dict(zip(FRESH, self.held.get())) if known else FRESH
+        pending = [dict(zip(FIELDS, w)) for w in self.waiting.get()] if known and self.waiting.exists() else []
         latest = 0
         for part in rows:
-            whole = part[FIELDS].astype({f: "Int64" for f in WHOLE}).astype(object)  # silent rows have no clock
-            pending += whole.where(whole.notna(), None).to_dict("records")
+            columns = [[whole(x) for x in part[f].tolist()] if f in WHOLE else [None if x is None or x != x else x for x in part[f].tolist()] for f in FIELDS]
+            pending += [dict(zip(FIELDS, m)) for m in zip(*columns)]
             latest = max(latest, int(part["at"].max().timestamp() * 1000))
         pending.sort(key=lambda m: m["seq"])
-        out, done = [], False
-        while pending and pending[0]["seq"] <= state["next"]:
-            m = pending.pop(0)
+        out, said, done, at = [], [], False, 0
+        while at < len(pending) and pending[at]["seq"] <= state["next"]:
+            m = pending[at]
+            at += 1
             if m["seq"] == state["next"]:
                 state, events, words = apply_message(state, m)
-                if words:
-                    self.words.appendList(words)
+                said += words
                 if m["last"]:
                     done = True
-                    whole_words = self._whole_words()
+                    whole_words = (self._whole_words() if known else []) + [dict(zip(("word", "start_ms", "end_ms"), w)) for w in said]
                     events = [e | {"words": whole_words} if e["type"] == "utterance" else e for e in events]
                 out += events
-        if done:
+        pending = pending[at:]
+        if done and known:
             self._clear()
-        else:
+        elif not done:
             self.held.update(tuple(state.values()))
-            self.waiting.clear()
+            if known:
+                self.waiting.clear()
             if pending:
                 self.waiting.put([tuple(m[f] for f in FIELDS) for m in pending])
-            self._set_timer(latest + self.silence_ms)
+            if said:
+                self.words.appendList(said)
+            self._set_timer(latest + self.silence_ms, known)
         yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

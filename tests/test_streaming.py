@@ -115,3 +115,30 @@ def test_upsert_writes_changed_keys_and_replays_to_the_same(spark):
     again = versions.filter("batch = 1").drop("batch").collect()
     spark.createDataFrame(again, versions.drop("batch").schema).write.mode("overwrite").parquet(f"{sink}/batch=1")
     assert rows(st.newest(spark.read.parquet(sink), ["conv_id"])) == got
+
+
+def test_a_take_that_ends_in_its_batch_asks_the_state_once():
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.calls = 0
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                return False if name == "exists" else []
+
+            return call
+
+    collector, states = tk.TakeCollector(), [State() for _ in range(4)]
+    collector.handle, collector.held, collector.waiting, collector.words = states
+    words = '[{"word":"so","start_ms":1,"end_ms":2}]'
+    part = pd.DataFrame({
+        "seq": [2, 0, 1], "last": [True, False, False], "is_final": [True, False, False], "text": ["so", None, "s"], "start_ms": [1.0, None, None],
+        "end_ms": [2.0, None, None], "speaker": [0.0, None, None], "words": [words, None, None], "at": pd.to_datetime(["2024-01-01"] * 3),
+    })
+    (frame,) = collector.handleInputRows(("t",), iter([part]), None)
+    assert frame["type"].tolist() == ["partial", "partial", "utterance"] and frame["text"].tolist() == ["s", "so", "so"]
+    assert frame["words"].tolist()[2] == [{"word": "so", "start_ms": 1, "end_ms": 2}] and frame["end_ms"].tolist()[2] == 2
+    assert sum(s.calls for s in states) == 1
