@@ -98,3 +98,38 @@ def test_swept_overlap_equals_brute_force(spark):
 def test_splice_spans_sorts_and_falls_back(spark):
     df = spark.createDataFrame([("ab cd ef", [(6, 8), (0, 3), (4, 4)]), ("ab", [])], "t string, s array<struct<start:int,`end`:int>>")
     assert [r["r"] for r in df.select(mg.splice_spans(F.col("t"), F.col("s")).alias("r")).collect()] == ["ab ef", "ab"]
+
+
+def test_spans_are_the_first_place_ahead_or_the_first_of_all():
+    import random
+    from bisect import bisect_left
+
+    r = random.Random(3)
+    for _ in range(200):
+        text = "".join(r.choice("ab ") for _ in range(r.randint(0, 400)))
+        words = [r.choice(["", None, "c", "ab"]) if r.random() < 0.3 else "".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(150)]
+        want, free = [], 0
+        for w in words:
+            at = [i for i in range(len(text)) if text.startswith(w, i)] if w else []
+            a = at[bisect_left(at, free) % len(at)] if at else free
+            free = a + len(w) if at else free
+            want.append([a, free])
+        assert mg.locate_words(text, words).tolist() == want
+
+
+def test_located_words_stay_in_arrow_arrays():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    text = " ".join(f"w{i}" for i in range(300))
+    texts, words = pa.array([text] * 500 + [None]), pa.array([text.split() + ["none"]] * 500 + [None])
+    kept = pa.array([[{"start": 0, "end": 1}]] + [None] * 500, span)
+    tracemalloc.start()
+    got = mg.located_udf.func(texts, words, kept)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.field("spans")[0].as_py()[1] == {"start": 3, "end": 5} and got.field("hits")[0].as_py()[:2] == [True, False]
+    assert len(got) == 501 and len(got.field("spans")[500]) == 0
+    assert peak < 8_000_000  # 150,000 spans; a dict for each took over 30 MB
