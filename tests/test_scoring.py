@@ -58,3 +58,17 @@ def test_lookup_paths_agree(spark):
     small = lk.lookup(rows, table, "term", 50)
     large = lk.lookup(rows, table, "term", lk.SMALL_BYTES + 1, hot)
     assert sorted(map(tuple, small.select("id", "count").collect())) == sorted(map(tuple, large.select("id", "count").collect()))
+
+
+def test_frequent_terms_fill_the_limit(spark):
+    from terseframe.operators.lookup import ROW_BYTES, frequent, lookup
+
+    table = spark.createDataFrame([(f"{i:04}", 2 ** (i % 8)) for i in range(800)] + [("z" * 300, 10**6)], "term string, count long")
+    each = ROW_BYTES + 4
+    got = [r["count"] for r in frequent(table, "count", 10**6, 250 * each).collect()]
+    assert sorted(set(got)) == [64, 128] and len(got) == 200
+    assert frequent(table, "count", 10**6, each).count() == 0 and frequent(table, "count", 100, 100).count() == 801
+    rows = table.select("term")
+    for limit in (each, 250 * each):
+        met = lookup(rows, table, "term", 10**6, frequent(table, "count", 10**6, limit), limit)
+        assert sorted(map(tuple, met.collect())) == sorted(map(tuple, table.collect()))
