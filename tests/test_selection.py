@@ -140,3 +140,52 @@ def test_blocks_of_sentences_find_the_same_pairs(spark):
     classes = dedup.sentence_classes(df, ["doc_id"], dedup.tx.split_sentences(dedup.F.col("text")))
     whole, cut = ({tuple(r) for r in dedup.similar_classes(classes, ["doc_id"], None, block=b).collect()} for b in (512, 2))
     assert len(whole) > 20 and whole == cut
+
+
+def test_classes_without_a_near_one_are_left_out(spark, monkeypatch):
+    texts = [["red apples grow on old trees.", "old trees grow red apples now.", "nothing else is said here."], ["one line.", "one line.", "two lines."]]
+    df = spark.createDataFrame([(i, " ".join(t), ["trees."]) for i, t in enumerate(texts)], "doc_id long, text string, terms array<string>")
+    sents, rel = dedup.tx.split_sentences(F.col("text")), dedup.term_relevance(dedup.tx.split_sentences(F.col("text")), "terms")
+    freq = dedup.sentence_frequency(df, sents)
+    assert freq.sentences == 6 and {r.term: r.df for r in freq.table.collect()}["red"] == 2
+    for whole in (True, False):  # the other idf are bounds
+        if not whole:
+            monkeypatch.setattr(dedup, "frequent", lambda table, *_: table.filter("df > 1"))
+        rows = dedup.close_classes(df, ["doc_id"], sents, rel, freq, 0.4).collect()
+        held = {(r.doc_id, r.idx): (r.copies, r.words is not None) for r in rows}
+        assert held[1, 0] == ([0, 1], False) and held[0, 0][1] and held[0, 1][1] and (0, 2) not in held and (1, 2) not in held
+        assert all(r.solid for r in rows)
+
+
+def test_dedupe_by_bounds_equals_the_sequential_rule(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "frequent", lambda table, *_: table.filter("df > 150"))
+    test_dedupe_equals_the_sequential_rule(spark)
+
+
+def test_spans_equal_the_rows_of_chunks(spark):
+    texts = ["Park one. two park!  three?no four\n five park" * 3, "  ", None, "no hit. at all", "x " * 9 + "park.", "\x1cA.b.C park \x85 d? (e) \"f.\" g"]
+    df = spark.createDataFrame([(i, t, ["park", "four"]) for i, t in enumerate(texts)], "doc_id long, text string, terms array<string>")
+    for size, k in ((4, 2), (6, 1), (300, 12)):
+        rows = sel.guided_chunks(df, size, k).orderBy("doc_id", "chunk").collect()
+        got = {r.doc_id: r for r in sel.guided_spans(df, size, k).collect()}
+        assert set(got) == {r.doc_id for r in rows}
+        for doc, row in got.items():
+            chunks = [r for r in rows if r.doc_id == doc]
+            want = [(r.start + s.start, r.start + s.end) for r in chunks if not r.skipped for s in r.kept]
+            alone = len(chunks) == 1 and chunks[0].skipped
+            assert row.n_chunks == len(chunks) and row.n_kept_chunks == (1 if alone else sum(not r.skipped for r in chunks))
+            assert alone or [(s.start, s.end) for s in row.spans] == want
+            words = texts[doc].split()
+            assert all(words[s.w0].startswith(texts[doc][s.start:s.end].split()[0][:1]) or s.w0 == s.w1 or texts[doc][s.start - 1] not in " \n" for s in row.spans)
+
+
+def test_both_decisions_in_one_pass(spark):
+    from terseframe.operators import compress as cp, scores as sc
+
+    df = spark.createDataFrame([(1, "a park. b c. park d.", ["park"]), (1, "a park. b c. park d.", ["park"]), (None, "a b c.", ["a"]), (3, " ", ["a"])], "doc_id long, text string, terms array<string>")
+    vocab = sc.vocabulary(df)
+    rows = {r.doc_id: r for r in cp.two_decisions(df, vocab, 0.5).collect()}
+    assert set(rows) == {1, None} and rows[1].n_chunks == 2 and len(rows[1].words) == 12 and rows[None].guided == [] and rows[None].n_chunks == 0
+    plan = cp.two_decisions(df, vocab, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "Join" not in plan
+    assert [r.doc_id for r in cp.two_decisions(df.withColumn("question", F.lit("q")), vocab, 0.5, carry=["question"]).collect()] == [1, 1]
