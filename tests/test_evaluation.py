@@ -1,9 +1,11 @@
-"""Evaluation compress on texts without words."""
+"""Evaluation compress on texts without words, both decisions of a text, counts of its words."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from terseframe.operators import compress as cp, scores as sc
+from terseframe.operators.lookup import counts_of
 
 TEXTS = [(1, "A b c. D e f g. H i."), (2, ""), (3, " \n"), (4, None), (5, "\xa0"), (6, ". . ."), (None, " ")]
 
@@ -27,3 +29,24 @@ def test_documents_without_words_score_nothing(docs):
     assert got == [(False, 1, 1, True), (False, 6, 6, False), (True, 1, 1, True), (True, 6, 6, False)]
     total = cp.eval_document_totals(cells, units).collect()
     assert {(r.use_dedup, r.total_units, r.origin_words, tuple(r.kept_indices)) for r in total} == {(d, 6, 12, (1, 6)) for d in (False, True)}
+
+
+def test_both_decisions_share_a_worker_and_short_batches(spark, docs, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    vocab, known = sc.vocabulary(docs), docs.filter("doc_id is not null")
+    rows = []
+    for held in (cp.HELD_WORDS, 1):
+        monkeypatch.setattr(cp, "HELD_WORDS", held)
+        both = cp.two_decisions(known, vocab, 0.5)
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert plan.partition("== Initial Plan")[0].count("ArrowEvalPython") == 2  # the cut with both decisions, the words that stay
+        rows.append(sorted(both.select("doc_id", "words", "kept", "guided").collect()))
+    assert rows[0] == rows[1] and [r.doc_id for r in rows[0]] == [1, 6]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+
+
+def test_counts_of_names():
+    terms, counts = pa.array(["a", "b", "c"]), pa.array([3, 2, 1])
+    assert counts_of(pa.array(["x", "c", "a", ""]), terms, counts).to_pylist() == [None, 1, 3, None]
+    assert counts_of(pa.array([], pa.string()), terms, counts).to_pylist() == []
+    assert counts_of(pa.array(["a"]), terms[:0], counts[:0]).to_pylist() == [None]
