@@ -1,10 +1,10 @@
-"""Evaluation compress on texts without words, both decisions of a text, counts of its words."""
+"""Evaluation compress on texts without words, both decisions of a text, counts of its words, places of given words."""
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terseframe.operators import compress as cp, scores as sc
+from terseframe.operators import compress as cp, merge as mg, scores as sc
 from terseframe.operators.lookup import counts_of
 
 TEXTS = [(1, "A b c. D e f g. H i."), (2, ""), (3, " \n"), (4, None), (5, "\xa0"), (6, ". . ."), (None, " ")]
@@ -50,3 +50,18 @@ def test_counts_of_names():
     assert counts_of(pa.array(["x", "c", "a", ""]), terms, counts).to_pylist() == [None, 1, 3, None]
     assert counts_of(pa.array([], pa.string()), terms, counts).to_pylist() == []
     assert counts_of(pa.array(["a"]), terms[:0], counts[:0]).to_pylist() == [None]
+
+
+def test_words_are_located_once_although_a_filter_reads_the_spans(spark):
+    words = [(1, "a b  c a", ["a", "", "c", "zz", "a", None, "b"]), (2, "x y", ["x", "y"]), (3, "", [])]
+    rows = spark.createDataFrame([(i, t, [(w, 1) for w in ws]) for i, t, ws in words], "doc_id long, text string, labels array<struct<word:string,keep:int>>")
+    held = mg.located(rows).select("doc_id", F.col("found.spans").alias("s")).filter(F.size("s") > 0)
+    assert held._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r.doc_id: [tuple(x) for x in r.s] for r in held.collect()}
+    assert got == {1: [(0, 1), (1, 1), (5, 6), (6, 6), (7, 8), (8, 8), (2, 3)], 2: [(0, 1), (2, 3)]}
+
+
+def test_many_words_past_the_cursor_are_found_by_the_automaton():
+    text = " ".join(f"w{i}" for i in range(2000))
+    words = [f"w{i}" for i in range(1999, -1, -1)]
+    assert [text[a:b] for a, b in mg.locate_words(text, words).tolist()] == words
