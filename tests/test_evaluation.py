@@ -1,10 +1,12 @@
-"""Evaluation compress on texts without words, both decisions of a text, counts of its words, places of given words."""
+"""Evaluation compress on texts without words, both decisions of a text, counts of its words, places of given words, similar sentences."""
+
+import random
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terseframe.operators import compress as cp, merge as mg, scores as sc
+from terseframe.operators import compress as cp, dedup, merge as mg, scores as sc
 from terseframe.operators.lookup import counts_of
 
 TEXTS = [(1, "A b c. D e f g. H i."), (2, ""), (3, " \n"), (4, None), (5, "\xa0"), (6, ". . ."), (None, " ")]
@@ -65,3 +67,19 @@ def test_many_words_past_the_cursor_are_found_by_the_automaton():
     text = " ".join(f"w{i}" for i in range(2000))
     words = [f"w{i}" for i in range(1999, -1, -1)]
     assert [text[a:b] for a, b in mg.locate_words(text, words).tolist()] == words
+
+
+def test_top_pairs_above_a_threshold_leave_no_pair_out(spark, monkeypatch):
+    rng, texts = random.Random(3), []
+    for i in range(40):
+        pool = [" ".join(rng.choices("abcdefghij", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 12))]
+        texts.append((i if i % 9 else None, ". ".join(rng.choices(pool, k=rng.randint(1, 15)))))
+    texts += [(100, "q r. q r. q r. s t"), (101, None), (102, " "), (102, "q r. q r"), (103, texts[5][1]), (103, texts[5][1])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    moved, similar = [], dedup.similar_classes
+    monkeypatch.setattr(dedup, "similar_classes", lambda classes, *a, **kw: moved.append(classes.count()) or similar(classes, *a, **kw))
+    got = dedup.top_pairs(df, 0.6, 4).collect()
+    every = lambda df, keys, sents, rel, *a, **kw: dedup.sentence_classes(df, keys, sents).withColumn("solid", F.lit(False))
+    monkeypatch.setattr(dedup, "close_classes", every)
+    assert sorted(map(str, got)) == sorted(map(str, dedup.top_pairs(df, 0.6, 4).collect()))
+    assert moved[0] < moved[1]
